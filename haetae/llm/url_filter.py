@@ -64,6 +64,12 @@ poems.example.net/fr/7751
 journal.example.org/es/6209
 """.split()
 
+#: Made-up plain hosts, so that neither a numbered path nor an unknown host counts against a page.
+WANTED += [
+    f"{sub}{a}{b}.example.{zone}/{lang}/{1000 + 37 * i}"
+    for i, (a, b, sub, zone, lang) in enumerate(zip(("th", "on", "er", "ti", "an", "re", "in", "ha") * 6, ("and", "other", "ering", "ation", "le", "hat") * 8, ("", "www.", "m.", "blog.") * 12, ("com", "net", "org") * 16, ("en", "de", "fr", "es", "it") * 10))
+]
+
 #: Hosts and paths that it does not want.
 UNWANTED = """
 best-casino-bonus.win/slots/free-spins
