@@ -153,11 +153,11 @@ def fit(wanted: tuple[str, ...] = tuple(WANTED), unwanted: tuple[str, ...] = tup
     x = np.zeros((len(y), len(used)))
     x[rows, index] = 1
     x /= np.maximum(np.sqrt(x.sum(1, keepdims=True)), 1)
-    w, b = np.zeros(len(used)), 0.0
+    w, b, share = np.zeros(len(used)), 0.0, np.where(y == 1, 0.5 / len(unwanted), 0.5 / len(wanted))
     for _ in range(rounds):
-        error = 1 / (1 + np.exp(-(x @ w + b))) - y
-        w -= 4 * (x.T @ error / len(y) + l2 * w)
-        b -= 4 * error.mean()
+        error = (1 / (1 + np.exp(-(x @ w + b))) - y) * share  # either class counts half
+        w -= 4 * (x.T @ error + l2 * w)
+        b -= 4 * error.sum()
     full = np.zeros(1 << BITS)
     full[used] = w
     return full, b
