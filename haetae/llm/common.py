@@ -161,3 +161,33 @@ def word_spans(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
         cut = np.unique(cut)
         begin, end = np.sort(np.concatenate([begin, cut])), np.sort(np.concatenate([end, cut]))
     return low, begin, end, np.searchsorted(starts, begin, "right") - 1
+
+
+class Private:
+    """A frame with columns of its own beside those of ``docs``, under names that clash with none."""
+
+    def __init__(self, frame: DataFrame, columns: list[str], prefix: str) -> None:
+        self.frame, self.columns, self.prefix = frame, columns, prefix
+
+    def private(self, name: str) -> Any:
+        return F.col(f"{self.prefix}{name}")
+
+    def filter(self, condition: Any) -> Private:
+        return Private(self.frame.filter(condition), self.columns, self.prefix)
+
+    def done(self) -> DataFrame:
+        return self.frame.select(*[F.col(f"`{c}`") for c in self.columns])
+
+
+def add_private(docs: DataFrame, text: str, fields: str, make: Callable[[], Callable[[pa.Array], dict[str, Any]]]) -> Private:
+    """``add_columns`` for all columns of ``docs``; a filter can use the new ones, ``done`` drops them."""
+    prefix = "__own_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    named = ", ".join(f"{prefix}{f.name} {f.dataType.simpleString()}" for f in T._parse_datatype_string(fields))
+
+    def renamed() -> Callable[[pa.Array], dict[str, Any]]:
+        kernel = make()
+        return lambda texts: {f"{prefix}{k}": v for k, v in kernel(texts).items()}
+
+    return Private(add_columns(docs, text, named, renamed), docs.columns, prefix)
