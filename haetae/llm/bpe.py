@@ -6,6 +6,7 @@ import base64
 import codecs
 import hashlib
 import os
+import unicodedata
 from collections.abc import Callable, Iterable
 from typing import Any
 
@@ -52,20 +53,43 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
     return made.to_str()
 
 
+#: Matches of the pattern whose ids a worker remembers before it starts anew.
+REMEMBERED = 300_000
+
+
 class Codec:
     """Encodes texts and decodes ids; one per Python worker."""
 
-    def __init__(self, made: str) -> None:
+    def __init__(self, made: str, pattern: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_str(made)
+        self.tokenizer, self.single = Tokenizer.from_str(made), Tokenizer.from_str(made)
+        self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # for one match of the pattern
+        self.matches, self.packed = regex.compile(pattern).findall, {}
         back = {c: b for b, c in enumerate(byte_chars())}
         self.pieces = {i: bytes(back[c] for c in token) for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
 
     def encode(self, texts: list[str]) -> list[Any]:
         return self.tokenizer.encode_batch(texts, add_special_tokens=False)
 
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
+        """Ids as little-endian unsigned 32-bit integers.
+
+        The library gets each distinct match of the pattern in ``texts`` once, not every repetition of a word.
+        Code points that Python's Unicode tables don't have yet may be letters to one regular expression engine
+        and none to another: whole texts with such a one go to the library.
+        """
+        split = [self.matches(t) for t in texts]
+        if len(self.packed) > REMEMBERED:
+            self.packed = {}
+        new = set().union(*split).difference(self.packed)
+        odd = {part for part in new if not part.isascii() and any(unicodedata.category(c) == "Cn" for c in part)}
+        if new := list(new - odd):
+            self.packed.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.single.encode_batch(new, add_special_tokens=False))))
+        return [b"".join(map(self.packed.__getitem__, parts)) if not odd or odd.isdisjoint(parts) else np.array(self.encode([text])[0].ids, "<u4").tobytes() for text, parts in zip(texts, split)]
+
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
@@ -80,7 +104,7 @@ class Codec:
 
 def _codec(df: DataFrame, path: str, pattern: str) -> Callable[[], Codec]:
     held = df.sparkSession.sparkContext.broadcast(tokenizer_json(load_ranks(path), pattern))  # 2 MB for 50,000 ranks
-    return lambda: Codec(held.value)
+    return lambda: Codec(held.value, pattern)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,10 +120,10 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
         def kernel(texts: pa.Array) -> dict[str, Any]:
             n, ids_sha, decoded_sha = [], [], []
-            for made in own.encode(texts.cast(pa.large_string()).to_pylist()):
-                n.append(len(ids := made.ids))
-                ids_sha.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
-                decoded_sha.append(hashlib.sha256(own.decode_bytes(ids)).hexdigest())
+            for packed in own.encode_packed(texts.cast(pa.large_string()).to_pylist()):
+                n.append(len(packed) // 4)
+                ids_sha.append(hashlib.sha256(packed).hexdigest())
+                decoded_sha.append(hashlib.sha256(own.decode_bytes(np.frombuffer(packed, "<u4").tolist())).hexdigest())
             return {"n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": decoded_sha}
 
         return kernel
