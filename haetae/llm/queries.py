@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haetae.llm import bpe, decontaminate, language_id, quality, simhash, toxicity
+from haetae.llm import bpe, decontaminate, language_id, licenses, quality, simhash, toxicity
 from haetae.llm.common import read_table
 from haetae.llm.token_count import count_tokens
 from haetae.llm.topk import top_k
@@ -82,6 +82,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -107,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_top_k": op3_top_k,
     "op4_token_count": op4_token_count,
     "op5_toxicity": op5_toxicity,
+    "op6_license_scan": op6_license_scan,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_url_filter": op8_url_filter,
     "op9_language_id": op9_language_id,
@@ -115,4 +120,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_decontamination": OP2_SQL,
     "op3_top_k": OP3_SQL,
+    "op6_license_scan": licenses.oracle_sql(),
 }
