@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,6 +104,19 @@ def findings(text: Column, rules: catalog.RuleSet, paragraph_index: Column | Non
     return F.when(likely, made).otherwise(none)
 
 
+_BUILT: dict[tuple[str, catalog.RuleSet], Column] = {}
+
+
+def line_findings(rules: catalog.RuleSet) -> Column:
+    """``findings`` of the columns text and paragraph_index, built once for an application and rule set: it has thousands of nodes."""
+    key = (SparkContext.getOrCreate().applicationId, rules)
+    if key not in _BUILT:
+        for old in [k for k in _BUILT if k[0] != key[0]]:
+            del _BUILT[old]
+        _BUILT[key] = findings(F.col("text"), rules, F.col("paragraph_index"))
+    return _BUILT[key]
+
+
 def paragraphs(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """``keys``, paragraph_index and text of every line; an empty or null text is one empty line. Carriage returns before a line feed go."""
     lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), lambda x: F.rtrim(x, F.lit("\r")))
@@ -115,5 +129,5 @@ def detect(df: DataFrame, keys: list[str], text_col: str = "text", rules: catalo
     lines = paragraphs(df, keys, text_col)
     if rules.guard:
         lines = lines.filter(F.rlike(F.col("text"), F.lit(rules.guard)))
-    found = lines.select(*keys, findings(F.col("text"), rules, F.col("paragraph_index")).alias("found"))
+    found = lines.select(*keys, line_findings(rules).alias("found"))
     return found.select(*keys, F.explode("found").alias("f")).select(*keys, "f.*")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from haetae import rules as catalog
 from haetae.functions.checks import MASKED
 from haetae.functions.masks import apply_mode, mask_full
-from haetae.operators.detect import findings, paragraphs
+from haetae.operators.detect import findings, line_findings, paragraphs
 
 
 def replacement(finding: Column, mode: str, rules: catalog.RuleSet) -> Column:
@@ -38,7 +38,7 @@ def preview_line(finding: Column) -> Column:
 def masked_lines(df: DataFrame, keys: list[str], text_col: str = "text", mode: str = "full", rules: catalog.RuleSet | None = None) -> DataFrame:
     """``keys``, paragraph_index, before, after and the findings of every line."""
     rules = rules or catalog.builtin()
-    lines = paragraphs(df, keys, text_col).withColumn("found", findings(F.col("text"), rules, F.col("paragraph_index")))
+    lines = paragraphs(df, keys, text_col).withColumn("found", line_findings(rules))
     return lines.select(*keys, "paragraph_index", F.col("text").alias("before"), splice(F.col("text"), F.col("found"), mode, rules).alias("after"), F.col("found").alias("findings"))
 
 
