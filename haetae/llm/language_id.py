@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haetae.llm.common import add_columns, arrow_texts, crc_bucket
+from haetae.llm.common import add_columns, add_private, arrow_texts, crc_bucket, slices
 
 #: N-grams of one to three characters; the most frequent of a text and of a language that are compared.
 ORDERS, TOP = (1, 2, 3), 300
-#: Labelled documents that a language's profile is learnt from, about: the sample is all rows of a language if it has no more.
-SAMPLE = 1500
+#: Labelled documents that a language's profile is learnt from, about, and characters of each: the bound of the sample.
+SAMPLE, CHARS = 1000, 20_000
 UNKNOWN = "und"
 _ROW, _GRAM = np.uint64(44), np.uint64((1 << 44) - 1)
 
@@ -33,10 +33,10 @@ def _letters() -> np.ndarray:
     return table
 
 
-def _frequent(texts: pa.Array, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, n-gram and rank of the ``top`` most frequent n-grams of each text, and the letters of each text.
+def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, n-gram and count of the distinct n-grams of each text, sorted by row and n-gram, and the letters of each text.
 
-    Runs of other characters count as one space, also before and after a text. Ties rank by the n-gram's hash.
+    Runs of other characters count as one space, also before and after a text.
     """
     rows = texts.cast(pa.large_string()).to_pylist()
     points = np.frombuffer("".join(f"\n{t}\n" for t in rows).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -69,12 +69,17 @@ def _frequent(texts: pa.Array, top: int) -> tuple[np.ndarray, np.ndarray, np.nda
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     count = np.diff(np.r_[first, len(keys)])
     keys = keys[first]
-    owner = (keys >> _ROW).astype(np.int64)
-    order = np.argsort(((keys >> _ROW) << _ROW) | (_GRAM - np.minimum(count.astype(np.uint64), _GRAM)), kind="stable")
-    begins = np.searchsorted(owner, np.arange(len(rows) + 1))
-    rank = np.arange(len(keys)) - begins[owner]
+    return (keys >> _ROW).astype(np.int64), keys & _GRAM, count, letters
+
+
+def _frequent(texts: pa.Array, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, n-gram and rank of the ``top`` most frequent n-grams of each text, and the letters of each text; ties rank by the n-gram's hash."""
+    owner, gram, count, letters = _grams(texts)
+    order = np.argsort((owner.astype(np.uint64) << _ROW) | (_GRAM - np.minimum(count.astype(np.uint64), _GRAM)), kind="stable")
+    begins = np.searchsorted(owner, np.arange(len(texts) + 1))
+    rank = np.arange(len(owner)) - begins[owner]
     best = order[rank < top]
-    return owner[best], keys[best] & _GRAM, rank[rank < top], letters
+    return owner[best], gram[best], rank[rank < top], letters
 
 
 @dataclasses.dataclass
@@ -106,12 +111,15 @@ class Profiles:
 
 def learn(texts: list[str], languages: list[str], top: int = TOP) -> Profiles:
     """Profiles from labelled texts: the n-grams that are frequent in a language's texts together."""
-    names = sorted(set(languages))
-    whole = ["\n".join(t for t, x in zip(texts, languages) if x == name) for name in names]
-    lists = []
-    for text in whole:
-        _, gram, rank, _ = _frequent(arrow_texts(pa.array([text], pa.large_string())), top)
-        lists.append(gram[np.argsort(rank)])
+    names, lists = sorted(set(languages)), []
+    for name in names:
+        gram, count = np.zeros(0, np.uint64), np.zeros(0)
+        mine = arrow_texts(pa.array([t for t, x in zip(texts, languages) if x == name], pa.large_string()))
+        for a, b in slices(mine):
+            _, more, n, _ = _grams(mine.slice(a, b - a))
+            gram, at = np.unique(np.concatenate([gram, more]), return_inverse=True)
+            count = np.bincount(at, np.concatenate([count, n]), len(gram))
+        lists.append(gram[np.lexsort((gram, -count))[:top]])
     grams = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.uint64)
     ranks = np.full((len(grams), len(names)), top, np.int32)
     for j, gram in enumerate(lists):
@@ -119,11 +127,11 @@ def learn(texts: list[str], languages: list[str], top: int = TOP) -> Profiles:
     return Profiles(names, grams, ranks, top)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, salt: int = 9) -> Profiles:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, chars: int = CHARS, salt: int = 9) -> Profiles:
     """Learn from rows with a text, a language and crc32(id as text) mod 4 other than 2.
 
     Of a language with more than ``sample`` such rows, a share is taken by a hash of the id that gives about
-    ``sample``. The driver gets the languages' counts and the sample, whatever the size of ``docs``.
+    ``sample``, and of each the first ``chars`` characters. The driver gets the languages' counts and the sample, whatever the size of ``docs``.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_bucket("id", 4) != 2))
@@ -134,7 +142,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     chosen = F.lit(False)
     for lang, n in counts.items():
         chosen |= (F.col("lang") == lang) & (draw < min(1 << 20, int((1 << 20) * sample / n) + 1))
-    found = rows.filter(chosen).orderBy("id").select("text", "lang").collect()
+    found = rows.filter(chosen).select("id", F.substring("text", 1, chars).alias("text"), "lang").orderBy("id", "lang", "text").collect()
     return learn([r["text"] for r in found], [r["lang"] for r in found])
 
 
@@ -161,7 +169,5 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
 
 def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text", least: float = 0.15) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is in a known language: not ``und`` and a score of ``least`` or more."""
-    from haetae.llm.common import add_private
-
     made = add_private(docs, text_col, "lang_pred string, lang_score double", _kernel(profiles))
     return made.filter((made.private("lang_pred") != UNKNOWN) & (made.private("lang_score") >= least)).done()
