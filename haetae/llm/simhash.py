@@ -129,7 +129,7 @@ def links(prints: DataFrame, budget: int = BUDGET, group: int = GROUP) -> DataFr
     """Edges (a, b) that connect exactly the distinct fingerprints ``fp`` that links of ``budget`` or fewer bits connect.
 
     Of ``budget`` + 1 blocks of bits two linked fingerprints agree in one at least, so each fingerprint goes to
-    a group for each block's value, and each group is joined with itself by ``trie_components``. A group of over
+    a group for each block's value, and groups are joined with themselves by ``trie_components``, many in one trie. A group of over
     ``group`` fingerprints is dealt out once more by blocks of its other bits, again without losing a link. A
     group returns a tree for each of its components, fewer edges than it has fingerprints, never all pairs.
     """
@@ -145,13 +145,45 @@ def links(prints: DataFrame, budget: int = BUDGET, group: int = GROUP) -> DataFr
         finer = F.when(F.col("hot") & (F.col("mask") == _signed(m)), F.array(*[F.struct(F.lit(_signed(x)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(x))).alias("value")) for x in both])).otherwise(finer)
     dealt = dealt.select("fp", F.explode(finer).alias("k")).select("fp", "k.mask", "k.value")
 
-    def join(key: tuple[Any, ...], rows: pa.Table) -> pa.Table:
-        keys = np.unique(rows.column("fp").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-        label = trie_components(keys, np.int64(key[0].as_py()).view(np.uint64), budget)
-        child = np.flatnonzero(label != np.arange(len(keys)))
-        return pa.table({"a": keys[child].view(np.int64), "b": keys[label[child]].view(np.int64)})
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for mask, value, fp in _whole_groups(batches):
+            for m in np.unique(mask):
+                mine = mask == m
+                yield pa.RecordBatch.from_pydict(dict(zip("ab", _forest(fp[mine].view(np.uint64), int(m) & (1 << 64) - 1, budget))))
 
-    return dealt.groupBy("mask", "value").applyInArrow(join, "a long, b long")
+    return dealt.repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(join, "a long, b long")
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], at_once: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sorted rows (mask, value, fp) in lots of about ``at_once``, each group in one lot."""
+    held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
+    for batch in batches:
+        held = [np.concatenate([old, new.to_numpy()]) for old, new in zip(held, (batch["mask"], batch["value"], batch["fp"]))]
+        if len(held[0]) >= at_once:
+            last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
+            if len(last):
+                yield tuple(x[: last[-1] + 1] for x in held)
+                held = [x[last[-1] + 1 :] for x in held]
+    if len(held[0]):
+        yield tuple(held)
+
+
+def _forest(prints: np.ndarray, mask: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """A tree for each component among fingerprints that agree in the bits of ``mask``.
+
+    The bits of ``mask`` go to the top of the keys, so that all groups of a mask are one trie, in which no error is
+    allowed above the groups' own roots.
+    """
+    order = [b for b in range(64) if mask >> b & 1][::-1] + [b for b in range(64) if not mask >> b & 1][::-1]
+    prints = np.unique(prints)
+    keys = np.zeros(len(prints), np.uint64)
+    for to, b in enumerate(order):
+        keys |= (prints >> np.uint64(b) & _U1) << np.uint64(63 - to)
+    sort = np.argsort(keys)
+    prints, keys, n = prints[sort], keys[sort], mask.bit_count()
+    label = trie_components(keys, np.uint64(((1 << n) - 1) << (64 - n)), budget)
+    child = np.flatnonzero(label != np.arange(len(keys)))
+    return prints[child].view(np.int64), prints[label[child]].view(np.int64)
 
 
 def _clusters(prints: DataFrame, budget: int, group: int) -> DataFrame:
