@@ -53,7 +53,7 @@ DROPPED = (
     r"(^|\n)[ \t*#/;>-]*copyright[ \t:,]*(\(c\)|©|[0-9]{4}|<|\[)[^\n]*",
     r"(^|\n)[ \t*#/;>-]*(\(c\)|©)[^\n]*",
     r"(^|\n)[ \t*#/;>-]*all rights reserved[ \t.]*",
-    r"(^|\n)[ \t*#/;>-]*(the )?(mit|expat|isc|zlib|apache|bsd [0-9a-z-]+( clause)?) licen[cs]e( notice)?( \([a-z0-9. -]+\))?[ \t:]*(\n|\z)",
+    r"(^|\n)[ \t*#/;>-]*(the )?(mit|expat|isc|zlib|apache|bsd [0-9a-z-]+( clause)?) licen[cs]e( notice)?( \([a-z0-9. -]+\))?[ \t\r:]*(\n|\z)",
 )
 #: Spellings that count as the same. Fixed values.
 SPELLINGS = (("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("organisation", "organization"), ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("copyright owner", "copyright holder"), ("https://", "http://"))
@@ -63,7 +63,7 @@ BETWEEN = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
 def canonical(text: Column) -> Column:
     """Lower case A-Z, without copyright lines, one spelling of each word, and one space for all punctuation."""
-    made = ascii_lower(text)
+    made = F.replace(ascii_lower(text), F.lit("\n"), F.lit("\n\n"))  # neighbours don't share a line feed
     for pattern in DROPPED:
         made = F.regexp_replace(made, pattern, "\n")
     for other, usual in SPELLINGS:
@@ -73,7 +73,7 @@ def canonical(text: Column) -> Column:
 
 def canonical_text(text: str) -> str:
     """The same of one Python string, for the table of known digests."""
-    made = text.translate(str.maketrans(UPPER, LOWER))
+    made = text.translate(str.maketrans(UPPER, LOWER)).replace("\n", "\n\n")
     for pattern in DROPPED:
         made = re.sub(pattern.replace(r"\z", r"\Z"), "\n", made)
     for other, usual in SPELLINGS:
@@ -128,6 +128,7 @@ def sql_canonical(text: str, whole: bool = True) -> str:
     """The canonical form as a DuckDB expression over the expression ``text``."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     made = f"translate({text}, {quote(UPPER)}, {quote(LOWER)})"
+    made = f"replace({made}, chr(10), chr(10) || chr(10))" if whole else made
     for pattern in DROPPED if whole else ():
         made = f"regexp_replace({made}, {quote(pattern)}, chr(10), 'g')"
     for other, usual in SPELLINGS:

@@ -24,6 +24,7 @@ class Lists:
         self.ids, self.vectors = ids, vectors
         self.order = np.argsort(vectors, axis=0, kind="stable")
         self.sorted = np.take_along_axis(vectors, self.order, 0)
+        self.peak = np.abs(vectors).max() if vectors.size else 0.0
 
     def top(self, own: int, query: np.ndarray, k: int, first: int = 8) -> tuple[np.ndarray, np.ndarray]:
         """Positions and scores of the ``k`` best candidates but those with id ``own``; ties go to the smaller id.
@@ -34,9 +35,11 @@ class Lists:
         candidate might have the smaller id.
         """
         n = len(self.ids)
+        if query.size and query.size * self.peak * np.abs(query).max() >= 2**53:
+            return self.top_of_large(own, query, k)
         up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
         seen = self.ids == own
-        best, scores, at, step = np.zeros(0, np.int64), np.zeros(0, self.vectors.dtype), 0, first
+        best, scores, at, step = np.zeros(0, np.int64), np.zeros(0), 0, first
         while at < n:
             to = min(n, at + step)
             fresh = np.zeros(n, bool)
@@ -59,13 +62,18 @@ class Lists:
             at, step = to, 2 * step
         return best, scores
 
+    def top_of_large(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
+        """The same where doubles could round: every candidate in Python's integers."""
+        q = [int(x) for x in query]
+        scores = {i: max(-_LONG, min(_LONG - 1, sum(int(x) * y for x, y in zip(row, q)))) for i, row in enumerate(self.vectors) if self.ids[i] != own}
+        best = sorted(scores, key=lambda i: (-scores[i], self.ids[i]))[:k]
+        return np.array(best, np.int64), [scores[i] for i in best]
 
-def _whole(column: pa.Array, dim: int) -> np.ndarray:
-    """floor(1024 x) of vectors of ``dim`` components, as doubles, or as Python integers where doubles could round."""
-    values = np.floor(1024 * column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)).reshape(-1, dim)
-    if values.size and dim * np.abs(values).max() ** 2 >= 2**53:
-        return np.array([[int(x) for x in row] for row in values], object).reshape(-1, dim)
-    return values
+
+def _whole(vectors: list[list[float]] | pa.Array, n: int, dim: int) -> np.ndarray:
+    """floor(1024 x) of ``n`` vectors of ``dim`` components, as doubles."""
+    values = vectors.flatten().to_numpy(zero_copy_only=False) if isinstance(vectors, pa.Array) else np.array(vectors, np.float64)
+    return np.floor(1024 * values.astype(np.float64)).reshape(n, dim)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", at_once: int = AT_ONCE) -> DataFrame:
@@ -75,7 +83,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     no candidates of it. Null vectors, those with a null or non-finite component, and rows without an id take no
     part. Vectors meet only those of as many components. A query row that is there several times counts once
     (of several vectors under one id the least counts), repeated candidates count each. Scores beyond a long
-    become the nearest long. Empty tables give no rows.
+    count as the nearest long. Empty tables give no rows.
 
     Queries are dealt to blocks of about ``at_once``, each broadcast by itself; each Arrow batch of candidates is
     a block of sorted lists and returns its ``k`` best for each query, so that only these are shuffled.
@@ -92,7 +100,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             asked: dict[int, list[tuple[int, np.ndarray]]] = {}
             for own, v in held.value:
-                asked.setdefault(len(v), []).append((own, _whole(pa.array([v], pa.list_(pa.float64())), len(v))[0] if v else np.zeros(0)))
+                asked.setdefault(len(v), []).append((own, _whole([v], 1, len(v))[0]))
             for batch in batches:
                 ids, column = batch.column(0).to_numpy(), batch.column(1)
                 dims = np.array(column.value_lengths())
@@ -100,10 +108,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
                     if dim not in asked:
                         continue
                     rows = np.flatnonzero(dims == dim)
-                    lists = Lists(ids[rows], _whole(column.take(pa.array(rows)), int(dim)))
+                    lists = Lists(ids[rows], _whole(column.take(pa.array(rows)), len(rows), int(dim)))
                     out = [(own, *lists.top(own, q, k)) for own, q in asked[dim]]
                     n = [len(best) for _, best, _ in out]
-                    scores = [max(-_LONG, min(_LONG - 1, int(s))) for _, _, part in out for s in part]
+                    scores = [int(s) for _, _, part in out for s in part]
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat([own for own, _, _ in out], n), pa.int64()), pa.array(lists.ids[np.concatenate([best for _, best, _ in out]).astype(np.int64)], pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "vec_id", "score"])
 
         parts.append(fine(vectors).mapInArrow(run, "query_id long, vec_id long, score long"))
