@@ -2,43 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haetae import rules as catalog
 from haetae.functions.checks import MASKED, SKIP, verdict
 from haetae.functions.masks import mask_full, mask_partial
+from haetae.operators.once import once
 
 FINDING = "struct<rule_id:string,label:string,raw:string,masked_preview:string,confidence:string,paragraph_index:int,byte_start:int,byte_end:int,char_start:int,char_end:int,context_before:string,context_after:string>"
 _CANDIDATE = "array<struct<rule:int,start:int,ord:int,raw:string>>"
 CONTEXT = 20
 
 
-def pattern_spans(text: Column, pattern: str, rule: int = 0, order: int = 0) -> Column:
-    """Non-overlapping leftmost matches of a pattern: array<struct<rule, start, ord, raw>>, start in characters.
+def candidates(text: Column, rules: catalog.RuleSet) -> Column:
+    """All matches by falling priority of the rule, then start, then pattern: array<struct<rule, start, ord, raw>>, start in characters.
 
-    The pieces between the matches give where each begins, so one extraction and one split do for all of them.
+    A pattern's non-overlapping leftmost matches come from one extraction; the pieces between them, from one split,
+    give where each begins. Rules with the same pattern share its matches; a pattern that doesn't match costs one
+    test. The walk over matches and pieces is one expression for all patterns.
     """
-    java = catalog.java_pattern(pattern)
-    found, between = F.regexp_extract_all(text, F.lit(java), F.lit(0)), F.split(text, java, -1)
-    none = F.lit(None).cast(_CANDIDATE)
-    start = F.struct(F.lit(0).alias("at"), F.coalesce(none, F.array().cast(_CANDIDATE)).alias("out"))
+    uses: dict[str, list[tuple[int, int]]] = {}
+    for i, rule in enumerate(rules):
+        for j, p in enumerate(rule.patterns):
+            uses.setdefault(p, []).append((i, j))
+    none = F.array().cast(_CANDIDATE)
+    if not uses:
+        return none
+    found = []
+    for p, who in uses.items():
+        java = catalog.java_pattern(p)
+        for_rules = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(j).alias("ord")) for i, j in who])
+        found.append(F.when(F.rlike(text, F.lit(java)), F.struct(for_rules.alias("who"), F.regexp_extract_all(text, F.lit(java), F.lit(0)).alias("raws"), F.split(text, java, -1).alias("gaps"))))
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["gap"])
-        hit = F.struct(F.lit(rule).alias("rule"), begin.alias("start"), F.lit(order).alias("ord"), pair["raw"].alias("raw"))
-        return F.struct((begin + F.length(pair["raw"])).alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
+    def walk(m: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,raw:string>>").alias("out"))
 
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda raw, gap: F.struct(raw.alias("raw"), gap.alias("gap")))
-    folded = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(F.rlike(text, F.lit(java)), folded).otherwise(F.array().cast(_CANDIDATE))
+        def step(acc: Column, pair: Column) -> Column:
+            begin = acc["at"] + F.length(pair["gap"])
+            return F.struct((begin + F.length(pair["raw"])).alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), pair["raw"].alias("raw")))).alias("out"))
 
+        pairs = F.zip_with(m["raws"], F.slice(m["gaps"], 1, F.size(m["raws"])), lambda raw, gap: F.struct(raw.alias("raw"), gap.alias("gap")))
+        spans = F.aggregate(pairs, start, step, lambda acc: acc["out"])
+        return F.flatten(F.transform(m["who"], lambda w: F.transform(spans, lambda s: F.struct(w["rule"].alias("rule"), s["start"].alias("start"), w["ord"].alias("ord"), s["raw"].alias("raw")))))
 
-def candidates(text: Column, rules: catalog.RuleSet) -> Column:
-    """All matches by falling priority of the rule, then start, then pattern."""
-    every = [pattern_spans(text, p, i, j) for i, rule in enumerate(rules) for j, p in enumerate(rule.patterns)]
-    return F.array_sort(F.concat(*every)) if every else F.array().cast(_CANDIDATE)
+    return F.array_sort(F.flatten(F.transform(F.array_compact(F.array(*found)), walk)))
 
 
 def _bounded(text: Column, start: Column, end: Column) -> Column:
@@ -47,21 +55,28 @@ def _bounded(text: Column, start: Column, end: Column) -> Column:
     return ~((start > 0) & F.substr(text, start, F.lit(1)).rlike(word)) & ~F.substr(text, end + 1, F.lit(1)).rlike(word)
 
 
-def by_rule(rule: Column, rules: catalog.RuleSet, of, otherwise: Column) -> Column:
-    """``of(rule)`` of the rule with that index."""
-    chain = None
+def by_kind(rule: Column, rules: catalog.RuleSet, kind, of, otherwise: Column) -> Column:
+    """``of(kind)`` of the rule with that index; rules of one kind share an expression."""
+    kinds: dict[str, list[int]] = {}
     for i, r in enumerate(rules):
-        chain = F.when(rule == i, of(r)) if chain is None else chain.when(rule == i, of(r))
+        kinds.setdefault(kind(r), []).append(i)
+    chain = None
+    for k, which in kinds.items():
+        chain = F.when(rule.isin(which), of(k)) if chain is None else chain.when(rule.isin(which), of(k))
     return otherwise if chain is None else chain.otherwise(otherwise)
 
 
+def name_of(rule: Column, names: list[str]) -> Column:
+    return F.get(F.array(*[F.lit(n) for n in names]).cast("array<string>"), rule)
+
+
 def claims(text: Column, rules: catalog.RuleSet) -> Column:
     """Candidates that hold, in order of priority: array<struct<rule, start, ord, raw, confidence>>.
 
     A candidate takes its characters only if its check doesn't skip it and no earlier one has taken any of them.
     """
     whole = F.filter(candidates(text, rules), lambda c: (F.length(c["raw"]) > 0) & _bounded(text, c["start"], c["start"] + F.length(c["raw"])))
-    judged = F.transform(whole, lambda c: F.struct(c["rule"].alias("rule"), c["start"].alias("start"), c["ord"].alias("ord"), c["raw"].alias("raw"), by_rule(c["rule"], rules, lambda r: verdict(c["raw"], r.validator), F.lit(SKIP)).alias("confidence")))
+    judged = F.transform(whole, lambda c: F.struct(c["rule"].alias("rule"), c["start"].alias("start"), c["ord"].alias("ord"), c["raw"].alias("raw"), by_kind(c["rule"], rules, lambda r: r.validator, lambda v: verdict(c["raw"], v), F.lit(SKIP)).alias("confidence")))
     held = F.filter(judged, lambda c: c["confidence"] != SKIP)
     empty = F.array().cast("array<struct<rule:int,start:int,ord:int,raw:string,confidence:string>>")
 
@@ -80,12 +95,12 @@ def findings(text: Column, rules: catalog.RuleSet, paragraph_index: Column | Non
     def full(c: Column) -> Column:
         raw, start = c["raw"], c["start"]
         end = start + F.length(raw)
-        preview = F.when(c["confidence"] == MASKED, raw).otherwise(by_rule(c["rule"], rules, lambda r: mask_partial(raw, r.partial), mask_full(raw)))
+        preview = F.when(c["confidence"] == MASKED, raw).otherwise(by_kind(c["rule"], rules, lambda r: r.partial, lambda k: mask_partial(raw, k), mask_full(raw)))
         before = F.greatest(start - CONTEXT, F.lit(0))
         begin = F.octet_length(F.left(text, start))
         return F.struct(
-            by_rule(c["rule"], rules, lambda r: F.lit(r.id), F.lit(None).cast("string")).alias("rule_id"),
-            by_rule(c["rule"], rules, lambda r: F.lit(r.label), F.lit(None).cast("string")).alias("label"),
+            name_of(c["rule"], [r.id for r in rules]).alias("rule_id"),
+            name_of(c["rule"], [r.label for r in rules]).alias("label"),
             raw.alias("raw"),
             preview.alias("masked_preview"),
             c["confidence"].alias("confidence"),
@@ -104,17 +119,9 @@ def findings(text: Column, rules: catalog.RuleSet, paragraph_index: Column | Non
     return F.when(likely, made).otherwise(none)
 
 
-_BUILT: dict[tuple[str, catalog.RuleSet], Column] = {}
-
-
 def line_findings(rules: catalog.RuleSet) -> Column:
-    """``findings`` of the columns text and paragraph_index, built once for an application and rule set: it has thousands of nodes."""
-    key = (SparkContext.getOrCreate().applicationId, rules)
-    if key not in _BUILT:
-        for old in [k for k in _BUILT if k[0] != key[0]]:
-            del _BUILT[old]
-        _BUILT[key] = findings(F.col("text"), rules, F.col("paragraph_index"))
-    return _BUILT[key]
+    """``findings`` of the columns text and paragraph_index."""
+    return once(lambda: findings(F.col("text"), rules, F.col("paragraph_index")), "line_findings", rules)
 
 
 def paragraphs(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:

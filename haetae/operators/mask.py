@@ -7,18 +7,25 @@ from pyspark.sql import functions as F
 
 from haetae import rules as catalog
 from haetae.functions.checks import MASKED
-from haetae.functions.masks import apply_mode, mask_full
+from haetae.functions.masks import PARTIAL, REPLACE, apply_mode, mask_full, mask_partial
 from haetae.operators.detect import findings, line_findings, paragraphs
+from haetae.operators.once import once
 
 
 def replacement(finding: Column, mode: str, rules: catalog.RuleSet) -> Column:
     """What stands in for a finding: by its rule's partial kind and token; a rule that isn't there masks in full or as [PII]."""
-    chain = None
-    for r in rules:
-        made = apply_mode(finding["raw"], mode, r.partial, r.replace_token)
-        chain = F.when(finding["rule_id"] == r.id, made) if chain is None else chain.when(finding["rule_id"] == r.id, made)
-    rest = apply_mode(finding["raw"], mode)
-    return rest if chain is None else chain.otherwise(rest)
+    if mode == PARTIAL:
+        kinds: dict[str, list[str]] = {}
+        for r in rules:
+            kinds.setdefault(r.partial, []).append(r.id)
+        chain = F.when(F.lit(False), "")
+        for kind, ids in kinds.items():
+            chain = chain.when(finding["rule_id"].isin(ids), mask_partial(finding["raw"], kind))
+        return chain.otherwise(mask_full(finding["raw"]))
+    if mode == REPLACE:
+        tokens = F.create_map(*[F.lit(x) for r in rules for x in (r.id, r.replace_token)]) if len(rules) else F.create_map().cast("map<string,string>")
+        return F.coalesce(F.element_at(tokens, finding["rule_id"]), F.lit("[PII]"))
+    return apply_mode(finding["raw"], mode)
 
 
 def splice(text: Column, found: Column, mode: str, rules: catalog.RuleSet) -> Column:
@@ -39,7 +46,7 @@ def masked_lines(df: DataFrame, keys: list[str], text_col: str = "text", mode: s
     """``keys``, paragraph_index, before, after and the findings of every line."""
     rules = rules or catalog.builtin()
     lines = paragraphs(df, keys, text_col).withColumn("found", line_findings(rules))
-    return lines.select(*keys, "paragraph_index", F.col("text").alias("before"), splice(F.col("text"), F.col("found"), mode, rules).alias("after"), F.col("found").alias("findings"))
+    return lines.select(*keys, "paragraph_index", F.col("text").alias("before"), once(lambda: splice(F.col("text"), F.col("found"), mode, rules), "splice", mode, rules).alias("after"), F.col("found").alias("findings"))
 
 
 def changed(lines: DataFrame) -> DataFrame:
@@ -50,11 +57,13 @@ def changed(lines: DataFrame) -> DataFrame:
 def mask_text(df: DataFrame, text_col: str = "text", out_col: str = "masked", mode: str = "full", rules: catalog.RuleSet | None = None) -> DataFrame:
     """All columns of ``df`` and the masked text; line feeds stay where they are, carriage returns too. Narrow: no shuffle."""
     rules = rules or catalog.builtin()
+    return df.withColumn(out_col, once(lambda: _masked_text(F.col(text_col), mode, rules), "mask_text", text_col, mode, rules))
 
+
+def _masked_text(text: Column, mode: str, rules: catalog.RuleSet) -> Column:
     def line(x: Column) -> Column:
         core = F.rtrim(x, F.lit("\r"))
         return F.concat(splice(core, findings(core, rules), mode, rules), F.substr(x, F.length(core) + 1))
 
-    text = F.col(text_col)
     masked = F.array_join(F.transform(F.split(text, "\n", -1), line), "\n")
-    return df.withColumn(out_col, F.when(F.rlike(text, F.lit(rules.guard)), masked).otherwise(text) if rules.guard else masked)
+    return F.when(F.rlike(text, F.lit(rules.guard)), masked).otherwise(text) if rules.guard else masked
