@@ -58,8 +58,30 @@ def _inner(xml: str, tag: str, start: int = 0, end: int | None = None) -> list[t
 
 
 def runs(outer: str, inner: str) -> Finder:
-    """One slot for each ``outer`` element: the text of all its ``inner`` elements together."""
-    return lambda xml: [_slot(xml, _inner(xml, inner, a, b)) for a, b in _inner(xml, outer)]
+    """One slot for each ``outer`` element: the text of the ``inner`` elements that are in it and in no ``outer`` within it.
+
+    Paragraphs of text boxes, cells and headers stand within other paragraphs; text after them still belongs to the
+    outer one. Slots come in the order in which the elements open.
+    """
+    tags = re.compile(rf"<(?P<close>/?){re.escape(outer)}(?=[\s/>])[^>]*>|<{re.escape(inner)}(?=[\s/>])[^>]*>")
+
+    def find(xml: str) -> list[Slot]:
+        spans: list[list[tuple[int, int]]] = []
+        inside: list[int] = []
+        for m in tags.finditer(xml):
+            if m["close"]:
+                if inside:
+                    inside.pop()
+            elif m[0].endswith("/>"):
+                continue
+            elif m["close"] == "":
+                inside.append(len(spans))
+                spans.append([])
+            elif inside and (stop := xml.find(f"</{inner}>", m.end())) >= 0:
+                spans[inside[-1]].append((m.end(), stop))
+        return [_slot(xml, s) for s in spans]
+
+    return find
 
 
 def contents(tag: str) -> Finder:

@@ -168,6 +168,13 @@ def test_runs_are_kept_where_nothing_changed():
         containers.rewrite("docx", data, ["ab", "c", "d"])
 
 
+def test_paragraphs_within_paragraphs():
+    data = zipped({"word/document.xml": "<w:p w:id='1'><w:t>a</w:t><w:txbxContent><w:p><w:t>b</w:t></w:p><w:p/></w:txbxContent><w:t>c</w:t></w:p><w:pPr/><w:p><w:t/></w:p>"})
+    assert [t for _, t in containers.extract("docx", data)] == ["ac", "b", ""]
+    out = containers.read_parts(containers.rewrite("docx", data, ["X", "Y", ""]))[0][1]
+    assert out == b"<w:p w:id='1'><w:t>X</w:t><w:txbxContent><w:p><w:t>Y</w:t></w:p><w:p/></w:txbxContent><w:t></w:t></w:p><w:pPr/><w:p><w:t/></w:p>"
+
+
 def test_shared_string_index_is_no_number():
     data = zipped({**BOOK, "xl/worksheets/sheet1.xml": "<c t=\"s\"><v>4111111111111111</v></c><c><v>5</v></c>"})
     assert [t for _, t in containers.extract("xlsx", data)] == ["5"]
