@@ -11,12 +11,19 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 
+#: Rows of an Arrow batch when rows hold files: their bytes are in memory together.
+BATCH_ROWS = 64
+
+
 def add_struct(df: DataFrame, name: str, inputs: list[str], schema: str, make: Callable[..., dict[str, Any]]) -> DataFrame:
     """``df`` with a struct column ``name``: ``make`` of the row's ``inputs``.
 
-    Other columns pass through as Arrow; each input row is handed over by itself, so the memory of the function is
-    that of one row. Nothing is shuffled.
+    Other columns pass through as Arrow; each input row is handed over by itself. The session's Arrow batches are
+    lowered to ``BATCH_ROWS`` rows, so that files of some MB fit. Nothing is shuffled.
     """
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(limit)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(limit, str(BATCH_ROWS))
     kind = T.StructType([f for f in T._parse_datatype_string(schema)])
     arrow = to_arrow_type(kind)
     at = [df.columns.index(c) for c in inputs]

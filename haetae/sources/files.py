@@ -90,15 +90,13 @@ def rewrite(name: str, data: bytes, kind: str, encoding: str | None, masked: lis
         decoded = text.decode(data)[0]
         spans = [(offsets[c["paragraph_index"]] + c["char_start"], offsets[c["paragraph_index"]] + c["char_end"], c["replacement"]) for c in changes]
         return {"content": text.encode(_splice(decoded, sorted(spans), kind == "json"), encoding or text.UTF8), "name": name, "note": None}
-    if kind in ZIPS:
+    if kind in ZIPS or kind == "hwp":
         try:
-            return {"content": containers.rewrite(kind, data, masked), "name": name, "note": None}
+            return {"content": hwp.rewrite(data, masked) if kind == "hwp" else containers.rewrite(kind, data, masked), "name": name, "note": None}
         except Exception as error:  # noqa: BLE001  any failure to keep the format gives text and says so
             return {**plain, "note": f"원 포맷 재작성에 실패하여 TXT로 대체했습니다: {error}"}
     if kind == "pdf":
         return {**plain, "note": "PDF 텍스트 레이어 재작성은 지원하지 않아 TXT로 대체 출력합니다."}
-    if kind == "hwp":
-        return {**plain, "note": "HWP 재작성은 지원하지 않아 TXT로 대체 출력합니다."}
     return {"content": data, "name": name, "note": "지원하지 않는 형식이라 원본을 그대로 둡니다."}
 
 

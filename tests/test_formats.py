@@ -221,6 +221,28 @@ def test_reports_and_bundle(results):
     assert zipfile.ZipFile(io.BytesIO(containers.bundle([("a.b", b"1"), ("a.b", b"2")]))).namelist() == ["a.b", "a (2).b"]
 
 
+def test_hwp5_rewrite():
+    control = struct.pack("<8H", 11, 1, 2, 3, 4, 5, 6, 11)
+    text = f"가 {RRN}".encode("utf-16-le") + control + "끝😀\r".encode("utf-16-le")
+    n = len(text) // 2
+    record = hwp._record
+    section = record(hwp.PARA_HEADER, struct.pack("<I", n) + bytes(18)) + record(hwp.PARA_TEXT, text) + record(hwp.PARA_SHAPE, struct.pack("<4I", 0, 7, n - 4, 8)) + record(99, b"z" * 5000)
+    data = hwp5(section, f"{RRN} 미리")
+    assert [t for _, t in hwp.extract(data)[0]] == [f"가 {RRN}끝😀", f"{RRN} 미리"]
+    for new in ("가 ******-*******끝😀", "가 [주민번호]끝😀", "가 끝😀", "다른 글", "", f"가 {RRN}끝😀!" + "x" * 3000):
+        out = hwp.rewrite(data, [new, "p"])
+        assert [t for _, t in hwp.extract(out)[0]] == [new, "p"] and hwp.is_hwp5(out)
+        rows = list(hwp.records(zlib.decompressobj(-15).decompress(hwp.CompoundFile(out).read("BodyText/Section0"))))
+        assert struct.unpack_from("<I", rows[0][1])[0] == len(rows[1][1]) // 2 and control in rows[1][1] and rows[3] == (99, b"z" * 5000)
+        first, _, second, shape = struct.unpack("<4I", rows[2][1])
+        assert first == 0 and second <= len(rows[1][1]) // 2 and shape == 8
+    assert hwp.CompoundFile(hwp.rewrite(data, ["a", "b"])).read("FileHeader") == hwp.CompoundFile(data).read("FileHeader")
+    big = hwp.CompoundFile(data).write({"PrvText": bytes(range(256)) * 40_000})
+    assert hwp.CompoundFile(big).read("PrvText") == bytes(range(256)) * 40_000 and len(big) > 10_000_000
+    with pytest.raises(ValueError):
+        hwp.rewrite(data, ["a", "b", "c"])
+
+
 def test_sniff():
     expected = {"a.tsv": "csv", "a.LOG": "txt", "a.xyz": "txt", "x.pdf": "pdf", "dir.v1/readme": "txt", "a.hwp": "hwp"}
     assert {n: sniff(n, b"hello") for n in expected} == expected
