@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of text handed to a kernel at once; one longer text goes alone.
-SLICE_BYTES = 1 << 20
+#: Bytes of text handed to a kernel at once; one longer text goes alone. Rows of an Arrow batch: with long texts, thousands would fill an executor.
+SLICE_BYTES, BATCH_ROWS = 1 << 19, 512
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -75,6 +75,13 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0] : ends[-1]], ends - ends[0]
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """No more than ``BATCH_ROWS`` rows in an Arrow batch of this session; fewer, if it is set so."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def add_columns(df: DataFrame, text: str, fields: str, make: Callable[[], Callable[[pa.Array], dict[str, Any]]], keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``df`` (all by default) and the ``fields`` that a kernel derives from ``text``.
 
@@ -89,17 +96,19 @@ def add_columns(df: DataFrame, text: str, fields: str, make: Callable[[], Callab
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = [(f.name, to_arrow_type(f.dataType)) for f in new]
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text__"))
+    bound_batches(df.sparkSession)
+    own = keep.index(text) if text in keep else len(keep)  # a kept text isn't handed over twice
+    source = df.select(*[F.col(f"`{c}`") for c in (keep if own < len(keep) else [*keep, text])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make()
         for batch in batches:
-            texts = arrow_texts(batch.column(batch.num_columns - 1))
+            texts = arrow_texts(batch.column(own))
             for a, b in slices(texts):
                 made = kernel(texts.slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(keep))] + [x if isinstance(x := made[n], pa.Array) else pa.array(x, kind) for n, kind in kinds], names=[*keep, *[n for n, _ in kinds]])
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], *new.fields]))
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[: len(keep)], *new.fields]))
 
 
 # Byte kernels. A polynomial hash modulo 2**64 with an odd base: any substring's hash comes from two prefix sums.

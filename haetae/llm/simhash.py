@@ -16,7 +16,7 @@ from haetae.llm.components import components
 #: Words of a shingle, seed of the hash, and differing bits up to which fingerprints link.
 SHINGLE, SEED, BUDGET = 4, 42, 4
 #: Node pairs that the traversal holds at once, and fingerprints from which a group is dealt out further.
-FRONTIER, GROUP = 1 << 20, 100_000
+FRONTIER, GROUP = 1 << 17, 100_000
 _U1 = np.uint64(1)
 
 
