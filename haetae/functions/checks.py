@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 CONFIRMED, SUSPICIOUS, MASKED, SKIP = "confirmed", "suspicious", "already_masked", "skip"
 
 
+#: Korean names of the verdicts. Fixed values.
+LABELS = {CONFIRMED: "확정", SUSPICIOUS: "의심", MASKED: "이미 마스킹됨"}
+
+
+def verdict_label(confidence: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair]), confidence)
+
+
 def digit_stars(raw: Column) -> Column:
     """ASCII digits and stars."""
     return F.regexp_replace(raw, "[^0-9*]", "")

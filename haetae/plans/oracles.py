@@ -239,6 +239,8 @@ ORACLES: dict[str, str] = {
     "paragraph_split": f"WITH lines AS ({lines(DOCS)}) SELECT k AS doc_id, count(*) AS n, CAST(sum(len(text)) AS BIGINT) AS chars, CAST(max(pi) AS INTEGER) AS last FROM lines GROUP BY k",
     "text_paragraph_counts": "SELECT role, CAST(sum(len(string_split(coalesce(text, ''), chr(10)))) AS BIGINT) AS n FROM conversations GROUP BY role",
     "csv_records": "SELECT conv_id, turn, 3 AS n, CAST(len(text) + len(role) + 5 AS INTEGER) AS first_chars, '' AS last_record FROM conversations WHERE len(text) - len(replace(text, '\"', '')) = 0",
+    "full_texts": r"SELECT doc_id, md5(regexp_replace(regexp_replace(coalesce(text, '') , '\r+(\n|$)', '\1', 'g'), '^\n+', '') || chr(10)) AS text_md5 FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, md5('') FROM documents WHERE text IS NULL",
+    "verdict_labels": over(IDENTIFIERS, f"SELECT {LABEL} AS label, CASE confidence WHEN 'confirmed' THEN '확정' WHEN 'suspicious' THEN '의심' ELSE '이미 마스킹됨' END AS verdict, count(*) AS n, min({PREVIEW}) AS least FROM found GROUP BY 1, 2"),
     "csv_report_rows": over(DOCS, f"SELECT doc_id || '.txt' AS filename, coalesce({ID}, '') AS type, coalesce({LABEL}, '') AS label, CAST(coalesce(n, 0) AS INTEGER) AS count, CAST(coalesce(confirmed, 0) AS INTEGER) AS confirmed, CAST(coalesce(suspicious, 0) AS INTEGER) AS suspicious, CAST(coalesce(already_masked, 0) AS INTEGER) AS already_masked, coalesce(rc, 0) AS residual_confirmed, coalesce(rs, 0) AS residual_suspicious, coalesce(preview, '') AS preview FROM documents LEFT JOIN (SELECT k, r, count(*) AS n, {COUNTS}, arg_min({LINE}, pi * 1000000 + s) AS preview FROM found GROUP BY k, r) g ON doc_id = g.k LEFT JOIN left_over ON doc_id = left_over.k", masked("full"), LEFT),
     "process_text_files": over(
         DOCS,

@@ -14,7 +14,7 @@ from haetae.operators import mask as m
 from haetae.operators import summary as s
 from haetae.plans.process import Config, process, text_files
 from haetae.sinks.reports import csv_rows
-from haetae.sources.text import replace_extension, text_csv_records, text_lines
+from haetae.sources.text import full_text, replace_extension, text_csv_records, text_lines
 from haetae.streaming.scan import detect_stream, windowed_counts
 
 DETAIL = ["paragraph_index", "rule_id", "label", "raw", "masked_preview", "confidence", "byte_start", "byte_end", "char_start", "char_end", "context_before", "context_after"]
@@ -134,6 +134,16 @@ def text_paragraph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").groupBy("role").agg(F.sum(F.size(text_lines(F.col("text")))).alias("n"))
 
 
+def full_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = full_text(text_lines(F.concat(F.lit("\n\n"), F.col("text"), F.lit("\r\n"))))
+    return documents(spark, sf_dir).select("doc_id", F.md5(text.cast("binary")).alias("text_md5"))
+
+
+def verdict_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = d.detect(identifiers(spark, sf_dir), ["c_custkey"])
+    return found.groupBy("label", checks.verdict_label(F.col("confidence")).alias("verdict")).agg(F.count("*").alias("n"), F.min("masked_preview").alias("least"))
+
+
 def csv_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv_rows(process(text_files(documents(spark, sf_dir), "doc_id"), Config(mode="full"))).drop("at")
 
@@ -225,6 +235,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "paragraph_split": paragraph_split,
     "text_paragraph_counts": text_paragraph_counts,
     "csv_records": csv_records,
+    "full_texts": full_texts,
+    "verdict_labels": verdict_labels,
     "csv_report_rows": csv_report_rows,
     "process_text_files": process_text_files,
     "findings_by_lang": findings_by_lang,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haetae.functions.escapes import csv_escape, html_escape
+from haetae.operators.detect import FINDING
 
 COLUMNS = ("filename", "type", "label", "count", "confirmed", "suspicious", "already_masked", "residual_confirmed", "residual_suspicious", "preview")
 
@@ -35,6 +36,23 @@ def json_lines(reports: DataFrame) -> DataFrame:
     return reports.select("filename", F.to_json(F.struct(*kept), {"ignoreNullFields": "false"}).alias("json"))
 
 
+SUMMARY = "array<struct<rule_id:string,label:string,count:int,confirmed:int,suspicious:int,already_masked:int,preview:string>>"
+SCHEMA = f"filename string, format string, warnings array<string>, error string, paragraph_count int, findings array<{FINDING}>, summaries {SUMMARY}, diffs array<struct<paragraph_index:int,before:string,after:string>>, confirmed int, suspicious int, already_masked int, residual_confirmed int, residual_suspicious int, output_name string, fallback_note string"
+
+
+def from_json_lines(lines: DataFrame, json_col: str = "json") -> DataFrame:
+    """Reports out of ``json_lines``: CSV and HTML can be made of them again."""
+    return lines.select(F.from_json(json_col, SCHEMA).alias("r")).select("r.*")
+
+
+def from_json_report(spark: SparkSession, report: str) -> DataFrame:
+    """Reports out of one JSON document."""
+    import json
+
+    files = [(json.dumps(f, ensure_ascii=False),) for f in json.loads(report)["files"]]
+    return from_json_lines(spark.createDataFrame(files, "json string"))
+
+
 def json_report(reports: DataFrame) -> str:
     """One JSON document of all reports, for the driver."""
     import json

@@ -82,3 +82,8 @@ def text_csv_records(text: Column) -> Column:
 
     records = F.aggregate(F.split(F.coalesce(text, F.lit("")), "\n", -1), start, step, lambda acc: acc["out"])
     return F.transform(records, lambda x: F.rtrim(x, F.lit("\r")))
+
+
+def full_text(paragraphs: Column) -> Column:
+    """Paragraphs as one text with line feeds between; empty ones before the first text add none."""
+    return F.aggregate(paragraphs, F.lit(""), lambda acc, p: F.when(acc == "", p).otherwise(F.concat(acc, F.lit("\n"), p)))

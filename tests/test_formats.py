@@ -215,6 +215,8 @@ def test_reports_and_bundle(results):
     files = json.loads(reports.json_report(made))["files"]
     assert [f["filename"] for f in files] == ["a.txt", "other.zip", "q.csv"] and files[0]["findings"][0]["raw"] == RRN
     page = reports.html_report(made)
+    again = reports.from_json_report(made.sparkSession, reports.json_report(made))
+    assert reports.csv_report(again) == reports.csv_report(made) and reports.html_report(again) == page
     assert "<h2>a.txt" in page and "탐지 없음" in page and "<dt>계약자" in page
     with zipfile.ZipFile(io.BytesIO(sinks.zip_masked(made))) as out:
         assert sorted(out.namelist()) == ["a.txt", "other.zip", "q.csv"]
