@@ -17,6 +17,9 @@ EXTENSIONS = {
     "docx": "docx", "docm": "docx", "dotx": "docx", "dotm": "docx", "xlsx": "xlsx", "xlsm": "xlsx", "xltx": "xlsx", "xltm": "xlsx", "pptx": "pptx", "pptm": "pptx", "potx": "pptx", "potm": "pptx",
     "odt": "odt", "ott": "odt", "ods": "ods", "ots": "ods", "epub": "epub",
 }
+#: Messages about files. Fixed values.
+NOTE_FAILED, NOTE_PDF, NOTE_UNKNOWN = "원 포맷 재작성에 실패하여 TXT로 대체했습니다", "PDF 텍스트 레이어 재작성은 지원하지 않아 TXT로 대체 출력합니다.", "지원하지 않는 형식이라 원본을 그대로 둡니다."
+WARN_UNKNOWN, WARN_ARCHIVE = "지원하지 않는 형식입니다", "ZIP 컨테이너이지만 지원하는 문서가 아닙니다."
 TEXTS, ZIPS = ("txt", "csv", "json"), ("docx", "xlsx", "pptx", "odt", "ods", "epub", "hwpx")
 EXTRACTED = "format string, paragraphs array<string>, places array<string>, offsets array<int>, warnings array<string>, encoding string, error string"
 
@@ -74,7 +77,7 @@ def extract(name: str, data: bytes) -> dict[str, Any]:
     elif kind in ZIPS:
         placed = containers.extract(kind, data)
     else:
-        out["warnings"] = [f"지원하지 않는 형식입니다: {name}", "ZIP 컨테이너이지만 지원하는 문서가 아닙니다."]
+        out["warnings"] = [f"{WARN_UNKNOWN}: {name}", WARN_ARCHIVE]
     out["places"], out["paragraphs"] = [p for p, _ in placed], [t for _, t in placed]
     return out
 
@@ -94,10 +97,10 @@ def rewrite(name: str, data: bytes, kind: str, encoding: str | None, masked: lis
         try:
             return {"content": hwp.rewrite(data, masked) if kind == "hwp" else containers.rewrite(kind, data, masked), "name": name, "note": None}
         except Exception as error:  # noqa: BLE001  any failure to keep the format gives text and says so
-            return {**plain, "note": f"원 포맷 재작성에 실패하여 TXT로 대체했습니다: {error}"}
+            return {**plain, "note": f"{NOTE_FAILED}: {error}"}
     if kind == "pdf":
-        return {**plain, "note": "PDF 텍스트 레이어 재작성은 지원하지 않아 TXT로 대체 출력합니다."}
-    return {"content": data, "name": name, "note": "지원하지 않는 형식이라 원본을 그대로 둡니다."}
+        return {**plain, "note": NOTE_PDF}
+    return {"content": data, "name": name, "note": NOTE_UNKNOWN}
 
 
 def _splice(source: str, spans: list[tuple[int, int, str]], json: bool) -> str:

@@ -7,6 +7,7 @@ import zlib
 from collections.abc import Iterator
 from typing import Any
 
+#: Messages about texts. Fixed values.
 WARN_NO_TEXT, WARN_NO_PAGES = "텍스트 없음: 스캔 PDF이거나 텍스트 레이어가 없습니다.", "PDF에 페이지가 없습니다."
 #: Annotation types that hold notes, and the Info entries that are read. Fixed values.
 NOTES = ("Text", "Highlight", "FreeText", "Widget", "Popup", "StrikeOut", "Underline", "Caret", "Square", "Circle", "Line")

@@ -9,6 +9,7 @@ UTF8, UTF8_BOM, UTF16_LE, UTF16_BE, EUC_KR = "utf8", "utf8_bom", "utf16_le", "ut
 #: Byte order marks, in the order in which they are looked for, and Python's codecs. EUC-KR means code page 949.
 MARKS = ((UTF8_BOM, b"\xef\xbb\xbf"), (UTF16_LE, b"\xff\xfe"), (UTF16_BE, b"\xfe\xff"))
 CODECS = {UTF8: "utf-8", UTF8_BOM: "utf-8", UTF16_LE: "utf-16-le", UTF16_BE: "utf-16-be", EUC_KR: "cp949"}
+#: Messages about encodings. Fixed values.
 WARN_KR, WARN_KR_LOSSY = "EUC-KR/CP949 로 해석했습니다.", "UTF-8이 아니어서 EUC-KR로 해석했습니다."
 
 
