@@ -187,12 +187,16 @@ def _forest(prints: np.ndarray, mask: int, budget: int) -> tuple[np.ndarray, np.
 
 
 def _clusters(prints: DataFrame, budget: int, group: int) -> DataFrame:
-    """(fp, n_ids, least) for each fingerprint: its component's root, and the smallest doc_id of the component."""
+    """(fp, root, component_id) for each fingerprint: its component's root, and the smallest doc_id of the component.
+
+    Only linked fingerprints are grouped by root. Their smallest ids are materialised before they are joined back,
+    so that the join of a large component's fingerprints can be split.
+    """
     each = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(each.select("fp"), budget, group))
-    each = each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = each.groupBy("root").agg(F.min("least").alias("component_id"))
-    return each.select("fp", "root").join(smallest, "root")
+    linked = each.join(components(links(each.select("fp"), budget, group)).withColumnRenamed("node", "fp"), "fp")
+    smallest = cut_lineage(linked.groupBy("root").agg(F.min("least").alias("component_id")))
+    found = each.join(linked.select("fp", "root").join(smallest, "root"), "fp", "left")
+    return found.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, group: int = GROUP) -> DataFrame:
