@@ -133,7 +133,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, at_once: int = AT_ONCE) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no window of a benchmark item occurs."""
+    """The rows of ``docs``, all columns, in which no window of a benchmark item occurs; null and empty texts stay, ids don't matter."""
     for make in _kernels(docs, benchmark, item_col, item_text_col, window, at_once):
         made = add_private(docs, text_col, FIELDS, make)
         docs = made.filter(F.size(made.private("items")) == 0).done()

@@ -142,8 +142,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     chosen = F.lit(False)
     for lang, n in counts.items():
         chosen |= (F.col("lang") == lang) & (draw < min(1 << 20, int((1 << 20) * sample / n) + 1))
-    found = rows.filter(chosen).select("id", F.substring("text", 1, chars).alias("text"), "lang").orderBy("id", "lang", "text").collect()
-    return learn([r["text"] for r in found], [r["lang"] for r in found])
+    found = sorted(tuple(r) for r in rows.filter(chosen).select("lang", "id", F.substring("text", 1, chars).alias("text")).collect())
+    return learn([text for _, _, text in found], [lang for lang, _, _ in found])
 
 
 def _kernel(profiles: Profiles) -> Callable[[], Callable[[pa.Array], dict[str, Any]]]:
@@ -168,6 +168,9 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
 
 
 def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text", least: float = 0.15) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is in a known language: not ``und`` and a score of ``least`` or more."""
+    """The rows of ``docs``, all columns, whose text is in a known language: not ``und`` and a score of ``least`` or more.
+
+    Null and empty texts and those without a letter go; ids don't matter, repeated rows stay as they are.
+    """
     made = add_private(docs, text_col, "lang_pred string, lang_score double", _kernel(profiles))
     return made.filter((made.private("lang_pred") != UNKNOWN) & (made.private("lang_score") >= least)).done()

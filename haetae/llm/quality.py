@@ -134,6 +134,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", keep: float = KEEP) -> DataFrame:
-    """The rows of ``docs``, all columns, that score ``keep`` or more."""
+    """The rows of ``docs``, all columns, that score ``keep`` or more; a null text scores as an empty one, ids don't matter."""
     made = add_private(docs, text_col, "quality_score double", _kernel(docs, model))
     return made.filter(made.private("quality_score") >= keep).done()
