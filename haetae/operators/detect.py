@@ -19,8 +19,8 @@ def candidates(text: Column, rules: catalog.RuleSet) -> Column:
     """All matches by falling priority of the rule, then start, then pattern: array<struct<rule, start, ord, raw>>, start in characters.
 
     A pattern's non-overlapping leftmost matches come from one extraction; the pieces between them, from one split,
-    give where each begins. Rules with the same pattern share its matches; a pattern that doesn't match costs one
-    test. The walk over matches and pieces is one expression for all patterns.
+    give where each begins. Rules with the same pattern share its matches; built-in patterns that can't match are
+    skipped by one test for many of them, others cost one test each. The walk over matches and pieces is one expression for all patterns.
     """
     uses: dict[str, list[tuple[int, int]]] = {}
     for i, rule in enumerate(rules):
@@ -29,11 +29,11 @@ def candidates(text: Column, rules: catalog.RuleSet) -> Column:
     none = F.array().cast(_CANDIDATE)
     if not uses:
         return none
-    found = []
+    guards, found = catalog.pattern_guards(), {}
     for p, who in uses.items():
         java = catalog.java_pattern(p)
         for_rules = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(j).alias("ord")) for i, j in who])
-        found.append(F.when(F.rlike(text, F.lit(java)), F.struct(for_rules.alias("who"), F.regexp_extract_all(text, F.lit(java), F.lit(0)).alias("raws"), F.split(text, java, -1).alias("gaps"))))
+        found.setdefault(guards.get(p), []).append(F.when(F.rlike(text, F.lit(java)), F.struct(for_rules.alias("who"), F.regexp_extract_all(text, F.lit(java), F.lit(0)).alias("raws"), F.split(text, java, -1).alias("gaps"))))
 
     def walk(m: Column) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,raw:string>>").alias("out"))
@@ -46,7 +46,8 @@ def candidates(text: Column, rules: catalog.RuleSet) -> Column:
         spans = F.aggregate(pairs, start, step, lambda acc: acc["out"])
         return F.flatten(F.transform(m["who"], lambda w: F.transform(spans, lambda s: F.struct(w["rule"].alias("rule"), s["start"].alias("start"), w["ord"].alias("ord"), s["raw"].alias("raw")))))
 
-    return F.array_sort(F.flatten(F.transform(F.array_compact(F.array(*found)), walk)))
+    groups = [F.array_compact(F.array(*made)) if guard is None else F.when(F.rlike(text, F.lit(guard)), F.array_compact(F.array(*made))) for guard, made in found.items()]
+    return F.array_sort(F.flatten(F.transform(F.flatten(F.array_compact(F.array(*groups))), walk)))
 
 
 def _bounded(text: Column, start: Column, end: Column) -> Column:
@@ -127,7 +128,8 @@ def line_findings(rules: catalog.RuleSet) -> Column:
 def paragraphs(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """``keys``, paragraph_index and text of every line; an empty or null text is one empty line. Carriage returns before a line feed go."""
     lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), lambda x: F.rtrim(x, F.lit("\r")))
-    return df.select(*keys, F.posexplode(lines).alias("paragraph_index", "text"))
+    # The outer form: from the plain one the optimizer infers a filter on the size, and splits each text twice.
+    return df.select(*keys, F.posexplode_outer(lines).alias("paragraph_index", "text"))
 
 
 def detect(df: DataFrame, keys: list[str], text_col: str = "text", rules: catalog.RuleSet | None = None) -> DataFrame:
@@ -137,4 +139,5 @@ def detect(df: DataFrame, keys: list[str], text_col: str = "text", rules: catalo
     if rules.guard:
         lines = lines.filter(F.rlike(F.col("text"), F.lit(rules.guard)))
     found = lines.select(*keys, line_findings(rules).alias("found"))
-    return found.select(*keys, F.explode("found").alias("f")).select(*keys, "f.*")
+    # The outer form here as well: an inferred filter on the size would detect everything once more.
+    return found.select(*keys, F.explode_outer("found").alias("f")).filter("f is not null").select(*keys, "f.*")

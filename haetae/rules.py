@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tomllib
 from collections.abc import Sequence
@@ -137,6 +138,12 @@ patterns = [
 GUARD = r"(?U)[\d*@:]"
 
 
+#: Further tests, each passed by every match of a pattern: six digits or stars with at most one separator between
+#: neighbours for numbers, and what an address can't be without. A property of the pattern, whatever rule has it.
+DENSE = r"(?U)[\d*](?:[\s\-–]?[\d*]){5}"
+_MARKS = {"email": (r"@",), "ip_address": (r"(?U)\d\.\d", r":")}
+
+
 class RuleError(ValueError):
     """A rule file that can't be used."""
 
@@ -226,6 +233,12 @@ def builtin() -> RuleSet:
     return load(BUILTIN_TOML, GUARD)
 
 
+@functools.lru_cache
+def pattern_guards() -> dict[str, str]:
+    """For each built-in pattern a cheap test that every match passes."""
+    return {p: _MARKS[r.id][i] if r.id in _MARKS else DENSE for r in builtin() for i, p in enumerate(r.patterns)}
+
+
 def overlay(base: RuleSet, toml_text: str) -> RuleSet:
     """``base`` with further rules: one with a known id takes the other's place, others are added; blank text changes nothing."""
     if not toml_text.strip():
