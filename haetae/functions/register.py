@@ -1,4 +1,4 @@
-"""SQL functions: pii_detect (table function), pii_mask and pii_check."""
+"""SQL functions: find_identifiers (table function), mask_identifiers and check_identifier."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from haetae.functions.masks import parse_mode
 
 
 def register(spark: SparkSession, rules: catalog.RuleSet | None = None) -> None:
-    """``pii_detect(text)`` gives a row for each finding of every line, ``pii_mask(text, mode)`` the masked text, ``pii_check(raw, validator)`` a verdict.
+    """``find_identifiers(text)`` gives a row for each finding of every line, ``mask_identifiers(text, mode)`` the masked text, ``check_identifier(raw, validator)`` a verdict.
 
     They are for SQL text; in DataFrame code the expressions in ``operators`` do the same inside the JVM.
     """
@@ -26,7 +26,7 @@ def register(spark: SparkSession, rules: catalog.RuleSet | None = None) -> None:
                 for f in plain.find(line.rstrip("\r"), rules):
                     yield i, f.rule_id, f.label, f.raw, f.masked_preview, f.confidence, f.char_start, f.char_end
 
-    spark.udtf.register("pii_detect", F.udtf(Detect, returnType="paragraph_index int, rule_id string, label string, raw string, masked_preview string, confidence string, char_start int, char_end int"))
+    spark.udtf.register("find_identifiers", F.udtf(Detect, returnType="paragraph_index int, rule_id string, label string, raw string, masked_preview string, confidence string, char_start int, char_end int"))
 
     def line(text: str, mode: str) -> str:
         core = text.rstrip("\r")
@@ -40,5 +40,5 @@ def register(spark: SparkSession, rules: catalog.RuleSet | None = None) -> None:
     def check(raws: pd.Series, validators: pd.Series) -> pd.Series:
         return pd.Series([None if r is None else plain.judge(r, v or "none") for r, v in zip(raws, validators)])
 
-    spark.udf.register("pii_mask", mask)
-    spark.udf.register("pii_check", check)
+    spark.udf.register("mask_identifiers", mask)
+    spark.udf.register("check_identifier", check)

@@ -145,9 +145,9 @@ def test_sql_functions(spark):
     from haetae.functions.register import register
 
     register(spark)
-    assert spark.sql("SELECT rule_id, paragraph_index FROM pii_detect('x\na@b.co')").collect() == [("email", 1)]
-    assert spark.sql("SELECT pii_mask('a@b.co 010-1234-5678', '부분') AS m").first().m == "a@b.co 010-****-5678"
-    assert spark.sql("SELECT pii_check('4111111111111112', 'luhn') AS c").first().c == "suspicious"
+    assert spark.sql("SELECT rule_id, paragraph_index FROM find_identifiers('x\na@b.co')").collect() == [("email", 1)]
+    assert spark.sql("SELECT mask_identifiers('a@b.co 010-1234-5678', '부분') AS m").first().m == "a@b.co 010-****-5678"
+    assert spark.sql("SELECT check_identifier('4111111111111112', 'luhn') AS c").first().c == "suspicious"
 
 
 def test_stream_equals_batch(spark, tmp_path):
