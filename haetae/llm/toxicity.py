@@ -18,6 +18,8 @@ from haetae.llm.sampling import labelled_sample
 PER_CLASS, CHARS = 3000, 20_000
 #: Buckets of hashed terms, latent factors of each, and the value of a term that a text has.
 BITS, FACTORS, VALUE = 18, 8, 0.5
+#: Pull to zero of the weight and of the factors of a term that alone does not tell the classes apart. Fixed values.
+PULL_WEIGHT, PULL_FACTORS = 0.01, 0.003
 #: A word is a term, and so are its first 4, 5 and 6 bytes if it is longer.
 PREFIXES = (4, 5, 6)
 
@@ -41,7 +43,7 @@ def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclasses.dataclass
 class Model:
-    """``slot[bucket]``: row of ``weights`` and ``factors``, 0 (all zero) for terms that were too rare to learn."""
+    """``slot[bucket]``: row of ``weights`` and ``factors``, 0 (all zero) for terms that were too rare to learn or tell nothing."""
 
     slot: np.ndarray
     weights: np.ndarray
@@ -65,8 +67,10 @@ class Model:
 def train(texts: list[str], labels: list[int], rounds: int = 12, rate: float = 0.15, l2: float = 1e-4, least: int = 5, sure: float = 3.5, seed: int = 1) -> Model:
     """Adagrad on the log loss in mini-batches; both classes weigh the same.
 
-    Only terms take part that ``least`` texts have and whose shares in the two classes differ by ``sure`` standard
-    errors or more: the many made-up or rare words would only be learnt by heart.
+    All terms take part that ``least`` texts have. Those whose shares in the two classes differ by less than ``sure``
+    standard errors may still tell in pairs, but most are made-up or rare words that would be learnt by heart: each
+    step pulls their weight (lasso) and their factors (group lasso) towards zero, where they stay unless the loss
+    keeps pulling the other way.
     """
     y = np.array(labels, float)
     owner, bucket, at = [], [], 0
@@ -80,14 +84,14 @@ def train(texts: list[str], labels: list[int], rounds: int = 12, rate: float = 0
     have = np.stack([np.bincount(bucket[y[owner] == k], minlength=1 << BITS) for k in (0, 1)]) if len(y) else np.zeros((2, 1 << BITS))
     size, both = np.maximum([(y == 0).sum(), (y == 1).sum()], 1), have.sum(0)
     spread = np.sqrt(np.maximum(both / size.sum() * (1 - both / size.sum()), 1e-12) * (1 / size).sum())
-    seen = (both >= least) & (np.abs(have[1] / size[1] - have[0] / size[0]) >= sure * spread)
+    if not len(y) or y.min() == y.max():
+        return Model(np.zeros(1 << BITS, np.int32), np.zeros(1), np.zeros((1, FACTORS)), 0.0 if not len(y) else (3.0 if y[0] else -3.0))
+    seen = both >= least
+    weak = np.r_[False, np.abs(have[1] / size[1] - have[0] / size[0])[seen] < (sure * spread)[seen]]
     slot = np.where(seen, np.cumsum(seen), 0).astype(np.int32)
     n, random = int(seen.sum()) + 1, np.random.default_rng(seed)
-    model = Model(slot, np.zeros(n), random.normal(0, 0.02, (n, FACTORS)), 0.0)
+    model = Model(slot, np.zeros(n), random.normal(0, 0.1, (n, FACTORS)), 0.0)
     model.factors[0] = 0
-    if not len(y) or y.min() == y.max():
-        model.bias = 0.0 if not len(y) else (3.0 if y[0] else -3.0)
-        return model
     owner, slots = owner[seen[bucket]], slot[bucket[seen[bucket]]]
     starts = np.searchsorted(owner, np.arange(len(y) + 1))
     share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
@@ -112,7 +116,14 @@ def train(texts: list[str], labels: list[int], rounds: int = 12, rate: float = 0
             model.weights[used] -= rate * dw / np.sqrt(gw[used])
             model.factors[used] -= rate / 4 * dv / np.sqrt(gv[used])
             model.bias -= rate * error.sum() / np.sqrt(gb)
-    return model
+            used = used[weak[used]]
+            w, v = model.weights[used], model.factors[used]
+            model.weights[used] = np.sign(w) * np.maximum(np.abs(w) - rate * PULL_WEIGHT / np.sqrt(gw[used]), 0)
+            step = rate / 4 * PULL_FACTORS / np.sqrt(gv[used].mean(1))
+            model.factors[used] = v * np.maximum(1 - step / np.maximum(np.sqrt((v * v).sum(1)), 1e-12), 0)[:, None]
+    left = (model.weights != 0) | model.factors.any(1)
+    left[0] = True  # the row of unknown terms; other rows of zeros change no score
+    return Model((np.cumsum(left) - 1)[np.where(left[slot], slot, 0)].astype(np.int32), model.weights[left], model.factors[left], model.bias)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, chars: int = CHARS) -> Model:

@@ -119,6 +119,18 @@ def test_pairs_of_terms_count():
     assert (score[:2] > 0.5).all() and (score[2:] < 0.5).all()
 
 
+def test_pairs_of_terms_count_as_fitted(spark):
+    """The same with the values that ``fit`` has, and among other words: no word of the pairs tells the classes apart alone."""
+    rng = np.random.default_rng(0)
+    for noise in (0, 20):
+        made = rng.integers(0, 2, (1600, 2))
+        texts = [" ".join([*(f"w{x:05d}" for x in rng.integers(0, 400, noise)), "alpha" if a else "gamma", "omega" if b else "delta"]) for a, b in made]
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+        marks = spark.createDataFrame([(i, int(a == b)) for i, (a, b) in enumerate(made.tolist())], "doc_id long, toxic int")
+        rows = toxicity.score(docs, toxicity.fit(docs, marks)).filter("held_out").collect()
+        assert len(rows) > 200 and np.mean([r.predicted == (made[r.doc_id, 0] == made[r.doc_id, 1]) for r in rows]) >= 0.98
+
+
 def brute_rule(url):
     url = url or ""
     if "://" not in url:
