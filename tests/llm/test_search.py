@@ -243,3 +243,32 @@ def test_same_as_duckdb(spark, small, name):
     columns = [c[0] for c in cursor.description]
     assert sorted(columns) == sorted(made.columns)
     assert sorted(map(str, cursor.fetchall())) == sorted(map(str, (tuple(r[c] for c in columns) for r in made.collect())))
+
+
+def test_whole_licenses(spark):
+    """Whole texts where the system has them, notices of several lines, and SPDX names."""
+    folder = Path("/usr/share/common-licenses")
+    files = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "Artistic": "Artistic-1.0"}
+    want = [((folder / file).read_text("utf-8"), name) for file, name in files.items() if (folder / file).exists()]
+    want += [(text.split("END OF TERMS AND CONDITIONS")[0] + "END OF TERMS AND CONDITIONS\n", name) for text, name in want if "END OF TERMS AND CONDITIONS" in text]
+    want.append(("""# x.c: does y
+# Copyright (C) 2020 A. B.
+""", None))
+    want.append(("""/* Copyright (C) 2020 A. B.
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ *
+ * You should have received a copy of the GNU General Public License
+ * along with this program.  If not, see <https://www.gnu.org/licenses/>.
+ */""", "GPL-3.0-or-later"))
+    want += [(f"// SPDX-License-Identifier: {name}", name) for name in ("GPL-3.0-or-later", "AGPL-3.0-only", "EPL-2.0", "LGPL-2.1")]
+    rows = licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(want)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.license for r in rows} == {i: name for i, (_, name) in enumerate(want)}
