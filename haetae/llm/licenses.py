@@ -72,9 +72,24 @@ KNOWN = (
     ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
 )
 
+#: Words that after "copyright", and after "copyright the", go on with a clause and not with a name. Fixed values.
+_CLAUSE = "act acts all an and any applies are as at be below but can claim claims date disclaimer disclaimers doctrines does exists for from has have header holder holder's holders if in including infringement infringements information interest interests is it its law laws licence licences license licensed licenses like line lines material may message must not notice notices of office on only or owner owner's owners ownership permission permissions policy protected protection resulting right rights rules shall similar statement statements status such term terms that then this to treaties treaty under unless was which will with within without work works".split()
+_THE_CLAUSE = "above code copy copyrighted covered document documentation file files following holder holders law laws library licence license licensed licensor material materials notice notices original owner owners package product program result rights same software source text work works".split()
+
+
+def _other_than(words: list[str]) -> str:
+    """Pattern of a word that is none of ``words``, if its end is asked for behind it: not every engine has look-ahead."""
+    first = sorted({w[0] for w in words if w})
+    ends = r" \t\r\n.,:;()/"
+    turns = [c + _other_than([w[1:] for w in words if w[:1] == c]) for c in first]
+    return "(" + "|".join([*turns, f"[^{ends}{''.join(first)}][^{ends}]*", *([] if "" in words else [""])]) + ")"
+
+
 #: Lines that carry no terms: who holds the copyright, rights reserved, the licence's name by itself. After lower-casing.
 DROPPED = (
     r"(^|\n)[ \t*#/;>-]*copyright[ \t:,]*(\(c\)|©|[0-9]{4}|<|\[)[^\n]*",
+    r"(^|\n)[ \t*#/;>-]*portions copyright[ \t:,]*(\(c\)|©|[0-9]{4}|<|\[)[^\n]*",
+    r"(^|\n)[ \t*#/;>-]*(portions )?copyright[ \t:,]+(the[ \t]+" + _other_than([*_THE_CLAUSE, ""]) + "|" + _other_than([*_CLAUSE, "the", ""]) + r")([ \t\r.,:;()/][^\n]{0,80})?(\n|\z)",
     r"(^|\n)[ \t*#/;>-]*(\(c\)|©)[^\n]*",
     r"(^|\n)[ \t*#/;>-]*all rights reserved[ \t.]*",
     r"(^|\n)[ \t*#/;>-]*(the )?(mit|expat|isc|zlib|apache|bsd [0-9a-z-]+( clause)?) licen[cs]e( notice)?( \([a-z0-9. -]+\))?[ \t\r:]*(\n|\z)",
@@ -124,7 +139,6 @@ WHOLE = (
     ("2295e316b6e525a824b867463925b9336c159a244448c57e561e3a013db1ae5a", "Apache-2.0"),
     ("6dd8d52e606b65e8a7d2366f831c26b9b943ac031fec911d37be5b683c8fe83d", "Apache-2.0"),
     ("0195c70a48d95f44ab26a54d483056b4c2354355f4284aff675c6ce880a19207", "Apache-2.0"),
-    ("86b04a6e5baf211a30858c182d594e28d3b084e9bd2a4bafa3464a6a1518ef6e", "Apache-2.0"),
     ("128a92e969ac7c519436f141037191f811e921fbd64b2069386b33ad549461b8", "Apache-2.0"),
     ("e77388e5cf29a75d5c88ffbafec88f732e30ccaa9f1df51549770be7dbebf6be", "Apache-2.0"),
     ("9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56", "MPL-2.0"),

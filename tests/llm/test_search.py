@@ -272,3 +272,18 @@ def test_whole_licenses(spark):
     want += [(f"// SPDX-License-Identifier: {name}", name) for name in ("GPL-3.0-or-later", "AGPL-3.0-only", "EPL-2.0", "LGPL-2.1")]
     rows = licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(want)], "doc_id long, text string")).collect()
     assert {r.doc_id: r.license for r in rows} == {i: name for i, (_, name) in enumerate(want)}
+
+
+def test_copyright_lines(spark):
+    """Lines that name who has the copyright make no difference; clauses that begin alike stay."""
+    lines = ["Copyright The X Authors", "Copyright Jane Doe 2020", "  * Portions copyright A. B.", "Portions Copyright (c) 2001 C", "copyright: Noticeboard Ltd.", "Copyright the Softwarehouse Inc", "Copyright Jane\r"]
+    mit = licenses.KNOWN[0][1]
+    clauses = ["copyright notice, this list of conditions", "copyright holders and contributors", "copyright the software, and", "copyright law", "copyright", "portions copyright notice", "copyright " + "x y " * 40]
+    texts = [*(f"{line}\n\n{mit}" for line in lines), "\n".join(lines) + "\n" + mit, *(f"{c}\n{mit}" for c in clauses)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.digest, r.license, r.notices) for r in licenses.scan(df).collect()}
+    assert [got[i][1] for i in range(len(texts))] == ["MIT"] * (len(lines) + 1) + [None] * len(clauses)
+    assert all(got[i][0] == hashlib.sha256(licenses.canonical_text(t).encode()).hexdigest() for i, t in enumerate(texts))
+    con = duckdb.connect()
+    documents = df.toArrow()  # noqa: F841  DuckDB reads it by name
+    assert {r[0]: r[1:] for r in con.execute(licenses.oracle_sql()).fetchall()} == got
