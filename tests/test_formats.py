@@ -274,3 +274,20 @@ def test_read_files(spark, tmp_path):
     assert sorted((r.filename, r.paragraph_index, r.text) for r in rows)[0] == ("a.txt", 0, f"계약자 {RRN}") and len(rows) == 5
     sinks.write_masked(process(files), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_pdf_without_silent_cuts(monkeypatch):
+    """Links under any key, name trees of any size, and a warning for what could not be decoded."""
+    shown = lambda data: [t for _, t in pdf.extract(data)[0] if t.strip()]
+    uri = b"<</S/URI/URI(mailto:" + MAIL.encode() + b")>>"
+    for more, catalog in (({}, b"/OpenAction" + uri), ({5: b"<</S/GoTo/Next" + uri + b">>"}, b""), ({5: b"<</PA[" + uri + b"]>>"}, b"")):
+        assert shown(page_pdf(b" ", more=more, catalog=catalog)) == ["mailto:" + MAIL]
+    many = {i: b"<</Names[(d%d)[3 0 R]]>>" % i for i in range(20, 5020)}
+    kids = b" ".join(b"%d 0 R" % i for i in [*many, 11])
+    assert shown(page_pdf(b" ", more={**many, 11: b"<</Kids[" + kids + b"]>>"}, catalog=b"/Names<</Dests 11 0 R>>")) == [f"d{i}" for i in many]
+    lzw = page_pdf(b"BT (x) Tj ET", b"/Resources<</XObject<</F 5 0 R>>>>", {5: b"<</Subtype/Form/Filter/LZWDecode/Length 1>>stream\nx\nendstream "})
+    assert pdf.extract(lzw)[1] == [pdf.WARN_FILTER + "LZWDecode"]
+    form = PDFS["form.pdf"][0]
+    assert pdf.extract(form)[1] == []
+    monkeypatch.setattr(pdf, "MAX_STREAM", 5)
+    assert pdf.WARN_PART in pdf.extract(form)[1]
