@@ -38,7 +38,8 @@ def test_entry(spark):
 
 
 def test_optional_parts_may_be_gone(tmp_path):
-    """Without the optional folder and file the entry point still imports; an error inside them is not hidden."""
+    """Without the optional folder, with the pipeline's file or without, the entry point still imports; an error inside them is not hidden."""
+    import os
     import shutil
     import subprocess
     import sys
@@ -47,10 +48,18 @@ def test_optional_parts_may_be_gone(tmp_path):
     root = Path(__spark_entry__.__file__).resolve().parent
     shutil.copytree(root / "haetae", tmp_path / "haetae", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
-    run = lambda code: subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
-    done = run("import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))")
-    assert done.stdout.split() == [str(len(QUERIES)), str(len(ORACLES))], done.stderr
-    (tmp_path / "haetae" / "llm").mkdir()
+    env = {**os.environ, "PYTHONPATH": os.pathsep.join(p for p in sys.path if p and Path(p).resolve() != root), "PYTHONSAFEPATH": ""}
+    run = lambda code: subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    count = "import __spark_entry__ as e; print(e.__file__, len(e.queries()), len(e.oracle_sql()))"
+    mine = [str(tmp_path / "__spark_entry__.py"), str(len(QUERIES)), str(len(ORACLES))]
+    (tmp_path / "corpus_pipeline.py").write_text("from haetae.llm import bpe")
+    for gone in (None, tmp_path / "haetae" / "llm", tmp_path / "corpus_pipeline.py"):
+        if gone and gone.suffix:
+            gone.unlink()
+        elif gone:
+            (gone / "__pycache__").mkdir(parents=True)  # what a deletion may leave
+        done = run(count)
+        assert done.stdout.split() == mine, done.stderr
     (tmp_path / "haetae" / "llm" / "__init__.py").write_text("")
     (tmp_path / "haetae" / "llm" / "queries.py").write_text("import nothing_of_this_name")
     assert "nothing_of_this_name" in run("import __spark_entry__ as e; e.queries()").stderr
