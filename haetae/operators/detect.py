@@ -9,14 +9,16 @@ from haetae import rules as catalog
 from haetae.functions.checks import MASKED, SKIP, verdict
 from haetae.functions.masks import mask_full, mask_partial
 from haetae.operators.once import once
+from haetae.operators.pieces import SHIFT, WIDTH, blocks, let, part, running, running_sum, runs
 
 FINDING = "struct<rule_id:string,label:string,raw:string,masked_preview:string,confidence:string,paragraph_index:int,byte_start:int,byte_end:int,char_start:int,char_end:int,context_before:string,context_after:string>"
-_CANDIDATE = "array<struct<rule:int,start:int,ord:int,raw:string>>"
+_CANDIDATE = "array<struct<start:int,rule:int,ord:int,raw:string>>"
+_JUDGED = "array<struct<start:int,rule:int,ord:int,raw:string,confidence:string>>"
 CONTEXT = 20
 
 
 def candidates(text: Column, rules: catalog.RuleSet) -> Column:
-    """All matches by falling priority of the rule, then start, then pattern: array<struct<rule, start, ord, raw>>, start in characters.
+    """All matches by start, then priority of the rule, then pattern: array<struct<start, rule, ord, raw>>, start in characters.
 
     A pattern's non-overlapping leftmost matches come from one extraction; the pieces between them, from one split,
     give where each begins. Rules with the same pattern share its matches; built-in patterns that can't match are
@@ -36,24 +38,18 @@ def candidates(text: Column, rules: catalog.RuleSet) -> Column:
         found.setdefault(guards.get(p), []).append(F.when(F.rlike(text, F.lit(java)), F.struct(for_rules.alias("who"), F.regexp_extract_all(text, F.lit(java), F.lit(0)).alias("raws"), F.split(text, java, -1).alias("gaps"))))
 
     def walk(m: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,raw:string>>").alias("out"))
-
-        def step(acc: Column, pair: Column) -> Column:
-            begin = acc["at"] + F.length(pair["gap"])
-            return F.struct((begin + F.length(pair["raw"])).alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), pair["raw"].alias("raw")))).alias("out"))
-
-        pairs = F.zip_with(m["raws"], F.slice(m["gaps"], 1, F.size(m["raws"])), lambda raw, gap: F.struct(raw.alias("raw"), gap.alias("gap")))
-        spans = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-        return F.flatten(F.transform(m["who"], lambda w: F.transform(spans, lambda s: F.struct(w["rule"].alias("rule"), s["start"].alias("start"), w["ord"].alias("ord"), s["raw"].alias("raw")))))
+        pairs = F.zip_with(m["raws"], F.slice(m["gaps"], 1, F.size(m["raws"])), lambda raw, gap: F.struct(raw.alias("raw"), F.length(gap).alias("gap"), (F.length(gap) + F.length(raw)).alias("both")))
+        spans = let(pairs, lambda ps: F.zip_with(ps, running_sum(F.transform(ps, lambda x: x["both"])), lambda x, at: F.struct((at + x["gap"]).alias("start"), x["raw"].alias("raw"))))
+        return let(spans, lambda ss: F.flatten(F.transform(m["who"], lambda w: F.transform(ss, lambda s: F.struct(s["start"].alias("start"), w["rule"].alias("rule"), w["ord"].alias("ord"), s["raw"].alias("raw"))))))
 
     groups = [F.array_compact(F.array(*made)) if guard is None else F.when(F.rlike(text, F.lit(guard)), F.array_compact(F.array(*made))) for guard, made in found.items()]
     return F.array_sort(F.flatten(F.transform(F.flatten(F.array_compact(F.array(*groups))), walk)))
 
 
-def _bounded(text: Column, start: Column, end: Column) -> Column:
+def _bounded(held: Column, start: Column, end: Column) -> Column:
     """Neither neighbour is an ASCII letter, a digit or a star; tested after matching, never as part of it."""
     word = "[0-9A-Za-z*]"
-    return ~((start > 0) & F.substr(text, start, F.lit(1)).rlike(word)) & ~F.substr(text, end + 1, F.lit(1)).rlike(word)
+    return ~((start > 0) & part(held, F.greatest(start - 1, F.lit(0)), F.lit(1)).rlike(word)) & ~part(held, end, F.lit(1)).rlike(word)
 
 
 def by_kind(rule: Column, rules: catalog.RuleSet, kind, of, otherwise: Column) -> Column:
@@ -71,21 +67,32 @@ def name_of(rule: Column, names: list[str]) -> Column:
     return F.get(F.array(*[F.lit(n) for n in names]).cast("array<string>"), rule)
 
 
-def claims(text: Column, rules: catalog.RuleSet) -> Column:
-    """Candidates that hold, in order of priority: array<struct<rule, start, ord, raw, confidence>>.
+def claims(text: Column, rules: catalog.RuleSet, held: Column | None = None) -> Column:
+    """Candidates that hold, as array<struct<start, rule, ord, raw, confidence>>; ``held`` are the text's ``blocks``.
 
-    A candidate takes its characters only if its check doesn't skip it and no earlier one has taken any of them.
+    A candidate takes its characters only if its check doesn't skip it and none of a higher priority, an earlier
+    start or pattern has taken any of them. Only candidates that overlap, also by way of others, decide about each
+    other, so each such cluster is gone through by itself: a line of many findings costs no square of their number.
     """
-    whole = F.filter(candidates(text, rules), lambda c: (F.length(c["raw"]) > 0) & _bounded(text, c["start"], c["start"] + F.length(c["raw"])))
-    judged = F.transform(whole, lambda c: F.struct(c["rule"].alias("rule"), c["start"].alias("start"), c["ord"].alias("ord"), c["raw"].alias("raw"), by_kind(c["rule"], rules, lambda r: r.validator, lambda v: verdict(c["raw"], v), F.lit(SKIP)).alias("confidence")))
-    held = F.filter(judged, lambda c: c["confidence"] != SKIP)
-    empty = F.array().cast("array<struct<rule:int,start:int,ord:int,raw:string,confidence:string>>")
+    held = blocks(text) if held is None else held
+    whole = F.filter(candidates(text, rules), lambda c: (F.length(c["raw"]) > 0) & _bounded(held, c["start"], c["start"] + F.length(c["raw"])))
+    judged = F.transform(whole, lambda c: F.struct(c["start"].alias("start"), c["rule"].alias("rule"), c["ord"].alias("ord"), c["raw"].alias("raw"), by_kind(c["rule"], rules, lambda r: r.validator, lambda v: verdict(c["raw"], v), F.lit(SKIP)).alias("confidence")))
+    end = lambda c: c["start"] + F.length(c["raw"])
 
     def take(acc: Column, c: Column) -> Column:
-        apart = ~F.exists(acc, lambda t: (t["start"] < c["start"] + F.length(c["raw"])) & (c["start"] < t["start"] + F.length(t["raw"])))
-        return F.when(apart, F.concat(acc, F.array(c))).otherwise(acc)
+        apart = ~F.exists(acc, lambda t: (t["start"] < end(c["c"])) & (c["c"]["start"] < end(t)))
+        return F.when(apart, F.array_append(acc, c["c"])).otherwise(acc)
+
+    def resolve(cluster: Column) -> Column:
+        ordered = F.array_sort(F.transform(cluster, lambda c: F.struct(c["rule"].alias("rule"), c["start"].alias("start"), c["ord"].alias("ord"), c.alias("c"))))
+        return F.when(F.size(cluster) == 1, cluster).otherwise(F.aggregate(ordered, F.array().cast(_JUDGED), take))
 
-    return F.aggregate(held, empty, take)
+    def clusters(c: Column) -> Column:
+        reach = running(F.transform(c, end), lambda a, b: F.greatest(a, b))
+        begins = let(reach, lambda r: F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda i: F.get(c, i)["start"] >= F.get(r, i)))
+        return F.when(F.size(c) < 2, c).otherwise(F.flatten(F.transform(runs(c, begins), resolve)))
+
+    return let(F.filter(judged, lambda c: c["confidence"] != SKIP), clusters)
 
 
 def findings(text: Column, rules: catalog.RuleSet, paragraph_index: Column | None = None) -> Column:
@@ -93,12 +100,13 @@ def findings(text: Column, rules: catalog.RuleSet, paragraph_index: Column | Non
     index = F.lit(0) if paragraph_index is None else paragraph_index.cast("int")
     none = F.array().cast(f"array<{FINDING}>")
 
-    def full(c: Column) -> Column:
+    def full(held: Column, sizes: Column, c: Column) -> Column:
         raw, start = c["raw"], c["start"]
         end = start + F.length(raw)
         preview = F.when(c["confidence"] == MASKED, raw).otherwise(by_kind(c["rule"], rules, lambda r: r.partial, lambda k: mask_partial(raw, k), mask_full(raw)))
         before = F.greatest(start - CONTEXT, F.lit(0))
-        begin = F.octet_length(F.left(text, start))
+        block = F.shiftright(start, SHIFT)
+        begin = F.get(sizes, block) + F.octet_length(F.left(F.get(held, block), start.bitwiseAND(WIDTH - 1)))
         return F.struct(
             name_of(c["rule"], [r.id for r in rules]).alias("rule_id"),
             name_of(c["rule"], [r.label for r in rules]).alias("label"),
@@ -110,14 +118,17 @@ def findings(text: Column, rules: catalog.RuleSet, paragraph_index: Column | Non
             (begin + F.octet_length(raw)).alias("byte_end"),
             start.alias("char_start"),
             end.alias("char_end"),
-            F.substr(text, before + 1, start - before).alias("context_before"),
-            F.substr(text, end + 1, F.lit(CONTEXT)).alias("context_after"),
+            part(held, before, start - before).alias("context_before"),
+            part(held, end, F.lit(CONTEXT)).alias("context_after"),
         ).cast(FINDING)
 
-    ordered = F.array_sort(F.transform(claims(text, rules), lambda c: F.struct(c["start"].alias("start"), F.length(c["raw"]).alias("n"), c.alias("c"))))
-    made = F.transform(ordered, lambda x: full(x["c"]))
+    def made(held: Column) -> Column:
+        ordered = F.array_sort(F.transform(claims(text, rules, held), lambda c: F.struct(c["start"].alias("start"), F.length(c["raw"]).alias("n"), c.alias("c"))))
+        sizes = running_sum(F.transform(held, F.octet_length))
+        return let(ordered, lambda o: F.when(F.size(o) == 0, none).otherwise(let(sizes, lambda n: F.transform(o, lambda x: full(held, n, x["c"])))))
+
     likely = text.isNotNull() & (F.rlike(text, F.lit(rules.guard)) if rules.guard else F.lit(True))
-    return F.when(likely, made).otherwise(none)
+    return F.when(likely, let(blocks(text), made)).otherwise(none)
 
 
 def line_findings(rules: catalog.RuleSet) -> Column:

@@ -10,6 +10,7 @@ from haetae.functions.checks import MASKED
 from haetae.functions.masks import PARTIAL, REPLACE, apply_mode, mask_full, mask_partial
 from haetae.operators.detect import findings, line_findings, paragraphs
 from haetae.operators.once import once
+from haetae.operators.pieces import let, replaced
 
 
 def replacement(finding: Column, mode: str, rules: catalog.RuleSet) -> Column:
@@ -30,10 +31,8 @@ def replacement(finding: Column, mode: str, rules: catalog.RuleSet) -> Column:
 
 def splice(text: Column, found: Column, mode: str, rules: catalog.RuleSet) -> Column:
     """``text`` with its findings (in reading order) replaced; what is masked already stays."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, f: F.struct(f["char_end"].alias("at"), F.concat(acc["out"], F.substr(text, acc["at"] + 1, f["char_start"] - acc["at"]), replacement(f, mode, rules)).alias("out"))
     todo = F.filter(found, lambda f: f["confidence"] != MASKED)
-    return F.when(F.size(todo) == 0, text).otherwise(F.aggregate(todo, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1))))
+    return replaced(text, F.transform(todo, lambda f: F.struct(f["char_start"].alias("begin"), f["char_end"].alias("stop"), replacement(f, mode, rules).alias("new"))))
 
 
 def preview_line(finding: Column) -> Column:
@@ -62,8 +61,7 @@ def mask_text(df: DataFrame, text_col: str = "text", out_col: str = "masked", mo
 
 def _masked_text(text: Column, mode: str, rules: catalog.RuleSet) -> Column:
     def line(x: Column) -> Column:
-        core = F.rtrim(x, F.lit("\r"))
-        return F.concat(splice(core, findings(core, rules), mode, rules), F.substr(x, F.length(core) + 1))
+        return let(F.rtrim(x, F.lit("\r")), lambda core: F.concat(splice(core, findings(core, rules), mode, rules), F.substr(x, F.length(core) + 1)))
 
     masked = F.array_join(F.transform(F.split(text, "\n", -1), line), "\n")
     return F.when(F.rlike(text, F.lit(rules.guard)), masked).otherwise(text) if rules.guard else masked

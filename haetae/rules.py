@@ -182,6 +182,20 @@ class RuleSet:
 
 _UNSUPPORTED = re.compile(r"\(\?<?[=!]|\\[1-9]|\(\?P=|\(\?>|[*+?}]\+")
 _POSIX = re.compile(r"\[:(\^?)(\w+):\]")
+_LEADING_RUN = re.compile(r"(\[(?!\^)(?:[^\]\\]|\\.)+\])\+([^\\\[\](){}.*+?|^$])(?![*?{])([^|]*)")
+
+
+def linear(pattern: str) -> str:
+    """The same matches without trying a leading run of a class from each of its characters.
+
+    Before a character that isn't in the class, a run either leads to a match from its first character on or from
+    none. So a match starts where the last one ended or behind a character outside the class, and never gives
+    characters of the run back. Else a long line of letters costs the square of its length.
+    """
+    found = _LEADING_RUN.fullmatch(pattern)
+    if not found or re.match(found[1], found[2]):
+        return pattern
+    return rf"(?:\G|(?<!{found[1]})){found[1]}++{found[2]}{found[3]}"
 
 
 def java_pattern(pattern: str) -> str:
@@ -192,6 +206,7 @@ def java_pattern(pattern: str) -> str:
     """
     if _UNSUPPORTED.search(pattern):
         raise RuleError(f"look-around, back references and possessive groups are not supported: {pattern}")
+    pattern = linear(pattern)
     made = _POSIX.sub(lambda m: ("\\P" if m[1] else "\\p") + "{" + {"word": "IsWord"}.get(m[2], m[2].capitalize() if m[2] != "xdigit" else "XDigit") + "}", pattern.replace("(?P<", "(?<"))
     made = re.sub(r"(\\.)|(\$)(?![^\[\]]*\])", lambda m: m[1] or r"\z", made)
     return f"(?U)(?d){made}"

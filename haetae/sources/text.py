@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from haetae.operators.pieces import let, running_sum, runs
+
 UTF8, UTF8_BOM, UTF16_LE, UTF16_BE, EUC_KR = "utf8", "utf8_bom", "utf16_le", "utf16_be", "euc_kr"
 #: Byte order marks, in the order in which they are looked for, and Python's codecs. EUC-KR means code page 949.
 MARKS = ((UTF8_BOM, b"\xef\xbb\xbf"), (UTF16_LE, b"\xff\xfe"), (UTF16_BE, b"\xfe\xff"))
@@ -74,17 +76,34 @@ def text_lines(text: Column) -> Column:
 
 def text_csv_records(text: Column) -> Column:
     """CSV records of a text column, by the parity of the quotes up to each line feed."""
-    start = F.struct(F.lit(False).alias("open"), F.array().cast("array<string>").alias("out"))
+    return F.transform(csv_spans(text), lambda r: r["text"])
+
+
+def line_spans(text: Column) -> Column:
+    """Lines as array<struct<at, text>>: where each begins, in characters, and the line as in ``text_lines``."""
+    pieces = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    made = lambda p: F.zip_with(p, running_sum(F.transform(p, lambda x: F.length(x) + 1)), lambda x, at: F.struct(at.alias("at"), F.rtrim(x, F.lit("\r")).alias("text")))
+    return let(pieces, made)
+
 
-    def step(acc: Column, piece: Column) -> Column:
-        odd = F.length(F.regexp_replace(piece, '[^"]', "")) % 2 == 1
-        joined = F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.concat(F.element_at(acc["out"], -1), F.lit("\n"), piece)))
-        return F.struct((acc["open"] != odd).alias("open"), F.when(acc["open"], joined).otherwise(F.concat(acc["out"], F.array(piece))).alias("out"))
+def csv_spans(text: Column) -> Column:
+    """CSV records as array<struct<at, text>>: a record begins at each line with an even number of quotes before it."""
 
-    records = F.aggregate(F.split(F.coalesce(text, F.lit("")), "\n", -1), start, step, lambda acc: acc["out"])
-    return F.transform(records, lambda x: F.rtrim(x, F.lit("\r")))
+    def made(p: Column) -> Column:
+        at = running_sum(F.transform(p, lambda x: F.length(x) + 1))
+        quotes = running_sum(F.transform(p, lambda x: F.length(F.regexp_replace(x, '[^"]', ""))))
+        begins = let(quotes, lambda q: F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: F.get(q, i) % 2 == 0))
+        records = lambda b: F.transform(runs(p, b), lambda r: F.rtrim(F.array_join(r, "\n"), F.lit("\r")))
+        return let(begins, lambda b: let(at, lambda a: F.zip_with(b, records(b), lambda i, r: F.struct(F.get(a, i).alias("at"), r.alias("text")))))
+
+    return let(F.split(F.coalesce(text, F.lit("")), "\n", -1), made)
 
 
 def full_text(paragraphs: Column) -> Column:
     """Paragraphs as one text with line feeds between; empty ones before the first text add none."""
-    return F.aggregate(paragraphs, F.lit(""), lambda acc, p: F.when(acc == "", p).otherwise(F.concat(acc, F.lit("\n"), p)))
+
+    def join(p: Column) -> Column:
+        first = F.array_position(F.transform(p, lambda x: x != ""), F.lit(True)).cast("int")
+        return let(first, lambda at: F.when(at == 0, F.lit("")).otherwise(F.array_join(F.slice(p, at, F.size(p)), "\n")))
+
+    return let(paragraphs, join)

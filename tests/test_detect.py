@@ -175,3 +175,55 @@ def test_windowed_counts_on_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted((r.rule_id, r.n) for r in spark.table("windowed").collect()) == [("email", 2), ("ip_address", 1)]
+
+
+def test_leading_runs_match_as_they_stand(spark):
+    """A pattern whose leading run is tried from its begin only has the matches that it has as written."""
+    import re
+
+    email = next(r for r in catalog.builtin() if r.id == "email").patterns[0]
+    assert catalog.linear(email) != email
+    for p in (r"[a-z]+@?x", r"[a-z@]+@x", r"[a-z]+@x|b", r"[^a]+@", r"[a-z]+.x", r"\d+@x", r"[a-z]+@{2}", "@[a-z]+"):
+        assert catalog.linear(p) == p
+    random.seed(5)
+    texts = ["".join(random.choice("ab.@-_*% 가") for _ in range(random.randint(1, 30))) for _ in range(2000)]
+    texts += ["a@b.com@c.org", "a@b.com_x@c.org", "a@b.c0m x@y.zz.", "@@a@b.co", "a@.co", "a@b..co.u"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").select("id", F.regexp_extract_all("t", F.lit(catalog.java_pattern(email)), F.lit(0)).alias("m"), F.rlike("t", F.lit(catalog.java_pattern(email))).alias("any"))
+    for r in rows.collect():
+        assert r.m == re.findall(email, texts[r.id], re.ASCII) and r.any == bool(r.m), texts[r.id]
+
+
+def test_long_lines_take_seconds(spark):
+    """A line of a million letters, one of thousands of findings, one of overlapping candidates, and long records."""
+    import time
+
+    from haetae.sources.text import full_text, text_csv_records, text_lines
+
+    began = time.time()
+    many = " ".join(f"user{i}@example{i % 7}.com" for i in range(8_000))
+    chained = " ".join(["900101-1234568", "220-81-62517", "110-123-456789"] * 40) + " " + "*" * 500
+    docs = spark.createDataFrame([(1, "a" * 1_000_000 + "@"), (2, many), (3, chained)], "id long, text string")
+    found = {i: [] for i in (1, 2, 3)}
+    for r in detect(docs, ["id"]).collect():
+        found[r.id].append(r)
+    assert not found[1] and len(found[2]) == 8_000
+    assert all(many[r.char_start : r.char_end] == r.raw and r.byte_start == r.char_start and r.context_after == many[r.char_end : r.char_end + 20] for r in found[2])
+    assert [(r.char_start, r.rule_id) for r in found[3]] == [(f.char_start, f.rule_id) for f in plain.find(chained)]
+    masked = {r.id: r.masked for r in mask_text(docs).collect()}
+    assert masked[1] == docs.first().text and masked[2].count("*") > 8_000 and masked[3] == plain.mask_line(chained)
+    lines = "\n".join(f'{i},"a {i}\nb",x' for i in range(50_000))
+    row = spark.createDataFrame([("\n\n" + lines,)], "t string").select(F.size(text_csv_records(F.col("t"))).alias("n"), full_text(text_lines(F.col("t"))).alias("whole")).first()
+    assert row.n == 50_002 and row.whole == lines
+    assert time.time() - began < 240
+
+
+def test_offsets_beyond_the_first_block(spark):
+    """Places and contexts of findings far into a line with characters of several bytes."""
+    for pad in (490, 500, 511, 512, 513, 1023, 1024, 1500):
+        text = "가" * (pad - 1) + " user@example.com," + "나" * 700 + " 192.168.0.1"
+        rows = detect(spark.createDataFrame([(1, text)], "id long, text string"), ["id"]).collect()
+        assert [(r.raw, r.char_start, r.char_end) for r in rows] == [(f.raw, f.char_start, f.char_end) for f in plain.find(text)]
+        for r in rows:
+            assert r.byte_start == len(text[: r.char_start].encode()) and r.byte_end == len(text[: r.char_end].encode())
+            assert r.context_before == text[max(0, r.char_start - 20) : r.char_start] and r.context_after == text[r.char_end : r.char_end + 20]
+        assert mask_text(spark.createDataFrame([(text,)], "text string")).first().masked == plain.mask_line(text)
