@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Elements that a running total goes over at once, and characters of a block of text (a power of two).
@@ -18,6 +18,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that the optimizer neither works out twice nor writes into what uses it.
+
+    A step of its own in the plan, still in place and row by row: large expressions over large expressions would
+    be multiplied out otherwise.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def pinned_fields(df: DataFrame, made: Column) -> DataFrame:
+    """The same for a struct, whose fields become columns: no later step then reaches into it."""
+    return df.select("*", F.inline(F.array(made)))
+
+
 def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
     """For each integer the ``op`` of all integers before it, from 0 on.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from haetae import rules as catalog
+from haetae.plans.formats import BUILDERS
 from haetae.plans.queries import MODES, OVERLAY
 
 UPPER_LEFT = "[0-9A-Za-z*]"
@@ -222,6 +223,22 @@ def chain(column: str, pairs: list[tuple[str, str]]) -> str:
 JSON = "replace(replace(replace(replace(replace(html, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't')"
 OVER_RULES = catalog.overlay(RULES, OVERLAY)
 
+#: The written file's lines, where they are not the masked lines themselves, and lines of its own.
+WRITTEN = {
+    "json": ("'\"' || after || '\"' || CASE WHEN pi < 11 THEN ',' ELSE '' END", "UNION ALL SELECT c_custkey, '[' FROM customer UNION ALL SELECT c_custkey, ']' FROM customer"),
+    "csv": ("CASE WHEN pi % 2 = 0 THEN '\"' || after || chr(10) || lead(after) OVER (PARTITION BY k ORDER BY pi) || '\",x' END", ""),
+}
+
+
+def round_trip(kind: str) -> str:
+    """Counts and lines of a customer's text, whatever the format: all formats hold the same lines."""
+    line, more = WRITTEN.get(kind, ("after", ""))
+    form, extension = BUILDERS[kind][:2]
+    text = f"texts AS (SELECT k, md5(string_agg(line, chr(10) ORDER BY line)) AS lines_md5 FROM (SELECT k, {line} AS line FROM masked {more}) WHERE line IS NOT NULL AND line <> '' GROUP BY k)"
+    select = f"SELECT c_custkey, '{form}' AS format, CAST(coalesce(confirmed, 0) AS INTEGER) AS confirmed, CAST(coalesce(suspicious, 0) AS INTEGER) AS suspicious, CAST(coalesce(already_masked, 0) AS INTEGER) AS already_masked, coalesce(rc, 0) AS residual_confirmed, coalesce(rs, 0) AS residual_suspicious, c_custkey || '.{'txt' if kind == 'pdf' else extension}' AS output_name, lines_md5 FROM customer LEFT JOIN counts ON c_custkey = counts.k LEFT JOIN left_over ON c_custkey = left_over.k JOIN texts ON c_custkey = texts.k"
+    return over(IDENTIFIERS, select, masked("full"), LEFT, FILE_COUNTS, text)
+
+
 ORACLES: dict[str, str] = {
     "findings_by_rule_confidence": over(DOCS, BY_RULE),
     "findings_detail_documents": over(DOCS, f"SELECT k AS doc_id, {DETAIL} FROM found"),
@@ -251,7 +268,7 @@ ORACLES: dict[str, str] = {
         "whole AS (SELECT m.k, count(*) AS n, count(*) FILTER (before <> after) AS changed, string_agg(m.after || substr(w.line, len(m.before) + 1), chr(10) ORDER BY m.pi) AS out FROM masked m JOIN (SELECT k, unnest(range(len(l))) AS pi, unnest(l) AS line FROM (SELECT doc_id AS k, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)) w ON m.k = w.k AND m.pi = w.pi GROUP BY m.k)",
     ),
     "findings_by_lang": over(DOCS, f"SELECT lang, {ID} AS rule_id, count(*) AS n, count(DISTINCT k) AS docs FROM found JOIN documents ON k = doc_id GROUP BY 1, 2"),
-    "findings_by_source": over(DOCS, f"SELECT source, count(*) FILTER (id = 'credit_card') AS credit_card, count(*) FILTER (id = 'email') AS email, count(*) FILTER (id = 'ip_address') AS ip_address FROM (SELECT k, {ID} AS id FROM found) JOIN documents ON k = doc_id GROUP BY 1"),
+    "findings_by_source": over(DOCS, "SELECT source, " + ", ".join(f"count(*) FILTER (id = '{r.id}') AS {r.id}" for r in RULES) + f" FROM (SELECT k, {ID} AS id FROM found) JOIN documents ON k = doc_id GROUP BY 1"),
     "findings_with_labels": over(DOCS, "SELECT quality, toxic, count(*) AS docs, CAST(sum(coalesce(n, 0)) AS BIGINT) AS findings FROM labels LEFT JOIN (SELECT k, count(*) AS n FROM found GROUP BY k) ON k = doc_id GROUP BY 1, 2"),
     "overlay_rule": over("SELECT c_custkey AS k, c_name AS text FROM customer", "SELECT m.k AS c_custkey, m.after, CAST(count(f.r) AS INTEGER) AS n, min(f.confidence) AS confidence FROM masked m LEFT JOIN found f ON m.k = f.k AND m.pi = f.pi GROUP BY 1, 2", masked("replace", rules=OVER_RULES), rules=OVER_RULES),
     "rule_catalog": "SELECT * FROM (VALUES " + ", ".join(f"({q(r.id)}, {r.priority}, {q(r.validator)}, {q(r.partial)}, {len(r.patterns)}, {i})" for i, r in enumerate(RULES)) + ") AS t(id, priority, validator, partial, n_patterns, ord)",
@@ -269,4 +286,18 @@ ORACLES: dict[str, str] = {
         LEFT,
         FILE_COUNTS,
     ),
+    "json_report_rows": over(
+        DOCS,
+        "SELECT doc_id || '.txt' AS filename, 'txt' AS format, CAST(w.n AS INTEGER) AS paragraph_count, CAST(coalesce(confirmed, 0) AS INTEGER) AS confirmed, coalesce(rc, 0) AS residual_confirmed, CAST(coalesce(f.n, 0) AS INTEGER) AS n_findings, CAST(coalesce(f.rules, 0) AS INTEGER) AS n_rules, CAST(coalesce(changed, 0) AS INTEGER) AS n_diffs, f.raw AS first_raw FROM documents LEFT JOIN counts ON doc_id = counts.k LEFT JOIN left_over ON doc_id = left_over.k LEFT JOIN f ON doc_id = f.k LEFT JOIN w ON doc_id = w.k",
+        masked("full"),
+        LEFT,
+        FILE_COUNTS,
+        "f AS (SELECT k, count(*) AS n, count(DISTINCT r) AS rules, arg_min(raw, pi * 1000000 + s) AS raw FROM found GROUP BY k), w AS (SELECT k, count(*) AS n, count(*) FILTER (before <> after) AS changed FROM masked GROUP BY k)",
+    ),
+    "html_report_rows": over(
+        IDENTIFIERS,
+        "SELECT m.k || '.txt' AS filename, CAST((SELECT count(DISTINCT r) FROM found f WHERE f.k = m.k) AS INTEGER) AS n_rules, CAST(count(*) FILTER (before <> after) AS INTEGER) AS n_changed, arg_min(after, pi) FILTER (before <> after) AS first_line FROM masked m GROUP BY m.k",
+        masked("full"),
+    ),
+    **{f"format_{kind}": round_trip(kind) for kind in BUILDERS},
 }

@@ -13,6 +13,7 @@ from haetae.functions.masks import parse_mode
 from haetae.operators.detect import findings
 from haetae.operators.mask import preview_line, replacement, splice
 from haetae.operators.once import once
+from haetae.operators.pieces import pinned
 from haetae.sources.files import with_extracted, with_rewritten
 
 
@@ -54,25 +55,25 @@ def process(files: DataFrame, config: Config = Config(), keys: tuple[str, ...] =
     """
     rules, mode = config.rules, parse_mode(config.mode)
     df = files.select(*keys, F.col(name_col).alias("filename"), F.col(content_col).alias("content"))
-    df = with_extracted(df, "x", "filename", "content", config.fail).withColumn("each", _per_paragraph("x.paragraphs", rules))
-    df = df.withColumn("findings", F.flatten("each"))
+    df = with_extracted(df, "x", "filename", "content", config.fail)
+    df = pinned(df, "each", _per_paragraph("x_paragraphs", rules)).withColumn("findings", F.flatten("each"))
     report = [*keys, "filename", "format", "warnings", "error", "paragraph_count", "findings", "summaries", "diffs", "confirmed", "suspicious", "already_masked", "residual_confirmed", "residual_suspicious", "masked", "output_name", "fallback_note"]
     df = df.withColumns({
-        "format": F.col("x.format"), "error": F.col("x.error"), "paragraph_count": F.size("x.paragraphs"), "summaries": summaries_of(F.col("findings")),
+        "format": F.col("x_format"), "error": F.col("x_error"), "paragraph_count": F.size("x_paragraphs"), "summaries": summaries_of(F.col("findings")),
         "confirmed": _count(F.col("findings"), CONFIRMED), "suspicious": _count(F.col("findings"), SUSPICIOUS), "already_masked": _count(F.col("findings"), MASKED),
     })
     if not config.mask:
         empty = F.array().cast("array<struct<paragraph_index:int,before:string,after:string>>")
-        return df.withColumns({"warnings": F.col("x.warnings"), "diffs": empty, "residual_confirmed": F.lit(0), "residual_suspicious": F.lit(0), "masked": F.lit(None).cast("binary"), "output_name": F.lit(None).cast("string"), "fallback_note": F.lit(None).cast("string")}).select(*report)
-    after = once(lambda: F.zip_with("x.paragraphs", "each", lambda p, found: splice(p, found, mode, rules)), "after", mode, rules)
+        return df.withColumns({"warnings": F.col("x_warnings"), "diffs": empty, "residual_confirmed": F.lit(0), "residual_suspicious": F.lit(0), "masked": F.lit(None).cast("binary"), "output_name": F.lit(None).cast("string"), "fallback_note": F.lit(None).cast("string")}).select(*report)
+    after = once(lambda: F.zip_with("x_paragraphs", "each", lambda p, found: splice(p, found, mode, rules)), "after", mode, rules)
     todo = F.filter("findings", lambda f: f["confidence"] != MASKED)
     changes = once(lambda: F.transform(todo, lambda f: F.struct(f["paragraph_index"].alias("paragraph_index"), f["char_start"].alias("char_start"), f["char_end"].alias("char_end"), replacement(f, mode, rules).alias("replacement"))), "changes", mode, rules)
-    df = df.withColumn("after", after).withColumn("changes", changes)
-    pairs = F.zip_with("x.paragraphs", "after", lambda before, new: F.struct(before.alias("before"), new.alias("after")))
+    df = pinned(pinned(df, "after", after), "changes", changes)
+    pairs = F.zip_with("x_paragraphs", "after", lambda before, new: F.struct(before.alias("before"), new.alias("after")))
     diffs = F.filter(F.transform(pairs, lambda d, i: F.struct(i.alias("paragraph_index"), d["before"].alias("before"), d["after"].alias("after"))), lambda d: d["before"] != d["after"])
-    df = df.withColumns({"diffs": diffs, "encoding": F.col("x.encoding"), "offsets": F.col("x.offsets"), "first_warnings": F.col("x.warnings")}).drop("x", "each")
-    df = with_rewritten(df, "out", ["filename", "content", "format", "encoding", "after", "changes", "offsets"]).withColumns({"masked": F.col("out.content"), "output_name": F.col("out.name"), "fallback_note": F.col("out.note")}).drop("out", "content", "after", "changes", "offsets")
-    df = with_extracted(df, "again", "output_name", "masked").withColumn("left", F.flatten(_per_paragraph("again.paragraphs", rules)))
+    df = df.withColumns({"diffs": diffs, "encoding": F.col("x_encoding"), "offsets": F.col("x_offsets"), "first_warnings": F.col("x_warnings")}).drop("x_paragraphs", "x_places", "x_format", "x_error", "each")
+    df = with_rewritten(df, "out", ["filename", "content", "format", "encoding", "after", "changes", "offsets"]).withColumnsRenamed({"out_content": "masked", "out_name": "output_name", "out_note": "fallback_note"}).drop("content", "after", "changes", "offsets")
+    df = pinned(with_extracted(df, "again", "output_name", "masked"), "left", F.flatten(_per_paragraph("again_paragraphs", rules)))
     df = df.withColumns({"residual_confirmed": _count(F.col("left"), CONFIRMED), "residual_suspicious": _count(F.col("left"), SUSPICIOUS)})
     left = F.when(F.col("residual_confirmed") > 0, F.concat(F.lit("마스킹 후에도 확정 개인정보 "), F.col("residual_confirmed").cast("string"), F.lit("건이 남아 있습니다.")))
     warnings = F.array_compact(F.concat("first_warnings", F.array("fallback_note"), F.array(left)))

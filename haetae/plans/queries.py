@@ -12,8 +12,9 @@ from haetae.functions import checks, escapes
 from haetae.operators import detect as d
 from haetae.operators import mask as m
 from haetae.operators import summary as s
+from haetae.plans.formats import BUILDERS, round_trip
 from haetae.plans.process import Config, process, text_files
-from haetae.sinks.reports import csv_rows
+from haetae.sinks.reports import csv_rows, from_json_lines, html_fragments, json_lines
 from haetae.sources.text import full_text, replace_extension, text_csv_records, text_lines
 from haetae.streaming.scan import detect_stream, windowed_counts
 
@@ -28,12 +29,26 @@ pattern = 'Customer#\d+'
 """
 
 
+#: Bytes up to which a table is dealt out to all cores: it may be one row group, hence one task.
+SMALL = 64 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", "text")
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scan of up to ``SMALL`` bytes dealt out by ``key``; a larger one has row groups enough and is not shuffled."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size <= SMALL else df
+
+
+def documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text", *more), "doc_id")
+
+
+def html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
 
 
 def findings_by_rule_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +60,7 @@ def findings_detail_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings_detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.detect(read(spark, sf_dir, "pages").select("page_id", "html"), ["page_id"], "html").select("page_id", *DETAIL)
+    return d.detect(html(spark, sf_dir), ["page_id"], "html").select("page_id", *DETAIL)
 
 
 def findings_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +85,7 @@ def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("주소 10."), (k % 300).cast("string"), F.lit(".0."), (k % 7).cast("string"), F.lit(" 시각 10:15:"), pad(k % 60, 2)),
         F.concat(F.lit("번호 "), pad(k * 99991, 13), F.lit(" "), pad(k * 13, 10)),
     ]
-    return read(spark, sf_dir, "customer").select("c_custkey", F.concat_ws("\n", *lines).alias("text"))
+    return spread(read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select("c_custkey", F.concat_ws("\n", *lines).alias("text"))
 
 
 def findings_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,13 +169,14 @@ def process_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = documents(spark, sf_dir, "lang")
     return d.detect(docs, ["doc_id", "lang"]).groupBy("lang", "rule_id").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
 def findings_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return d.detect(docs, ["doc_id", "source"]).groupBy("source").pivot("rule_id", ["credit_card", "email", "ip_address"]).agg(F.count(F.lit(1))).na.fill(0)
+    """Findings of each source by rule: a column for every built-in rule."""
+    docs = documents(spark, sf_dir, "source")
+    return d.detect(docs, ["doc_id", "source"]).groupBy("source").pivot("rule_id", [r.id for r in catalog.builtin()]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def findings_with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +213,7 @@ def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def windowed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in a text made of each event, by hour; the same plan runs on a stream."""
-    ev = read(spark, sf_dir, "events").select("ts", F.concat(F.lit("ip 10.0."), (F.col("user_id") % 256).cast("string"), F.lit("."), (F.col("event_id") % 256).cast("string"), F.lit(" "), F.col("props")).alias("text"))
+    ev = spread(read(spark, sf_dir, "events").select("ts", "user_id", "event_id", "props"), "event_id").select("ts", F.concat(F.lit("ip 10.0."), (F.col("user_id") % 256).cast("string"), F.lit("."), (F.col("event_id") % 256).cast("string"), F.lit(" "), F.col("props")).alias("text"))
     return windowed_counts(detect_stream(ev, ["ts"]), "ts")
 
 
@@ -217,6 +233,19 @@ def container_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("c_custkey", "format", "paragraph_count", "confirmed", "suspicious", "already_masked", "residual_confirmed", "output_name")
 
 
+def json_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON report of each document, read again."""
+    reports = from_json_lines(json_lines(process(text_files(documents(spark, sf_dir), "doc_id"), Config(mode="full"))))
+    return reports.select("filename", "format", "paragraph_count", "confirmed", "residual_confirmed", F.size("findings").alias("n_findings"), F.size("summaries").alias("n_rules"), F.size("diffs").alias("n_diffs"), F.get("findings", F.lit(0))["raw"].alias("first_raw"))
+
+
+def html_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and changed lines that the HTML report of each customer shows, and the first changed line."""
+    files = text_files(identifiers(spark, sf_dir), "c_custkey")
+    html = html_fragments(process(files, Config(mode="full")))
+    return html.select("filename", F.regexp_count("html", F.lit("<li>")).alias("n_rules"), F.regexp_count("html", F.lit("<del>")).alias("n_changed"), F.regexp_extract("html", "<ins>([^<]*)</ins>", 1).alias("first_line"))
+
+
 MODES = ("full", "partial", "replace", "delete")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "findings_by_rule_confidence": findings_by_rule_confidence,
@@ -249,4 +278,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "output_names": output_names,
     "windowed_findings": windowed_findings,
     "container_round_trip": container_round_trip,
+    "json_report_rows": json_report_rows,
+    "html_report_rows": html_report_rows,
+    **{f"format_{kind}": round_trip(kind, identifiers) for kind in BUILDERS},
 }

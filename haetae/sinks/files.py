@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from haetae.sources.containers import bundle
 
@@ -12,6 +16,36 @@ def write_masked(results: DataFrame, path: str, mode: str = "overwrite") -> None
     results.filter("masked is not null").select("filename", "output_name", "masked").write.mode(mode).parquet(path)
 
 
+def write_files(results: DataFrame, path: str, numbered: bool = False) -> int:
+    """Each masked file under its output_name in the folder ``path``, from the executors; the number of files.
+
+    ``path`` is a folder that all executors reach, by any address that Arrow's file systems know (a path, file://,
+    hdfs://, s3://, gs://). A task that is run again writes the same bytes to the same name. Of equal names the last
+    one written stays; ``numbered`` gives further ones a number, at the price of a shuffle by name.
+    """
+    rows = results.filter("masked is not null").select("output_name", "masked")
+    if numbered:
+        at = F.row_number().over(Window.partitionBy("output_name").orderBy(F.sha2("masked", 256)))
+        name = F.regexp_replace("output_name", r"^(.*?)(\.[^.]*)?\z", F.concat(F.lit("$1 ("), at.cast("string"), F.lit(")$2")))
+        rows = rows.select(F.when(at == 1, F.col("output_name")).otherwise(name).alias("output_name"), "masked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import posixpath
+
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, data in zip(batch["output_name"], batch["masked"]):
+                safe = name.as_py().replace("\\", "/").rpartition("/")[2] or "_"
+                with system.open_output_stream(posixpath.join(base, safe)) as out:
+                    out.write(data.as_buffer())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def zip_masked(results: DataFrame) -> bytes:
     """All masked files in one archive, for a few files on the driver; equal names get numbers."""
     rows = results.filter("masked is not null").select("output_name", "masked").orderBy("output_name").toLocalIterator()

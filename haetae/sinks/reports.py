@@ -58,7 +58,15 @@ def json_report(reports: DataFrame) -> str:
     import json
 
     files = [json.loads(r["json"]) for r in json_lines(reports).orderBy("filename").toLocalIterator()]
-    return json.dumps({"generated_by": "haetae", "client_only": True, "files": files}, ensure_ascii=False, indent=2)
+    return json.dumps({"generated_by": "haetae", "files": files}, ensure_ascii=False, indent=2)
+
+
+#: Words of the page. Fixed values.
+WORDS = {"title": "개인정보 탐지 리포트", "kind": "항목 유형", "count": "건수", "confirmed": "확정", "suspicious": "의심", "already_masked": "마스킹됨", "preview": "미리보기", "left": "잔여", "none": "탐지 없음", "changed": "마스킹 전/후"}
+
+
+def _tag(name: str, *inner: Column, kind: str = "") -> Column:
+    return F.concat(F.lit(f'<{name} class="{kind}">' if kind else f"<{name}>"), *inner, F.lit(f"</{name}>"))
 
 
 def _each(items: Column, of) -> Column:
@@ -66,22 +74,23 @@ def _each(items: Column, of) -> Column:
 
 
 def html_fragments(reports: DataFrame) -> DataFrame:
-    """filename and html: one section for each file."""
+    """filename and html: an article for each file, with its counts, its rules as cards, its notes and its changed lines."""
     number = lambda c: c.cast("string")
-    row = lambda s: F.concat(F.lit("<tr><td>"), html_escape(s["label"]), F.lit("</td><td>"), number(s["count"]), F.lit("</td><td>확정 "), number(s["confirmed"]), F.lit(" / 의심 "), number(s["suspicious"]), F.lit(" / 마스킹됨 "), number(s["already_masked"]), F.lit("</td><td><code>"), html_escape(s["preview"]), F.lit("</code></td></tr>"))
-    diff = lambda d: F.concat(F.lit("<dt>"), html_escape(d["before"]), F.lit("</dt><dd>"), html_escape(d["after"]), F.lit("</dd>"))
-    warned = F.when(F.size("warnings") > 0, F.concat(F.lit("<ul>"), _each(F.col("warnings"), lambda w: F.concat(F.lit("<li>"), html_escape(w), F.lit("</li>"))), F.lit("</ul>"))).otherwise("")
-    body = F.when(F.size("summaries") > 0, _each(F.col("summaries"), row)).otherwise('<tr><td colspan="4">탐지 없음</td></tr>')
-    changed = F.when(F.size("diffs") > 0, F.concat(F.lit("<h3>마스킹 전/후</h3><dl>"), _each(F.col("diffs"), diff), F.lit("</dl>"))).otherwise("")
-    html = F.concat(
-        F.lit("<section><h2>"), html_escape(F.col("filename")), F.lit(" <small>"), F.col("format"), F.lit("</small></h2><p>잔여 확정 "), number(F.col("residual_confirmed")), F.lit(" · 잔여 의심 "), number(F.col("residual_suspicious")), F.lit("</p>"),
-        warned, F.lit("<table><tr><th>항목 유형</th><th>건수</th><th>확정/의심</th><th>미리보기</th></tr>"), body, F.lit("</table>"), changed, F.lit("</section>"),
-    )
-    return reports.select("filename", html.alias("html"))
+    pair = lambda label, value: F.concat(_tag("dt", F.lit(label)), _tag("dd", value))
+    counts = ("confirmed", "suspicious", "already_masked")
+    card = lambda s: _tag("li", _tag("b", html_escape(s["label"])), _tag("dl", pair(WORDS["count"], number(s["count"])), *[pair(WORDS[c], number(s[c])) for c in counts], pair(WORDS["preview"], _tag("code", html_escape(s["preview"])))))
+    change = lambda d: _tag("p", _tag("del", html_escape(d["before"])), F.lit("<br>"), _tag("ins", html_escape(d["after"])))
+    some = lambda items, of: F.when(F.size(items) > 0, of).otherwise("")
+    left = [pair(f"{WORDS['left']} {WORDS[c]}", number(F.col(f"residual_{c}"))) for c in counts[:2]]
+    found = F.when(F.size("summaries") > 0, _tag("ul", _each(F.col("summaries"), card), kind="rules")).otherwise(_tag("p", F.lit(WORDS["none"])))
+    notes = some("warnings", _tag("aside", _each(F.col("warnings"), lambda w: _tag("p", html_escape(w)))))
+    changes = some("diffs", F.concat(_tag("h2", F.lit(WORDS["changed"])), _each(F.col("diffs"), change)))
+    article = _tag("article", _tag("header", _tag("h1", html_escape(F.col("filename"))), _tag("dl", pair("", F.col("format")), *left)), found, notes, changes)
+    return reports.select("filename", article.alias("html"))
 
 
 def html_report(reports: DataFrame) -> str:
-    """One page of all sections, for the driver."""
-    sections = "\n".join(r["html"] for r in html_fragments(reports).orderBy("filename").toLocalIterator())
-    style = "body{font-family:sans-serif;margin:2em}table{border-collapse:collapse}td,th{border:1px solid #999;padding:4px 8px}dt{background:#fdd}dd{background:#dfd;margin:0}"
-    return f'<!DOCTYPE html>\n<html lang="ko"><head><meta charset="utf-8"><title>개인정보 탐지 리포트</title><style>{style}</style></head>\n<body>\n{sections}\n</body></html>'
+    """One page of all articles, for the driver."""
+    articles = "\n".join(r["html"] for r in html_fragments(reports).orderBy("filename").toLocalIterator())
+    style = "article{max-width:60em;margin:2em auto;font:1em sans-serif}dl,.rules{display:flex;flex-wrap:wrap;gap:.5em;list-style:none;padding:0}dd{margin:0 1em 0 0;font-weight:bold}li{padding:.5em;background:#eef}del{background:#fdd}ins{background:#dfd}"
+    return f'<!DOCTYPE html>\n<html lang="ko"><meta charset="utf-8"><title>{WORDS["title"]}</title><style>{style}</style>\n<main>\n{articles}\n</main></html>'

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haetae.operators.arrow import add_struct
+from haetae.operators.arrow import struct_of
+from haetae.operators.pieces import let, pinned, pinned_fields, replaced
 from haetae.sources import containers, hwp, pdf, text
 
 UNKNOWN = "unknown"
@@ -22,6 +23,7 @@ NOTE_FAILED, NOTE_PDF, NOTE_UNKNOWN = "원 포맷 재작성에 실패하여 TXT
 WARN_UNKNOWN, WARN_ARCHIVE = "지원하지 않는 형식입니다", "ZIP 컨테이너이지만 지원하는 문서가 아닙니다."
 TEXTS, ZIPS = ("txt", "csv", "json"), ("docx", "xlsx", "pptx", "odt", "ods", "epub", "hwpx")
 EXTRACTED = "format string, paragraphs array<string>, places array<string>, offsets array<int>, warnings array<string>, encoding string, error string"
+REWRITTEN = "content binary, name string, note string"
 
 
 def extension(name: str) -> str:
@@ -133,8 +135,40 @@ def _in_string(piece: str, inside: bool) -> bool:
     return inside
 
 
+def text_kind(name: Column, content: Column) -> Column:
+    """txt or csv where ``sniff`` says so and the bytes are valid UTF-8, else null: those files need no Python."""
+    base = F.substring_index(F.replace(name, F.lit("\\"), F.lit("/")), "/", -1)
+    ext = F.when(F.contains(base, F.lit(".")), F.lower(F.substring_index(base, ".", -1))).otherwise("")
+    kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair]), ext), F.lit("txt"))
+    starts = lambda mark: F.substring(content, 1, len(mark)) == F.lit(mark)
+    other = starts(hwp.MAGIC) | starts(hwp.MAGIC3) | starts(b"%PDF") | (starts(b"PK") & (F.octet_length(content) >= 4))
+    return F.when(kind.isin("txt", "csv") & ~other & F.is_valid_utf8(content.cast("string")), kind)
+
+
+def _marked(content: Column) -> Column:
+    return F.substring(content, 1, 3) == F.lit(text.MARKS[0][1])
+
+
+def _unmarked(content: Column) -> Column:
+    """The characters of UTF-8 bytes, without a byte order mark."""
+    return F.when(_marked(content), F.substr(content, F.lit(4))).otherwise(content).cast("string")
+
+
+def _extracted_text(kind: Column, content: Column) -> Column:
+    """What ``extract`` gives for valid UTF-8, as an expression."""
+    spans = F.when(kind == "csv", text.csv_spans(_unmarked(content))).otherwise(text.line_spans(_unmarked(content)))
+    made = lambda s: F.struct(
+        kind.alias("format"), F.transform(s, lambda x: x["text"]).alias("paragraphs"), F.transform(s, lambda x: F.lit("")).alias("places"), F.transform(s, lambda x: x["at"]).alias("offsets"),
+        F.array().cast("array<string>").alias("warnings"), F.when(_marked(content), text.UTF8_BOM).otherwise(text.UTF8).alias("encoding"), F.lit(None).cast("string").alias("error"),
+    )
+    return let(spans, made)
+
+
 def with_extracted(df: DataFrame, out: str, name_col: str, content_col: str, fail: bool = False) -> DataFrame:
-    """``df`` with a struct column of what ``extract`` finds; a file that can't be read has an error and no paragraphs, or fails the job."""
+    """``df`` with the fields of what ``extract`` finds as columns ``{out}_{field}``; a file that can't be read has an error and no paragraphs, or fails the job.
+
+    Text and CSV files in UTF-8 are taken apart by expressions; the bytes of others alone go to Python.
+    """
 
     def run(name: str | None, content: bytes | None) -> dict[str, Any]:
         try:
@@ -144,16 +178,36 @@ def with_extracted(df: DataFrame, out: str, name_col: str, content_col: str, fai
                 raise
             return {"format": UNKNOWN, "paragraphs": [], "places": [], "offsets": [], "warnings": [str(error)], "encoding": None, "error": str(error) or type(error).__name__}
 
-    return add_struct(df, out, [name_col, content_col], EXTRACTED, run)
+    name, content, kind = F.coalesce(name_col, F.lit("")), F.coalesce(content_col, F.lit(b"")), F.col("__kind__")
+    df = pinned(df, "__kind__", text_kind(name, content))
+    other = struct_of(EXTRACTED, run, F.when(kind.isNull(), name), F.when(kind.isNull(), content))
+    df = df.withColumn("__other__", other)
+    made = F.when(kind.isNotNull(), _extracted_text(kind, content).cast(f"struct<{EXTRACTED}>")).otherwise(F.col("__other__"))
+    return pinned_fields(df, _prefixed(made, EXTRACTED, out)).drop("__kind__", "__other__")
+
+
+def _prefixed(made: Column, fields: str, prefix: str) -> Column:
+    kinds = ",".join(f"{prefix}_{f.replace(' ', ':', 1)}" for f in fields.split(", "))
+    return made.cast(f"struct<{kinds}>")
 
 
 def with_rewritten(df: DataFrame, out: str, inputs: list[str]) -> DataFrame:
-    """``df`` with a struct column (content, name, note) of ``rewrite`` of the columns ``inputs``: name, content, format, encoding, masked, changes, offsets."""
+    """``df`` with columns ``{out}_content``, ``_name`` and ``_note`` of ``rewrite`` of the columns ``inputs``: name, content, format, encoding, masked, changes, offsets.
+
+    Text and CSV files in UTF-8 are put together by expressions, as they are taken apart.
+    """
 
     def run(name: str | None, content: bytes | None, *rest: Any) -> dict[str, Any]:
         return rewrite(name or "", content or b"", *rest)
 
-    return add_struct(df, out, inputs, "content binary, name string, note string", run)
+    name, content, kind, encoding, _, changes, offsets = (F.col(c) for c in inputs)
+    plain = F.coalesce(kind.isin("txt", "csv") & encoding.isin(text.UTF8, text.UTF8_BOM), F.lit(False))
+    spans = F.transform(changes, lambda c: let(F.get(offsets, c["paragraph_index"]), lambda at: F.struct((at + c["char_start"]).alias("begin"), (at + c["char_end"]).alias("stop"), c["replacement"].alias("new"))))
+    bytes_of = replaced(_unmarked(content), spans).cast("binary")
+    marked = F.when(_marked(content), F.concat(F.lit(text.MARKS[0][1]), bytes_of)).otherwise(bytes_of)
+    made = F.struct(marked.alias("content"), name.alias("name"), F.lit(None).cast("string").alias("note"))
+    df = df.withColumn("__other__", struct_of(REWRITTEN, run, *[F.when(~plain, F.col(c)) for c in inputs]))
+    return pinned_fields(df, _prefixed(F.when(plain, made).otherwise(F.col("__other__")), REWRITTEN, out)).drop("__other__")
 
 
 def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
@@ -167,5 +221,5 @@ def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> Da
 def file_paragraphs(files: DataFrame, keys: list[str], name_col: str = "filename", content_col: str = "content") -> DataFrame:
     """``keys``, format, paragraph_index, place and text of every paragraph."""
     made = with_extracted(files.select(*keys, F.col(name_col).alias("__name__"), F.col(content_col).alias("__content__")), "x", "__name__", "__content__")
-    pairs = F.arrays_zip(F.col("x.paragraphs").alias("text"), F.col("x.places").alias("place"))
-    return made.select(*keys, "x.format", F.posexplode(pairs).alias("paragraph_index", "p")).select(*keys, "format", "paragraph_index", "p.place", "p.text")
+    pairs = F.arrays_zip(F.col("x_paragraphs").alias("text"), F.col("x_places").alias("place"))
+    return made.select(*keys, F.col("x_format").alias("format"), F.posexplode(pairs).alias("paragraph_index", "p")).select(*keys, "format", "paragraph_index", "p.place", "p.text")

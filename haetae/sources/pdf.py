@@ -332,12 +332,12 @@ def _scripts(doc: Document) -> Iterator[str | None]:
     """Scripts of the catalog's actions and name tree, and of every object: the same script may come up twice."""
     for key in ("OpenAction", "AA", "Names"):
         yield from (doc.string(d["JS"]) for d in _walk(doc, doc.root.get(key), 8) if "JS" in d)
-    yield from (doc.string(o["JS"]) for o in _dictionaries(doc) if "JS" in o)
+    yield from (doc.string(o["JS"]) for _, o in sorted(doc.objects.items()) if isinstance(o, dict) and "JS" in o)
 
 
 def _files(doc: Document) -> Iterator[str | None]:
     for o in _dictionaries(doc):
-        if o.get("Type") == "Filespec" or "EF" in o:
+        if o.get("Type") in ("Filespec", "F") or "EF" in o:
             yield from (doc.string(o.get(k)) for k in ("F", "UF", "Desc"))
 
 
@@ -358,7 +358,7 @@ def _links(doc: Document) -> Iterator[str | None]:
                 seen |= {id(d), id(o)} if d.get("URI") is o.get("URI") else {id(d)}
                 yield doc.string(d["URI"])
     for _, o in sorted(doc.objects.items()):
-        yield from (doc.string(d["URI"]) for d in ([] if isinstance(o, Stream) else _inline(o)) if "URI" in d and id(d) not in seen)
+        yield from (doc.string(d["URI"]) for d in _inline(o) if "URI" in d and id(d) not in seen)
 
 
 def _destinations(doc: Document) -> Iterator[str | None]:

@@ -7,6 +7,7 @@ import zipfile
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from haetae.plans.process import Config, process
 from haetae.sinks import files as sinks
@@ -45,6 +46,11 @@ PDFS = {
     "script.pdf": (page_pdf(b" ", more={5: b"<</S/JavaScript/JS(app.alert\\(" + RRN.encode() + b"\\))>>"}, catalog=b"/OpenAction 5 0 R"), {RRN}),
     "file.pdf": (page_pdf(b" ", more={5: b"<</Type/Filespec/F(x)/Desc(" + RRN.encode() + b")>>"}), {RRN}),
     "uri.pdf": (page_pdf(b" ", more={5: b"<</Type/Annot/Subtype/Link/A<</S/URI/URI(mailto:" + MAIL.encode() + b")>>>>"}), {MAIL}),
+    "type_f.pdf": (page_pdf(b" ", more={5: b"<</Type/F/Desc(" + RRN.encode() + b")>>"}), {RRN}),
+    "stream_js.pdf": (page_pdf(b" ", more={5: b"<</S/JavaScript/JS(" + RRN.encode() + b")/Length 1>>stream\nx\nendstream "}), {RRN}),
+    "pa.pdf": (page_pdf(b" ", more={5: b"<</Type/Annot/PA<</S/URI/URI(mailto:" + MAIL.encode() + b")>>>>"}), {MAIL}),
+    "field_uri.pdf": (page_pdf(b" ", catalog=b"/AcroForm<</Fields[<</T(x)/A<</S/URI/URI(mailto:" + MAIL.encode() + b")>>>>]>>"), {MAIL}),
+    "leaves.pdf": (page_pdf(b" ", more={5: b"<</Kids[" + b"".join(b"%d 0 R " % i for i in range(100, 5200)) + b"]>>", **{i: b"<</Names[(d%d)[3 0 R]]>>" % i for i in range(100, 5199)}, 5199: b"<</Names[(" + RRN.encode() + b")[3 0 R]]>>"}, catalog=b"/Names<</Dests 5 0 R>>"), {RRN}),
     "dest.pdf": (page_pdf(b" ", more={5: b"<</Names[(" + RRN.encode() + b")[3 0 R]]>>"}, catalog=b"/Names<</Dests 5 0 R>>"), {RRN}),
     "alt.pdf": (page_pdf(b" ", more={5: b"<</Type/StructElem/Alt(" + RRN.encode() + b")>>"}), {RRN}),
 }
@@ -217,12 +223,21 @@ def test_reports_and_bundle(results):
     page = reports.html_report(made)
     again = reports.from_json_report(made.sparkSession, reports.json_report(made))
     assert reports.csv_report(again) == reports.csv_report(made) and reports.html_report(again) == page
-    assert "<h2>a.txt" in page and "탐지 없음" in page and "<dt>계약자" in page
+    assert "<h1>a.txt" in page and "탐지 없음" in page and "<del>계약자" in page
     with zipfile.ZipFile(io.BytesIO(sinks.zip_masked(made))) as out:
         assert sorted(out.namelist()) == ["a.txt", "other.zip", "q.csv"]
     assert zipfile.ZipFile(io.BytesIO(containers.bundle([("a.b", b"1"), ("a.b", b"2")]))).namelist() == ["a.b", "a (2).b"]
 
 
+def test_files_under_their_names(spark, tmp_path):
+    rows = [("a.txt", bytearray(b"1")), ("x/a.txt", bytearray(b"2")), ("b.docx", bytearray(b"3")), ("c", None), ("b.docx", bytearray(b"4")), ("b.docx", bytearray(b"3"))]
+    df = spark.createDataFrame(rows, "output_name string, masked binary").withColumn("filename", F.lit("x"))
+    assert sinks.write_files(df.limit(1), f"file://{tmp_path}/one") == 1 and (tmp_path / "one" / "a.txt").read_bytes() == b"1"
+    assert sinks.write_files(df, str(tmp_path / "all"), numbered=True) == 5
+    assert sorted(f.name for f in (tmp_path / "all").iterdir()) == ["a.txt", "b (2).docx", "b (3).docx", "b.docx"]
+    assert sinks.write_files(df.limit(0), str(tmp_path / "none")) == 0
+
+
 def test_hwp5_rewrite():
     control = struct.pack("<8H", 11, 1, 2, 3, 4, 5, 6, 11)
     text = f"가 {RRN}".encode("utf-16-le") + control + "끝😀\r".encode("utf-16-le")
