@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of text handed to a kernel at once; one longer text goes alone. Rows of an Arrow batch: with long texts, thousands would fill an executor.
-SLICE_BYTES, BATCH_ROWS = 1 << 19, 512
+#: Bytes of text handed to a kernel at once; one longer text goes alone.
+SLICE_BYTES = 1 << 19
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,6 +41,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """A folder and all in it, on whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(col: Any) -> Any:
     return F.translate(col, UPPER, LOWER)
 
@@ -75,19 +81,12 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0] : ends[-1]], ends - ends[0]
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """No more than ``BATCH_ROWS`` rows in an Arrow batch of this session; fewer, if it is set so."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
-
-
 def add_columns(df: DataFrame, text: str, fields: str, make: Callable[[], Callable[[pa.Array], dict[str, Any]]], keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``df`` (all by default) and the ``fields`` that a kernel derives from ``text``.
 
     ``make`` runs once in each Python worker and returns the kernel; the kernel gets slices of texts as large
     binary (null: empty) and returns an array for each field. Rows stay in place, nothing is shuffled, memory
-    is bounded by one Arrow batch and by the longest text.
+    is bounded by one Arrow batch (by the session's ``spark.sql.execution.arrow.maxBytesPerBatch``) and by the longest text.
     """
     keep = df.columns if keep is None else keep
     new = T._parse_datatype_string(fields)
@@ -96,7 +95,6 @@ def add_columns(df: DataFrame, text: str, fields: str, make: Callable[[], Callab
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = [(f.name, to_arrow_type(f.dataType)) for f in new]
-    bound_batches(df.sparkSession)
     own = keep.index(text) if text in keep else len(keep)  # a kept text isn't handed over twice
     source = df.select(*[F.col(f"`{c}`") for c in (keep if own < len(keep) else [*keep, text])])
 

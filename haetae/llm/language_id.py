@@ -16,8 +16,8 @@ from haetae.llm.common import add_columns, add_private, arrow_texts, crc_bucket,
 
 #: N-grams of one to three characters; the most frequent of a text and of a language that are compared.
 ORDERS, TOP = (1, 2, 3), 300
-#: Labelled documents that a language's profile is learnt from, about, and characters of each: the bound of the sample.
-SAMPLE, CHARS = 1000, 20_000
+#: Labelled documents that a language's profile is learnt from, about: the bound of the sample.
+SAMPLE = 1000
 UNKNOWN = "und"
 _ROW, _GRAM = np.uint64(44), np.uint64((1 << 44) - 1)
 
@@ -127,11 +127,12 @@ def learn(texts: list[str], languages: list[str], top: int = TOP) -> Profiles:
     return Profiles(names, grams, ranks, top)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, chars: int = CHARS, salt: int = 9) -> Profiles:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, salt: int = 9) -> Profiles:
     """Learn from rows with a text, a language and crc32(id as text) mod 4 other than 2.
 
     Of a language with more than ``sample`` such rows, a share is taken by a hash of the id that gives about
-    ``sample``, and of each the first ``chars`` characters. The driver gets the languages' counts and the sample, whatever the size of ``docs``.
+    ``sample``. Of several texts under one id the least counts. The driver gets the languages' counts and one whole
+    text for each id of the sample, whatever the size of ``docs``; languages are taken to be some hundreds at most.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_bucket("id", 4) != 2))
@@ -142,7 +143,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     chosen = F.lit(False)
     for lang, n in counts.items():
         chosen |= (F.col("lang") == lang) & (draw < min(1 << 20, int((1 << 20) * sample / n) + 1))
-    found = sorted(tuple(r) for r in rows.filter(chosen).select("lang", "id", F.substring("text", 1, chars).alias("text")).collect())
+    found = sorted(tuple(r) for r in rows.filter(chosen).groupBy("lang", "id").agg(F.min("text").alias("text")).collect())
     return learn([text for _, _, text in found], [lang for lang, _, _ in found])
 
 

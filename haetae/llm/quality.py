@@ -15,23 +15,26 @@ from pyspark.sql import functions as F
 from haetae.llm.common import add_columns, add_private, crc_bucket
 from haetae.llm.sampling import labelled_sample
 
-#: Labelled documents of each class that are learnt from, and characters of each: the bound of the sample.
-PER_CLASS, CHARS = 1500, 20_000
-DICTIONARY_BYTES, LEVEL = 110_000, 3
+#: Labelled documents of each class that are learnt from: the bound of the sample.
+PER_CLASS = 1500
+DICTIONARY_BYTES, LEVEL, SLICE = 110_000, 3, 250
 KEEP = 0.3
+#: Features of a text, all of them differences of its sizes under the two dictionaries.
+FEATURES = 13
 
 
 @dataclasses.dataclass
 class Model:
-    """Two dictionaries and a logistic curve over what they compress a text to."""
+    """Two dictionaries, weights of what they differ by on a text, and the curve (slope, offset) that calibrates their sum."""
 
     good: bytes
     bad: bytes
     weights: np.ndarray
     center: np.ndarray
     scale: np.ndarray
+    curve: np.ndarray
 
-    def compressors(self) -> tuple[Any, Any, Any]:
+    def compressors(self) -> tuple[Any, Any]:
         import zstandard
 
         options = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
@@ -40,36 +43,57 @@ class Model:
             held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_AUTO)
             held.precompute_compress(level=LEVEL)
             made.append(zstandard.ZstdCompressor(dict_data=held, **options))
-        return (*made, zstandard.ZstdCompressor(level=LEVEL, **options))
+        return made[0], made[1]
+
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.center) / self.scale @ self.weights[:-1] + self.weights[-1]
 
     def scorer(self) -> Callable[[pa.Array], np.ndarray]:
         tools = self.compressors()
+        return lambda texts: curve(self.margin(features([t.as_py() for t in texts], tools)), self.curve)
 
-        def score(texts: pa.Array) -> np.ndarray:
-            x = (features([t.as_py() for t in texts], tools) - self.center) / self.scale
-            return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
-
-        return score
 
+def curve(margin: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(at[0] * margin + at[1], -30, 30)))
 
-def features(texts: list[bytes], tools: tuple[Any, Any, Any]) -> np.ndarray:
-    """Per text: normalised difference of the sizes under the two dictionaries, its square, and how far each and no dictionary compress."""
-    sizes = np.array([[len(t), *(len(tool.compress(t)) for tool in tools)] for t in texts], float).reshape(-1, 4)
-    n, good, bad, plain = sizes.T
-    n = n + 20
-    gap = (bad - good) / (bad + good)
-    return np.stack([gap, gap * np.abs(gap), (bad - good) / n, good / n, bad / n, plain / n, np.log(n)], 1)
 
+def features(texts: list[bytes], tools: tuple[Any, Any]) -> np.ndarray:
+    """Per text: the difference of the sizes under the bad and the good dictionary, normalised by their sum and by the text.
 
-def train(texts: list[bytes], labels: list[int]) -> Model:
-    """Dictionaries from one half of the texts, the curve from the other, so that it sees texts that are in no dictionary."""
+    A text is compressed in slices of ``SLICE`` bytes, so that each meets the dictionaries and not the rest of the
+    text. The differences of all slices together count, and the least, the greatest and quartiles of the slices'.
+    """
+    out = np.zeros((len(texts), FEATURES))
+    for i, text in enumerate(texts):
+        cut = [text[a : a + SLICE] for a in range(0, len(text), SLICE)] or [b""]
+        sizes = np.array([[len(tool.compress(x)) for tool in tools] for x in cut], float)
+        gap, both, n = sizes[:, 1] - sizes[:, 0], sizes.sum(1), np.array([len(x) + 20.0 for x in cut])
+        whole, per_byte = gap.sum() / both.sum(), gap.sum() / n.sum()
+        a, b, k = np.sort(gap / both), np.sort(gap / n), len(cut)
+        out[i] = (whole, whole * abs(whole), a[0], a[-1], a[k // 2], per_byte, per_byte * abs(per_byte), b[0], b[-1], b[k // 4], b[k // 2], b[3 * k // 4], np.minimum(b, 0.03).mean())
+    return out
+
+
+def train(texts: list[bytes], labels: list[int], totals: dict[int, int] | None = None) -> Model:
+    """Dictionaries from three tenths of the texts, weights from half of them, and the calibrating curve from the last fifth.
+
+    Weights are learnt with both classes alike; the curve with each class as heavy as it is among all labels
+    (``totals``), so that a score is the share of label 1 to be expected.
+    """
     y = np.array(labels, float)
-    part = np.arange(len(texts)) % 2 == 0
-    model = Model(dictionary([t for t, a, k in zip(texts, y, part) if a == 1 and k]), dictionary([t for t, a, k in zip(texts, y, part) if a == 0 and k]), np.zeros(8), np.zeros(7), np.ones(7))
-    x, y = features([t for t, k in zip(texts, part) if not k], model.compressors()), y[~part]
-    if len(y) and 0 < y.mean() < 1:
-        model.center, model.scale = x.mean(0), x.std(0) + 1e-9
-        model.weights = logistic((x - model.center) / model.scale, y)
+    turn = np.zeros(len(y), int)
+    for k in (0, 1):
+        turn[y == k] = np.arange(int((y == k).sum())) % 10
+    first = turn < 3
+    model = Model(dictionary([t for t, a, k in zip(texts, y, first) if a == 1 and k]), dictionary([t for t, a, k in zip(texts, y, first) if a == 0 and k]), np.zeros(FEATURES + 1), np.zeros(FEATURES), np.ones(FEATURES), np.array([1.0, 0.0]))
+    second, third = (turn >= 3) & (turn < 8), turn >= 8
+    if len(y) and all(0 < y[part].mean() < 1 for part in (second, third) if part.any()) and second.any() and third.any():
+        x = features([t for t, k in zip(texts, first) if not k], model.compressors())
+        of = lambda part: x[part[~first]]
+        model.center, model.scale = of(second).mean(0), of(second).std(0) + 1e-9
+        model.weights = logistic((of(second) - model.center) / model.scale, y[second], 0.5)
+        share = totals[1] / (totals[0] + totals[1]) if totals and totals.get(0) and totals.get(1) else y.mean()
+        model.curve = logistic(model.margin(of(third))[:, None], y[third], share)
     return model
 
 
@@ -89,15 +113,15 @@ def dictionary(texts: list[bytes]) -> bytes:
         return b"".join(texts)[-DICTIONARY_BYTES:] or b"\n" * 16
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, rounds: int = 60) -> np.ndarray:
-    """Newton's method with step halving; the two classes weigh the same. The last weight is the bias."""
+def logistic(x: np.ndarray, y: np.ndarray, share: float, l2: float = 0.03, rounds: int = 60) -> np.ndarray:
+    """Newton's method with step halving; label 1 weighs ``share`` of all. The last weight is the bias."""
     x = np.c_[x, np.ones(len(x))]
-    share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
-    loss = lambda w: float((share * np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ w))).sum() + l2 / 2 * w @ w)
+    heavy = np.where(y == 1, share / max(y.sum(), 1), (1 - share) / max((1 - y).sum(), 1)) * len(y)
+    loss = lambda w: float((heavy * np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ w))).sum() + l2 / 2 * w @ w)
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + l2 * np.eye(len(w)), x.T @ (share * (p - y)) + l2 * w)
+        step = np.linalg.solve((x * (heavy * p * (1 - p))[:, None]).T @ x + l2 * np.eye(len(w)), x.T @ (heavy * (p - y)) + l2 * w)
         now = loss(w)
         while loss(w - step) > now and np.abs(step).max() > 1e-9:
             step /= 2
@@ -107,10 +131,10 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, rounds: int = 60) ->
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS, chars: int = CHARS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> Model:
     """Learn from at most ``per_class`` labelled rows of each class whose crc32(id as text) mod 5 isn't 0."""
-    texts, marks = labelled_sample(docs, labels, id_col, text_col, label_col, per_class, chars)
-    return train([t.encode() for t in texts], marks)
+    texts, marks, totals = labelled_sample(docs, labels, id_col, text_col, label_col, per_class)
+    return train([t.encode() for t in texts], marks, totals)
 
 
 def _kernel(docs: DataFrame, model: Model) -> Callable[[], Callable[[pa.Array], dict[str, Any]]]:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from haetae.llm.common import Hasher, add_columns, arrow_texts, crc_bucket, flat, slices, word_spans
 from haetae.llm.sampling import labelled_sample
 
-#: Labelled documents of each class that are learnt from, and characters of each: the bound of the sample.
-PER_CLASS, CHARS = 3000, 20_000
+#: Labelled documents of each class that are learnt from: the bound of the sample.
+PER_CLASS = 3000
 #: Buckets of hashed terms, latent factors of each, and the value of a term that a text has.
 BITS, FACTORS, VALUE = 18, 8, 0.5
 #: Pull to zero of the weight and of the factors of a term that alone does not tell the classes apart. Fixed values.
@@ -126,9 +126,10 @@ def train(texts: list[str], labels: list[int], rounds: int = 12, rate: float = 0
     return Model((np.cumsum(left) - 1)[np.where(left[slot], slot, 0)].astype(np.int32), model.weights[left], model.factors[left], model.bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, chars: int = CHARS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Model:
     """Learn from at most ``per_class`` labelled rows of each class whose crc32(id as text) mod 5 isn't 0."""
-    return train(*labelled_sample(docs, labels, id_col, text_col, label_col, per_class, chars))
+    texts, marks, _ = labelled_sample(docs, labels, id_col, text_col, label_col, per_class)
+    return train(texts, marks)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", at: float = 0.5) -> DataFrame:
