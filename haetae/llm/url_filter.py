@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Sequence
 from typing import Any
 
@@ -16,114 +17,56 @@ from haetae.llm.common import Hasher, add_columns, ascii_lower, flat
 #: (verdict, host, path) of the rules of the query.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
-#: Small labelled table: host and path of pages that a training corpus wants.
-WANTED = """
-en.wikipedia.org/wiki/Photosynthesis
-docs.python.org/3/library/index.html
-www.example.com/en/1029
-blog.example.org/de/2284.html
-m.example.net/fr/381/
-news.example.com/es/92817
-example.org/2021/04/garden-notes
-www.nature.com/articles/s41586-020-2649
-arxiv.org/abs/1706.03762
-stackoverflow.com/questions/11227809
-www.bbc.co.uk/news/science-environment-1234
-www.gutenberg.org/files/1342/1342-h
-developer.mozilla.org/en-US/docs/Web/HTTP
-www.nasa.gov/missions/artemis
-github.com/apache/spark
-spark.apache.org/docs/latest/sql-ref.html
-www.lemonde.fr/planete/article/2020/05/02
-www.spiegel.de/wissenschaft/mensch
-elpais.com/ciencia/2021-03-04
-www.openstreetmap.org/about
-plato.stanford.edu/entries/logic
-mathworld.wolfram.com/PrimeNumber.html
-www.who.int/health-topics/malaria
-data.gov.uk/dataset/road-safety
-www.britannica.com/biography/Ada-Lovelace
-www.loc.gov/collections/maps
-cooking.example.net/recipes/lentil-soup
-travel.example.com/guide/lisbon
-www.rfc-editor.org/rfc/rfc9110
-museum.example.org/exhibits/ceramics
-library.example.edu/catalog/88123
-blog.garden-club.example.net/fr/4120
-www.city-news.example.com/de/551.html
-m.book-review.example.org/es/77/
-course.example.edu/physics/lecture-7
-www.weather.gov/forecast/coast
-forum.example.org/topic/5521/bread-baking
-kernel.org/doc/html/latest
-www.postgresql.org/docs/current/queries.html
-history.example.net/de/5120
-school.example.com/en/44/
-science.example.org/en/31318.html
-poems.example.net/fr/7751
-journal.example.org/es/6209
+#: Words in names of sites that a training corpus wants, and that it does not want: common knowledge, of no table in
+#: particular. Fixed values.
+WANTED_WORDS = """
+garden river orchard harbor meadow library museum school science physics history music weather recipe kitchen travel
+city news journal review books poetry art film sport health law math data kernel python forum wiki docs blog village
+mountain bakery cycling chess birds railway theatre language grammar dictionary archive atlas nature ocean forest
+garten schule wetter reise stadt zeitung wissenschaft jardin ecole musique voyage cuisine ville histoire escuela
+ciencia viaje cocina ciudad biblioteca noticias university research biology chemistry engineering philosophy economics
+politics climate astronomy geology medicine nursing teacher student lesson course lecture seminar gallery painting
 """.split()
-
-#: Made-up plain hosts, so that neither a numbered path nor an unknown host counts against a page.
-WANTED += [
-    f"{sub}{a}{b}.example.{zone}/{lang}/{1000 + 37 * i}"
-    for i, (a, b, sub, zone, lang) in enumerate(zip(("th", "on", "er", "ti", "an", "re", "in", "ha") * 6, ("and", "other", "ering", "ation", "le", "hat") * 8, ("", "www.", "m.", "blog.") * 12, ("com", "net", "org") * 16, ("en", "de", "fr", "es", "it") * 10))
-]
-
-#: Hosts and paths that it does not want.
-UNWANTED = """
-best-casino-bonus.win/slots/free-spins
-online-casino-jackpot.bet/poker/signup
-www.sexy-cams-live.xxx/girls/free
-hot-porn-videos.xxx/watch/hd
-adult-dating-now.click/meet/singles
-cheap-viagra-pills.biz/buy-now/cialis
-buy-pharma-online.top/order/pills
-free-bitcoin-doubler.top/invest/profit
-crypto-giveaway.click/claim/btc
-win-free-iphone.win/claim/prize
-secure-login-verify-account.top/paypal/login.php
-update-your-bank-account.click/signin/verify
-download-crack-keygen.biz/full/warez
-torrent-free-movies.top/download/hd
-ads.tracker-pixel.click/track/click.php
-click.adserver-banner.biz/popup/redirect
-cheap-replica-watches.top/sale/buy
-payday-loans-fast.biz/apply-now/cash
-weight-loss-miracle.top/buy-now/pills
-work-from-home-rich.click/signup/cash
-hentai-porn-tube.xxx/gallery/free
-escort-girls-city.xxx/book/now
-slots-poker-bet.win/casino/bonus
-sports-betting-tips.bet/odds/bonus
-get-followers-likes.click/buy/cheap
-spam-links-seo.biz/buy/backlinks
-essay-writing-cheap.biz/order/buy-now
-fake-passport-shop.top/buy/id
-erotic-webcam-chat.xxx/join/free
-lottery-winner-claim.win/prize/cash
-keygen-serials-warez.top/crack/download
-malware-free-antivirus.click/download/setup.exe
-casino-royal-online.bet/free/bonus-code
-nude-celebs-leaked.xxx/pics/hd
-quick-cash-loan.biz/apply/payday
-viagra-discount-store.biz/cheap/order
-roulette-blackjack-bet.win/play/jackpot
-porn-cams-adult.click/live/sex
-phish-login-verify.top/account/update.php
-blog.cheap-pills.example.com/fr/1203
-m.pills-cheap-store.example.org/en/88.html
-www.casino-win.example.org/de/551.html
-win-casino.example.com/es/4410
-m.free-bets.example.com/es/77/
-bets-free-now.example.net/en/3018
-ads-track.example.net/fr/9921
-track-ads.example.org/de/27/
-spam-farm.example.com/fr/214
-link-spam-farm.example.net/en/6642.html
-adult-x.example.org/fr/7103
-x-adult-video.example.net/es/15
+UNWANTED_WORDS = """
+casino poker slots roulette blackjack jackpot lottery gambling betting bets porn sex xxx adult cams escort nude hentai
+webcam erotic viagra cialis pills pharma steroids slimming replica rolex payday loans bitcoin doubler giveaway winner
+claim prize ads adserver banner popup tracker pixel clicks redirect spam backlinks seo-links followers warez crack keygen
+torrent serials malware phishing verify-account free-iphone get-rich miracle-diet fake-id
 """.split()
+#: Names made of these are plain: neither kind of word tells. Fixed values.
+SYLLABLES = "an ber cor dal el fen gar hol in jor kel lan mar nor os per quin ral sen tor ul ven wex yar zan".split()
+SUBDOMAINS, ZONES = ("", "www.", "", "m.", "", "blog.", "", "news."), ("com", "net", "org", "info", "co.uk", "de", "fr", "es")
+#: Sites whose subdomains belong to anyone. Fixed values.
+HOSTING = ("blogspot.com", "wordpress.com", "github.io", "weebly.com", "tumblr.com", "homepages.net", "freehosting.org", "livejournal.com")
+PATHS = ("/en/{}", "/de/{}.html", "/fr/{}/", "/article/{}", "/", "/2021/04/{}", "/es/{}", "/index.php")
+WANTED_PATHS, UNWANTED_PATHS = ("/wiki/topic-{}", "/docs/latest/{}", "/lesson/{}", "/papers/{}"), ("/signup/bonus", "/track/click.php", "/free/download", "/buy-now/cheap")
+
+
+def table() -> tuple[list[str], list[str]]:
+    """Host and path of some hundred wanted and unwanted pages, made from the words by one rule for both.
+
+    Zones, subdomains and most paths are the same for both, so that none of them tells; plain names are wanted ones.
+    """
+
+    def rows(words: list[str], own: tuple[str, ...], i: int) -> list[str]:
+        first, other = words[i % len(words)], words[(7 * i + 3) % len(words)]
+        names = (first, f"{first}-{other}", f"{other}{first}", f"the-{first}", f"{first}-online", f"hot-{first}", f"{other}-{first}")
+        paths = (*PATHS, own[i % len(own)])
+        zone = lambda k: HOSTING[(i + k) % len(HOSTING)] if k % 3 == 2 or k > 4 else ZONES[(i // 3 + k) % len(ZONES)]
+        return [f"{SUBDOMAINS[(i + k) % len(SUBDOMAINS)]}{name}.{zone(k)}{paths[(i + 2 * k) % len(paths)].format(97 * i + k)}" for k, name in enumerate(names)]
+
+    n = len(SYLLABLES)
+    plain = ["".join(SYLLABLES[(i * (5 + 2 * j) + j * j) % n] for j in range(2 + i % 3)) for i in range(3 * n * 3)]
+    wanted = [r for i in range(len(WANTED_WORDS)) for r in rows(WANTED_WORDS, WANTED_PATHS, i)]
+    wanted += [f"{SUBDOMAINS[i % len(SUBDOMAINS)]}{p}{'-' + plain[i - 7] if i % 4 == 3 else ''}.{HOSTING[i % len(HOSTING)] if i % 3 == 2 else ZONES[i % len(ZONES)]}{PATHS[i % len(PATHS)].format(31 * i)}" for i, p in enumerate(plain)]
+    return wanted, [r for i in range(len(UNWANTED_WORDS)) for r in rows(UNWANTED_WORDS, UNWANTED_PATHS, i)]
+
+
+def held_out(url: str) -> bool:
+    """A fifth of the table, which the stated precision and recall are measured on."""
+    return zlib.crc32(url.encode()) % 5 == 0
+
+
 BITS, ORDERS, SEED = 15, (3, 4, 5), 8
 
 
@@ -144,8 +87,13 @@ def _texts(urls: Sequence[str]) -> pa.Array:
 
 
 @functools.lru_cache
-def fit(wanted: tuple[str, ...] = tuple(WANTED), unwanted: tuple[str, ...] = tuple(UNWANTED), rounds: int = 400, l2: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias of an L2 logistic regression by full-batch gradient descent; a positive margin means block."""
+def fit(wanted: tuple[str, ...] | None = None, unwanted: tuple[str, ...] | None = None, rounds: int = 1500, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias of an L2 logistic regression by full-batch gradient descent; a positive margin means block.
+
+    Without labelled urls it learns from ``table``.
+    """
+    if wanted is None or unwanted is None:
+        wanted, unwanted = (tuple(x) for x in table())
     data, starts = flat(_texts([*wanted, *unwanted]))
     rows, buckets = _grams(data, starts)
     y = np.r_[np.zeros(len(wanted)), np.ones(len(unwanted))]
@@ -153,11 +101,13 @@ def fit(wanted: tuple[str, ...] = tuple(WANTED), unwanted: tuple[str, ...] = tup
     x = np.zeros((len(y), len(used)))
     x[rows, index] = 1
     x /= np.maximum(np.sqrt(x.sum(1, keepdims=True)), 1)
-    w, b, share = np.zeros(len(used)), 0.0, np.where(y == 1, 0.5 / len(unwanted), 0.5 / len(wanted))
-    for _ in range(rounds):
-        error = (1 / (1 + np.exp(-(x @ w + b))) - y) * share  # either class counts half
-        w -= 4 * (x.T @ error + l2 * w)
+    share = np.where(y == 1, 0.5 / len(unwanted), 0.5 / len(wanted))  # either class counts half
+    alike, alpha, b = x @ x.T, np.zeros(len(y)), 0.0
+    for _ in range(rounds):  # w = x.T @ alpha throughout: a step costs rows times rows, not rows times n-grams
+        error = (1 / (1 + np.exp(-(alike @ alpha + b))) - y) * share
+        alpha = (1 - 4 * l2) * alpha - 4 * error
         b -= 4 * error.sum()
+    w = x.T @ alpha
     full = np.zeros(1 << BITS)
     full[used] = w
     return full, b
