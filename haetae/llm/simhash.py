@@ -7,16 +7,18 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haetae.llm.common import add_columns, add_private, cut_lineage
+from haetae.llm.common import add_columns, cut_lineage
 from haetae.llm.components import components
 
 #: Words of a shingle, seed of the hash, and differing bits up to which fingerprints link.
 SHINGLE, SEED, BUDGET = 4, 42, 4
-#: Node pairs that the traversal holds at once, and fingerprints from which a group is dealt out further.
+#: Node pairs that the traversal holds at once, and fingerprints above which a group is dealt out further.
 FRONTIER, GROUP = 1 << 17, 100_000
+#: Ids of rows to be dropped that are broadcast at most: some tens of MB.
+DROPPED = 1_000_000
 _U1 = np.uint64(1)
 
 
@@ -125,25 +127,40 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def _dealt(prints: DataFrame, masks: dict[int, list[int]] | None, budget: int) -> DataFrame:
+    """``prints`` (fp, and mask where ``masks`` tells the finer ones of each) by mask and value of its bits."""
+    pair = lambda m: F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value"))
+    if masks is None:
+        return prints.select("fp", F.explode(F.array(*[pair(m) for m in _blocks(list(range(64)), budget + 1)])).alias("k")).select("fp", "k.*")
+    finer: Any = None
+    for m, more in masks.items():
+        made = F.array(*[pair(x) for x in more])
+        finer = F.when(F.col("mask") == _signed(m), made) if finer is None else finer.when(F.col("mask") == _signed(m), made)
+    return prints.select("fp", F.explode(finer).alias("k")).select("fp", "k.*")
+
+
 def links(prints: DataFrame, budget: int = BUDGET, group: int = GROUP) -> DataFrame:
     """Edges (a, b) that connect exactly the distinct fingerprints ``fp`` that links of ``budget`` or fewer bits connect.
 
     Of ``budget`` + 1 blocks of bits two linked fingerprints agree in one at least, so each fingerprint goes to
     a group for each block's value, and groups are joined with themselves by ``trie_components``, many in one trie. A group of over
-    ``group`` fingerprints is dealt out once more by blocks of its other bits, again without losing a link. A
+    ``group`` fingerprints is dealt out by blocks of its other bits, again without losing a link, and so on until
+    no group is larger. It ends: fingerprints that agree in all but ``budget`` bits are 2**``budget`` at most. A
     group returns a tree for each of its components, fewer edges than it has fingerprints, never all pairs.
     """
-    masks = _blocks(list(range(64)), budget + 1)
-    block = F.explode(F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for m in masks])).alias("k")
-    dealt = prints.select("fp", block).select("fp", "k.mask", "k.value")
-    hot = dealt.groupBy("mask", "value").count().filter(F.col("count") > group).select("mask", "value", F.lit(True).alias("hot"))
-    dealt = dealt.join(hot, ["mask", "value"], "left")
-    finer: Column = F.array(F.struct(F.col("mask").alias("mask"), F.col("value").alias("value")))
-    for m in masks:
-        rest = [b for b in range(64) if not m >> b & 1]
-        both = [m | s for s in _blocks(rest, budget + 1)]
-        finer = F.when(F.col("hot") & (F.col("mask") == _signed(m)), F.array(*[F.struct(F.lit(_signed(x)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(x))).alias("value")) for x in both])).otherwise(finer)
-    dealt = dealt.select("fp", F.explode(finer).alias("k")).select("fp", "k.mask", "k.value")
+    parts, dealt, group = [], _dealt(prints, None, budget), max(group, 1 << budget)
+    while True:
+        hot = cut_lineage(dealt.groupBy("mask", "value").count().filter(F.col("count") > group).select("mask", "value"))
+        found = [r["mask"] & (1 << 64) - 1 for r in hot.select("mask").distinct().collect()]  # masks, not groups: 5 at first
+        if not found:
+            parts.append(dealt)
+            break
+        parts.append(dealt.join(hot, ["mask", "value"], "left_anti"))
+        masks = {m: [m | x for x in _blocks([b for b in range(64) if not m >> b & 1], budget + 1)] for m in found}
+        dealt = cut_lineage(_dealt(dealt.join(hot, ["mask", "value"], "left_semi"), masks, budget).distinct())
+    dealt = parts[0]
+    for part in parts[1:]:
+        dealt = dealt.unionByName(part)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for mask, value, fp in _whole_groups(batches):
@@ -211,18 +228,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, group: int = GROUP) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, group: int = GROUP, at_once: int = DROPPED) -> DataFrame:
     """The rows of ``docs``, all columns, with the smallest id of each component of near-duplicates.
 
-    Of rows that repeat that id (or are all without an id) one stays.
+    Of rows that repeat that id (or are all without an id) one stays. Fingerprints are worked out once and kept with
+    the ids; which ids go is decided there. Up to ``at_once`` of these are broadcast, so that texts stay where they
+    are; more are joined by a shuffle. Only rows whose id isn't theirs alone are looked at again by their text.
     """
-    made = add_private(docs, text_col, "fp long", _fingerprints)
-    fp, row_id, prefix = made.private("fp"), F.col(f"`{id_col}`"), made.prefix
-    prints = cut_lineage(made.frame.select(row_id.alias("doc_id"), fp.alias("fp")))
+    prefix = "__own_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    row_id, keys = F.col(f"`{id_col}`"), [f"{prefix}id", f"{prefix}none"]
+    named = lambda frame, c: frame.withColumns({keys[0]: F.coalesce(c.cast("string"), F.lit("")), keys[1]: c.isNull()})
+    prints = cut_lineage(add_columns(docs.select(row_id.alias("doc_id"), F.col(f"`{text_col}`").alias("text")), "text", "fp long", _fingerprints, ["doc_id"]))
     chosen = prints.join(_clusters(prints, budget, group), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = chosen.groupBy("root").agg(F.min(F.struct("fp", "doc_id")).alias("one")).select(F.col("one.fp").alias(f"{prefix}fp"), F.col("one.doc_id").alias("doc_id"))
-    # Rows meet by id and fingerprint, so that copies, which share a fingerprint, don't meet in one task.
-    keys = [f"{prefix}fp", f"{prefix}id", f"{prefix}none"]
-    named = lambda frame, c: frame.withColumn(f"{prefix}id", F.coalesce(c.cast("string"), F.lit(""))).withColumn(f"{prefix}none", c.isNull())
-    kept = named(made.frame, row_id).join(named(chosen, F.col("doc_id")).select(*keys), keys).dropDuplicates(keys)
+    chosen = cut_lineage(named(chosen.groupBy("root").agg(F.min(F.struct("fp", "doc_id")).alias("one")), F.col("one.doc_id")).select(*keys, F.col("one.fp").alias(f"{prefix}fp")))
+    ids = named(prints, F.col("doc_id")).groupBy(*keys).agg((F.count("*") > 1).alias("many"))
+    goes = cut_lineage(ids.join(chosen.select(*keys, F.lit(True).alias("stays")), keys, "left").filter("many or stays is null").select(*keys, "many").distinct())
+    size, repeated = goes.agg(F.count("*"), F.coalesce(F.bool_or("many"), F.lit(False))).first()
+    near = lambda frame: F.broadcast(frame) if size <= at_once else frame
+    rows = named(docs, row_id)
+    kept = rows.join(near(goes.select(*keys)), keys, "left_anti")
+    if repeated:
+        again = add_columns(rows.join(near(goes.filter("many").select(*keys)), keys, "left_semi"), text_col, f"{prefix}fp long", lambda: _renamed(prefix))
+        again = again.join(chosen, [*keys, f"{prefix}fp"], "left_semi").dropDuplicates([*keys, f"{prefix}fp"])
+        kept = kept.unionByName(again.drop(f"{prefix}fp"))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _renamed(prefix: str) -> Callable[[pa.Array], dict[str, Any]]:
+    kernel = _fingerprints()
+    return lambda texts: {f"{prefix}fp": kernel(texts)["fp"]}

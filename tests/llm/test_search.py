@@ -109,6 +109,42 @@ def test_keep_one(spark, edge):
     assert sorted(i for i in ids if i) == sorted(least) and ids.count(None) == 1
 
 
+def test_keep_one_of_repeated_ids(spark):
+    """An id may have several texts, and several copies of one; the rule is the same whether ids are broadcast or joined."""
+    base = " ".join(f"w{i}" for i in range(40))
+    texts = [base, "another text of its own kind entirely", "a third one that nobody else has written"]
+    rows = [(5, base), (5, base), (5, texts[1]), (7, base), (3, texts[2]), (5, texts[2]), (8, "alone and not repeated by anyone here"), (None, base), (None, "no id but its own words"), (None, "no id but its own words"), (9, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for at_once in (simhash.DROPPED, 0):
+        kept = sorted(map(str, ((r.doc_id, r.text or "") for r in simhash.keep_one(df, at_once=at_once).collect())))
+        assert kept == sorted(map(str, [(5, base), (5, texts[1]), (3, texts[2]), (8, rows[6][1]), (None, rows[8][1]), (9, "")])), at_once
+    alone = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts])], "doc_id long, text string")
+    for at_once in (simhash.DROPPED, 0):
+        assert sorted(r.doc_id for r in simhash.keep_one(alone, at_once=at_once).collect()) == [0, 1, 2]
+
+
+def test_hot_groups_are_split_until_small(spark):
+    """Fingerprints that agree in 40 bits are in one group of every dealing; no link is lost however often it is split."""
+    rng = np.random.default_rng(3)
+    prints = np.unique(np.concatenate([(rng.integers(0, 1 << 20, 300, dtype=np.uint64) << np.uint64(30)) | np.uint64(5 << 56), rng.integers(0, 1 << 63, 100, dtype=np.uint64)]))
+    df = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long")
+    values = [int(x) for x in prints]
+    root = groups(values, close)
+    want = {values[i]: values[r] for i, r in enumerate(root)}
+    for group in (16, 60, simhash.GROUP):
+        label = dict(zip(values, values))
+        edges = [(r.a & (1 << 64) - 1, r.b & (1 << 64) - 1) for r in simhash.links(df, group=group).collect()]
+        assert all(want[a] == want[b] for a, b in edges)
+        changed = True
+        while changed:
+            changed = False
+            for a, b in edges:
+                least = min(label[a], label[b])
+                changed |= label[a] != least or label[b] != least
+                label[a] = label[b] = least
+        assert label == want, group
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000)] + [tuple(map(int, rng.integers(2000, 2200, 2))) for _ in range(150)]
@@ -216,6 +252,22 @@ def test_threshold_algorithm_stops_early():
     assert best.tolist() == truth.tolist() and sum(reads) < 4000
 
 
+def test_few_embeddings_are_scored_in_full():
+    """On the vectors themselves: most are left after a part of their dimensions, and the answer is that of all scores."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    ids, vectors = np.array(table["vec_id"]), np.floor(1024 * np.array(table["embedding"].to_pylist(), float))
+    lists, asked = topk.Lists(ids, vectors), np.flatnonzero(ids % 100 == 0)
+    for q in asked:
+        best, scores = lists.top(int(ids[q]), vectors[q], 10)
+        truth = vectors @ vectors[q]
+        order = [i for i in np.lexsort((ids, -truth)) if ids[i] != ids[q]][:10]
+        assert best.tolist() == order and scores.tolist() == truth[order].tolist()
+    pairs = len(ids) * len(asked)
+    assert lists.reads.full < 0.15 * pairs and lists.reads.values < 0.65 * pairs * vectors.shape[1]
+
+
 def test_licenses(spark):
     mit = licenses.KNOWN[0][1]
     texts = [mit, "Copyright (c) 2020 A. B.\nAll rights reserved.\n" + mit.replace("\n\n", "\n").lower(), "The MIT Licence (MIT)\r\n\r\nCopyright © 2001 x\n\n" + mit.split("\n\n", 1)[1].replace("sublicense", "sub-license"), mit + " and more", None, "", "Released under the MIT License.", "x\nreleased under the MIT licence\nLicensed under CC BY-NC 4.0.\nÀÉ ① ©", "(c) 2020\n(c) 2021 z\nISC License\n" + licenses.KNOWN[1][1], "#  SPDX-License-Identifier: Apache-2.0 \n"]
