@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from haetae.llm import bpe, decontaminate, language_id, quality, simhash
-from haetae.llm.common import read_table, shared_dir
+from haetae.llm.common import delete, read_table, shared_dir
 from haetae.llm.queries import tokenizer_path
 
 
@@ -54,9 +54,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each result is written as Parquet in the shared checkpoint folder and read again."""
+    """All stages on ``documents``; each result is written as Parquet in the shared checkpoint folder and read again.
+
+    A stage's texts are deleted once the next one is written; the last one's rows stay for the reader.
+    """
     docs, base = read_table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:
+            delete(spark, before)
+        before = f"{base}/{name}"
     return docs
