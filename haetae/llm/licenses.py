@@ -221,3 +221,20 @@ notices AS (
 SELECT doc_id, whole.digest AS digest, license, coalesce(notices, '') AS notices
 FROM whole LEFT JOIN known ON whole.digest = known.digest LEFT JOIN notices USING (r)
 """
+
+
+#: Whole licences and notices whose look-up ``texts`` shows.
+SHOWN = 24
+
+
+def texts() -> list[tuple[int, str]]:
+    """(id, text): known texts as they are, in capitals under a copyright line, and with a sentence that makes them other texts."""
+    forms = (lambda t: t, lambda t: "Copyright (c) 2020 Some Holder. All rights reserved.\n\n" + t.upper(), lambda t: t + "\n\nThe software shall be used for good.")
+    return [(3 * i + j, form(text)) for i, (_, text) in enumerate(KNOWN[:SHOWN]) for j, form in enumerate(forms)]
+
+
+def texts_sql() -> str:
+    """``oracle_sql`` over ``texts``."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {quote(t)})" for i, t in texts())
+    return "WITH documents(doc_id, text) AS (SELECT CAST(i AS BIGINT), t FROM (VALUES " + rows + ") AS v(i, t))," + oracle_sql().lstrip().removeprefix("WITH")

@@ -86,6 +86,11 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
 
+def license_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan of op6 over whole licences, which ``documents`` has none of."""
+    return licenses.scan(spark.createDataFrame(licenses.texts(), "doc_id long, text string"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -116,9 +121,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_language_id": op9_language_id,
     "op10_simhash": op10_simhash,
+    "license_texts": license_texts,
 }
 ORACLES: dict[str, str] = {
     "op2_decontamination": OP2_SQL,
     "op3_top_k": OP3_SQL,
     "op6_license_scan": licenses.oracle_sql(),
+    "license_texts": licenses.texts_sql(),
 }
