@@ -63,6 +63,13 @@ def luhn_ok(tokens: Column) -> Column:
     return F.length(tokens).between(13, 19) & F.coalesce(F.call_function("luhn_check", tokens), F.lit(False))
 
 
+def luhn_check_digit(tokens: Column) -> Column:
+    """The digit that makes ``tokens`` a number with a valid Luhn check when put behind it; null without digits."""
+    whole = digits(tokens)
+    doubled = F.transform(F.reverse(F.split(whole, "")), lambda d, i: F.when(i % 2 == 0, F.when(d.cast("int") > 4, d.cast("int") * 2 - 9).otherwise(d.cast("int") * 2)).otherwise(d.cast("int")))
+    return F.when(F.length(whole) > 0, (F.lit(10) - F.aggregate(doubled, F.lit(0), lambda acc, d: acc + d) % 10) % 10)
+
+
 def rrn_date_ok(tokens: Column) -> Column:
     """yymmdd and the century that the seventh digit stands for."""
     number = lambda i: digit(tokens, i) * 10 + digit(tokens, i + 1)

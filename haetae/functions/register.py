@@ -1,4 +1,4 @@
-"""SQL functions: find_identifiers (table function), mask_identifiers and check_identifier."""
+"""For SQL: views of a table's findings and masked texts, and functions over single values."""
 
 from __future__ import annotations
 
@@ -11,12 +11,27 @@ from pyspark.sql import functions as F
 from haetae import plain
 from haetae import rules as catalog
 from haetae.functions.masks import parse_mode
+from haetae.operators.detect import detect
+from haetae.operators.mask import mask_text
+
+
+def register_views(spark: SparkSession, table: str, keys: list[str], text_col: str = "text", mode: str = "full", rules: catalog.RuleSet | None = None) -> tuple[str, str]:
+    """Views ``{table}_findings`` (``keys`` and the fields of a finding) and ``{table}_masked`` (the table and a column ``masked``).
+
+    They are the expressions of ``operators`` over the table, so a query of them runs inside the JVM, with filters and
+    columns pushed down to the table's scan. This is the form for tables of any size.
+    """
+    name = table.rpartition(".")[2]
+    detect(spark.table(table), keys, text_col, rules).createOrReplaceTempView(f"{name}_findings")
+    mask_text(spark.table(table), text_col, "masked", parse_mode(mode), rules).createOrReplaceTempView(f"{name}_masked")
+    return f"{name}_findings", f"{name}_masked"
 
 
 def register(spark: SparkSession, rules: catalog.RuleSet | None = None) -> None:
     """``find_identifiers(text)`` gives a row for each finding of every line, ``mask_identifiers(text, mode)`` the masked text, ``check_identifier(raw, validator)`` a verdict.
 
-    They are for SQL text; in DataFrame code the expressions in ``operators`` do the same inside the JVM.
+    They are for a look at single values: Python goes over them one by one. For tables take ``register_views``, or in
+    DataFrame code the expressions in ``operators``.
     """
     rules = rules or catalog.builtin()
 

@@ -150,6 +150,26 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT check_identifier('4111111111111112', 'luhn') AS c").first().c == "suspicious"
 
 
+def test_sql_views(spark):
+    from haetae.functions.register import register_views
+
+    spark.createDataFrame([(1, "a user@example.com b\n900101-1234568"), (2, None)], "id long, text string").createOrReplaceTempView("notes")
+    assert register_views(spark, "notes", ["id"], mode="partial") == ("notes_findings", "notes_masked")
+    found = spark.sql("select id, rule_id from notes_findings where confidence = 'confirmed' order by rule_id")
+    assert [tuple(r) for r in found.collect()] == [(1, "email"), (1, "resident_id")]
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r.masked for r in spark.sql("select masked from notes_masked order by id").collect()] == ["a u***@example.com b\n900101-1******", None]
+
+
+def test_luhn_check_digit(spark):
+    from haetae.functions import checks
+
+    rows = spark.createDataFrame([("411111111111111", 1), ("4111-1111-1111-111", 1), ("7992739871", 3), ("0", 0), ("", None)], "t string, want int")
+    made = rows.select("t", "want", checks.luhn_check_digit(F.col("t")).alias("got")).collect()
+    assert all(r.got == r.want for r in made)
+    assert all(plain.checksum("luhn", r.t.replace("-", "") + str(r.got)) for r in made if r.t)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from haetae.streaming.scan import detect_stream, run_available
 
