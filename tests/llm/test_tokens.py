@@ -79,6 +79,34 @@ def test_ids_equal_tiktoken(ranks, tiktoken_encode):
         assert codec.decode_bytes(ids) == text.encode() and "".join(codec.decode_stream(ids)) == text
 
 
+def test_both_engines_split_alike():
+    """Every character below U+10000 between letters, digits, spaces and signs, under two patterns."""
+    import re
+
+    import regex
+
+    wide = r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"
+    chars = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    for pattern in (P.PATTERN, wide):
+        one, other = regex.compile(pattern), re.compile(bpe.plain_pattern(pattern))
+        for c in chars:
+            text = f"a{c}b {c}1 {c}  {c}.{c}'{c}s"
+            assert one.findall(text) == other.findall(text), hex(ord(c))
+    for other in (r"\p{Lu}+", r"(?i:'s)", r"a++", r"a+?", r"(a)", r"[[a]]", r"[]\p{L}]", r"[^]a]", r"\bx", r"[a\S]", "[a--b]", "\\"):
+        assert bpe.plain_pattern(other) is None, other
+
+
+def test_remembered_matches_are_bounded(ranks, tiktoken_encode, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    codec = bpe.Codec(bpe.tokenizer_json(ranks, P.PATTERN), P.PATTERN)
+    for i in range(60):
+        text = f"the common words and zq{i}x \U0001f600"
+        assert codec.encode_packed([text]) == [struct.pack(f"<{len(ids)}I", *ids) for ids in [tiktoken_encode(text)]]
+        assert codec.decode_packed(codec.encode_packed([text])[0]) == text.encode()
+        assert len(codec.packed) <= 40 and len(codec.older) <= 40
+    assert " common" in codec.packed or " common" in codec.older
+
+
 def test_split_characters(ranks):
     codec = bpe.Codec(bpe.tokenizer_json(ranks, P.PATTERN), P.PATTERN)
     ids = codec.encode(["한😀"])[0].ids
