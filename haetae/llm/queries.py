@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haetae.llm import bpe, decontaminate, language_id, licenses, quality, simhash, toxicity
+from haetae.llm import bpe, decontaminate, language_id, licenses, negatives, packing, quality, simhash, toxicity, whitening
 from haetae.llm.common import read_table
 from haetae.llm.token_count import count_tokens
 from haetae.llm.topk import top_k
@@ -110,6 +110,38 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(rows, rows.filter(F.col("vec_id") % 50 == 0))
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), a AS (
+  SELECT vec_id, min(struct_pack(label := label, e := e)) AS least FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id
+), s AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id, v.label = a.least.label AS same, CAST(list_dot_product(a.least.e, v.e) AS BIGINT) AS score FROM a, v WHERE a.vec_id <> v.vec_id AND len(a.least.e) = len(v.e)
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score, nth FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS nth FROM s WHERE same) WHERE nth <= 5
+), r AS (
+  SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.nth ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 3
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
@@ -121,6 +153,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_language_id": op9_language_id,
     "op10_simhash": op10_simhash,
+    "op11_whitening": op11_whitening,
+    "op12_packing": op12_packing,
+    "op13_hard_negatives": op13_hard_negatives,
     "license_texts": license_texts,
 }
 ORACLES: dict[str, str] = {
@@ -128,4 +163,5 @@ ORACLES: dict[str, str] = {
     "op3_top_k": OP3_SQL,
     "op6_license_scan": licenses.oracle_sql(),
     "license_texts": licenses.texts_sql(),
+    "op13_hard_negatives": OP13_SQL,
 }
