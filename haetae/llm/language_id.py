@@ -19,6 +19,8 @@ ORDERS, TOP = (1, 2, 3), 300
 #: Labelled documents that a language's profile is learnt from, about: the bound of the sample.
 SAMPLE = 1000
 UNKNOWN = "und"
+#: Values that an id's hash is drawn from, far more than a language has ids.
+_DRAWS = 1 << 50
 _ROW, _GRAM = np.uint64(44), np.uint64((1 << 44) - 1)
 
 
@@ -130,19 +132,20 @@ def learn(texts: list[str], languages: list[str], top: int = TOP) -> Profiles:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, salt: int = 9) -> Profiles:
     """Learn from rows with a text, a language and crc32(id as text) mod 4 other than 2.
 
-    Of a language with more than ``sample`` such rows, a share is taken by a hash of the id that gives about
-    ``sample``. Of several texts under one id the least counts. The driver gets the languages' counts and one whole
-    text for each id of the sample, whatever the size of ``docs``; languages are taken to be some hundreds at most.
+    Of a language with more than ``sample`` ids, a share of them is taken by a hash of the id that gives about
+    ``sample``; ids are counted by a sketch, however often each is repeated. Of several texts under one id the least
+    counts. The driver gets the languages' counts and one whole text for each id of the sample, whatever the size of
+    ``docs``; languages are taken to be some hundreds at most.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_bucket("id", 4) != 2))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("id", 0.02).alias("n")).collect()}
     if not counts:
         return learn([], [])
-    draw = F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 20))
+    draw = F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(_DRAWS))
     chosen = F.lit(False)
     for lang, n in counts.items():
-        chosen |= (F.col("lang") == lang) & (draw < min(1 << 20, int((1 << 20) * sample / n) + 1))
+        chosen |= (F.col("lang") == lang) & (draw < (_DRAWS if n <= sample else _DRAWS * sample // n + 1))
     found = sorted(tuple(r) for r in rows.filter(chosen).groupBy("lang", "id").agg(F.min("text").alias("text")).collect())
     return learn([text for _, _, text in found], [lang for lang, _, _ in found])
 

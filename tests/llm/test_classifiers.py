@@ -307,3 +307,28 @@ def test_sample_of_repeated_ids(spark):
     assert seen[0] == seen[1] and len(seen[0][0]) == len([i for i in (1, 2, 3, 6) if not held(i, 5, 0)])
     if not held(1, 5, 0):
         assert long in seen[0][0]
+
+
+def test_languages_of_few_ids_are_learnt(spark):
+    """Ids that are repeated often: what is drawn are ids, so a language of one id isn't lost."""
+    made = spark.range(0)
+    for lang, ids, copies, words in (("aa", 1, 20_000, "kala mato"), ("bb", 3, 10_000, "zuri poqe"), ("cc", 5_000, 4, "lin dorf"), ("dd", 50, 1, "xhe vub")):
+        rows = spark.range(ids * copies).select((F.col("id") % ids * 10 + F.lit(ord(lang[0]) * 1_000_000)).alias("doc_id"), F.lit(f"{words} ").alias("text"), F.lit(lang).alias("lang"))
+        made = rows if lang == "aa" else made.unionAll(rows)
+    ids = made.select("doc_id", "lang").distinct().collect()
+    learnable = {r.lang for r in ids if not held(r.doc_id, 4, 2)}
+    profiles = language_id.fit(made)
+    assert learnable >= {"bb", "cc", "dd"} and set(profiles.languages) == learnable
+    of = profiles.predict(pa.array([b"lin dorf lin", b"zuri poqe", b"xhe vub"], pa.large_binary()))[0]
+    assert of == ["cc", "bb", "dd"]
+
+
+def test_language_sample_stays_bounded(spark):
+    rows = spark.range(60_000).select((F.col("id") % 20_000).alias("doc_id"), F.lit("ein kurzer text").alias("text"), F.lit("de").alias("lang"))
+    seen = []
+    learn, language_id.learn = language_id.learn, lambda texts, langs, *a: seen.append(len(texts))
+    try:
+        language_id.fit(rows)
+    finally:
+        language_id.learn = learn
+    assert 700 <= seen[0] <= 1300
