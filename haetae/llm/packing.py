@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,21 +15,49 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from haetae.llm.common import cut_lineage
+from haetae.llm.common import arrow_texts, cut_lineage, slices
 
-#: Distinct strings without white space whose ids a worker remembers, in each of two generations.
-REMEMBERED = 250_000
+#: Pieces of texts whose ids a worker remembers, in each of two generations.
+REMEMBERED = 400_000
 #: Steps of the linear program at most, and its gap to the bound at which it ends.
 STEPS, GAP = 40, 0.05
+#: Shares of the program's configurations that are tried until a plan is at the bound.
+SHARES = (1.0, 0.3, 0.1, 0.03, 0.01)
+#: Characters that neither composition nor Unicode's later versions change, and whose lower case doesn't depend on their neighbours: under U+0300, general punctuation, currency signs.
+_STABLE = r"\x00-\u02FF\u2010-\u2027\u2030-\u205E\u20A0-\u20BF"
+_UNSTABLE, _SPACE = re.compile(f"[^{_STABLE}]"), re.compile(r"[\t\n\x0B\f\r ]+")
 _PIECE = "piece int, start long, length long, ids_crc32 long"
 
 
+def _below(kinds: str) -> str:
+    """``_STABLE`` characters of the given general categories, letters or numbers, as the inside of a class."""
+    return "".join(re.escape(c) for c in map(chr, range(0x300)) if unicodedata.category(c)[0] in kinds)
+
+
+class Generations:
+    """What is remembered: a table of at most ``most`` results, and the one before it."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.now, self.before = most, {}, {}
+
+    def lack(self, wanted: set) -> list:
+        """Those of ``wanted`` that are in neither table; ``now`` has all others after this."""
+        new = wanted - self.now.keys()
+        if len(self.now) + len(new) > self.most:
+            self.now, self.before = {}, self.now
+            new = wanted
+        known = new & self.before.keys()
+        self.now.update(zip(known, map(self.before.__getitem__, known)))
+        return list(new - known)
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers, by a tokenizer that never joins anything across white space.
+    """Ids of texts as little-endian unsigned 32-bit integers, by a tokenizer that merges the matches of its pattern one by one.
 
-    ``independent`` finds out whether a tokenizer does: its normaliser replaces runs of white space and works on
-    characters, and its pattern matches no white space, so that the words between can be encoded one by one by the
-    library and remembered. Any other tokenizer gets whole texts.
+    ``independent`` finds out whether nothing is joined across white space: the normaliser replaces runs of it and works on
+    characters, and the pattern matches none. Texts of ``_STABLE`` characters are cut by the tokenizer's own pattern into the pieces
+    that it merges; others into the words between white space. What isn't remembered of a batch's pieces goes to the library in
+    one call. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, spec: str) -> None:
@@ -34,44 +66,48 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.by_word = independent(spec)
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def whole(self, text: bytes) -> bytes:
-        ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
-    def word(self, word: bytes) -> bytes:
-        """The ids of a word that ``new`` doesn't have; long words are not remembered."""
-        found = self.old.get(word)
-        if found is None:
-            found = self.whole(word)
-            if len(word) > 200:
-                return found
-        if len(self.new) >= REMEMBERED:
-            self.old, self.new = self.new, {}
-        self.new[word] = found
-        return found
-
-    def ids(self, text: bytes) -> bytes:
-        if not self.by_word:
-            return self.whole(text)
-        get, word = self.new.get, self.word
-        made = []
-        for w in text.split():  # at white space of ASCII only
-            ids = get(w)
-            if ids is None:
-                ids = word(w)
-                get = self.new.get
-            made.append(ids)
-        return b"".join(made)
+        self.independent = independent(spec)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces, self.words = Generations(REMEMBERED), Generations(REMEMBERED // 4)
+        if self.independent:
+            parts = json.loads(spec)
+            first, *rest = parts["pre_tokenizer"]["pretokenizers"]
+            pattern = first["pattern"]["Regex"]
+            # Pieces are normalised and cut already: the same merges, with nothing before them but white space.
+            self.merges = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *rest]}}))
+            self.cut = re.compile(pattern.replace(r"\p{L}", _below("L")).replace(r"\p{N}", _below("N")))
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn_pieces(self, wanted: set[str]) -> None:
+        """Encode pieces side by side: each is one match of the pattern, so the library tells whose each id is."""
+        new = self.pieces.lack(wanted)
+        if not new:
+            return
+        made = self.merges.encode(" ".join(new), add_special_tokens=False)
+        owner = np.array(made.word_ids)
+        if len(owner) and owner[-1] == len(new) - 1:
+            ends, data = 4 * np.searchsorted(owner, np.arange(len(new) + 1)), np.array(made.ids, "<u4").tobytes()
+            self.pieces.now.update((p, data[a:b]) for p, a, b in zip(new, ends[:-1].tolist(), ends[1:].tolist()))
+        else:  # the library cuts otherwise than expected
+            self.pieces.now.update((p, self.whole(p)) for p in new)
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        if not self.independent:
+            return [self.whole(t) for t in texts]
+        split: list[tuple[dict, list[str]]] = []
+        for t in texts:
+            plain = not _UNSTABLE.search(t) and not any(a in t for a in self.added)
+            split.append((self.pieces, self.cut.findall(t.lower())) if plain else (self.words, _SPACE.split(t)))
+        self.learn_pieces(set().union(*[cut for by, cut in split if by is self.pieces]))
+        for w in self.words.lack(set().union(*[cut for by, cut in split if by is self.words])):
+            self.words.now[w] = self.whole(w)
+        return [b"".join(map(by.now.__getitem__, cut)) for by, cut in split]
 
 
 def independent(spec: str) -> bool:
     """Whether a tokenizer (its JSON) gives a text the ids of its words between white space, one after the other."""
-    import json
-
     t = json.loads(spec)
     steps = (t["normalizer"] or {}).get("normalizers", [t["normalizer"]] if t["normalizer"] else [])
     spaces = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
@@ -194,27 +230,47 @@ def best_fit(left: np.ndarray, size: int) -> list[tuple[tuple[tuple[int, int], .
 def plan(counts: np.ndarray, size: int) -> tuple[list[tuple[tuple[tuple[int, int], ...], int]], float]:
     """Patterns ((length, how often), ...) and how many sequences of each, which together hold ``counts`` exactly; and the lower bound.
 
-    The program's solution is rounded at random to whole configurations as far as pieces are left; the others follow by best fit.
+    The program's solution is rounded to whole configurations as far as pieces are left, those of the longest piece first: down, and then
+    once up for each, so that a long piece finds one of the partners that the program has for it. What is left follows by best fit.
     Patterns are at most a configuration for each length and step, and what best fit makes of the lengths: bounded by
     ``size``, however many pieces there are.
     """
     left = counts.copy()
-    made = [(((size, 1),), int(left[size]))] if left[size] else []
-    lower = float(left[size])
+    full = [(((size, 1),), int(left[size]))] if left[size] else []
     left[size] = 0
     steps, bound, _ = solve(left, size)
-    rng = np.random.default_rng(13)
+    lots = []
     for config, length, much in steps:
-        copies = np.floor(much + rng.random(len(much))).astype(np.int64)
-        order = np.argsort(config, kind="stable")
-        length, begin = length[order], np.searchsorted(config[order], np.arange(len(much) + 1))
-        for c in np.flatnonzero(copies).tolist():
-            kinds, often = np.unique(length[begin[c] : begin[c + 1]], return_counts=True)
-            many = min(int(copies[c]), int((left[kinds] // often).min()))
+        order = np.lexsort((-length, config))
+        length, begin = length[order].tolist(), np.searchsorted(config[order], np.arange(len(much) + 1)).tolist()
+        lots += [(tuple(length[a:b]), m) for a, b, m in zip(begin, begin[1:], much.tolist())]
+    lots.sort(reverse=True)
+    best: list = []
+    for share in SHARES:
+        made = rounded(lots, left, size, share)
+        if not best or sum(many for _, many in made) < sum(many for _, many in best):
+            best = made
+        if sum(many for _, many in best) < bound + 1 - 1e-6:  # no plan has fewer
+            break
+    return [*full, *best], counts[size] + bound
+
+
+def rounded(lots: list[tuple[tuple[int, ...], float]], counts: np.ndarray, size: int, share: float, seed: int = 13) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """Whole configurations as far as there are pieces, and best fit for what is left: ``share`` of ``lots`` (rising from the least piece) is used."""
+    rest, made = counts.tolist(), []
+    used = np.random.default_rng(seed).random(len(lots)) < share
+    for down in (True, False):
+        for (lot, much), use in zip(lots, used.tolist()):
+            many = int(much * share) if down else use
+            if not many or not rest[lot[0]]:
+                continue
+            held = tuple(Counter(lot).items())
+            many = min(many, min(rest[length] // often for length, often in held))
             if many:
-                left[kinds] -= many * often
-                made.append((tuple(zip(kinds.tolist(), often.tolist())), many))
-    return [*made, *best_fit(left, size)], lower + bound
+                made.append((held, many))
+                for length, often in held:
+                    rest[length] -= often * many
+    return [*made, *best_fit(np.array(rest, np.int64), size)]
 
 
 def places(patterns: list[tuple[tuple[tuple[int, int], ...], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,7 +303,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
     with open(path, encoding="utf-8") as file:
         held = docs.sparkSession.sparkContext.broadcast(file.read())  # a tokenizer's own file: a few MB
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     last = int(end).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,20 +311,22 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         seen, part = np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             row, made, start, length, crc, nth, data = [], [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                all_ids = encoder.ids(text.as_py()) + last
-                for at in range(0, len(all_ids), 4 * size):
-                    own = all_ids[at : at + 4 * size]
-                    n = len(own) // 4
-                    row.append(i)
-                    made.append(at // (4 * size))
-                    start.append(at // 4)
-                    length.append(n)
-                    crc.append(zlib.crc32(own))
-                    nth.append(seen[n])
-                    seen[n] += 1
-                    if ids:
-                        data.append(np.frombuffer(own, "<u4").astype(np.int64))
+            texts = arrow_texts(batch.column(1))
+            for a, b in slices(texts):
+                for i, own_ids in enumerate(encoder.ids(texts.slice(a, b - a).cast(pa.large_string()).to_pylist()), a):
+                    all_ids = own_ids + last
+                    for at in range(0, len(all_ids), 4 * size):
+                        own = all_ids[at : at + 4 * size]
+                        n = len(own) // 4
+                        row.append(i)
+                        made.append(at // (4 * size))
+                        start.append(at // 4)
+                        length.append(n)
+                        crc.append(zlib.crc32(own))
+                        nth.append(seen[n])
+                        seen[n] += 1
+                        if ids:
+                            data.append(np.frombuffer(own, "<u4").astype(np.int64))
             out = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(made, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array([part] * len(row), pa.int32()), pa.array(nth, pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
             yield pa.RecordBatch.from_arrays(out + [pa.array(data, pa.list_(pa.int64()))] * ids, names=names + ["ids"] * ids)
