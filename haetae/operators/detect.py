@@ -9,7 +9,8 @@ from haetae import rules as catalog
 from haetae.functions.checks import MASKED, SKIP, verdict
 from haetae.functions.masks import mask_full, mask_partial
 from haetae.operators.once import once
-from haetae.operators.pieces import SHIFT, WIDTH, blocks, let, part, running, running_sum, runs
+from haetae.operators.pieces import SHIFT, WIDTH, blocks, chunks, let, part, running, running_sum, runs
+from haetae.patterns import nullable, parse
 
 FINDING = "struct<rule_id:string,label:string,raw:string,masked_preview:string,confidence:string,paragraph_index:int,byte_start:int,byte_end:int,char_start:int,char_end:int,context_before:string,context_after:string>"
 _CANDIDATE = "array<struct<start:int,rule:int,ord:int,raw:string>>"
@@ -21,7 +22,7 @@ def candidates(text: Column, rules: catalog.RuleSet) -> Column:
     """All matches by start, then priority of the rule, then pattern: array<struct<start, rule, ord, raw>>, start in characters.
 
     A pattern's non-overlapping leftmost matches come from one extraction; the pieces between them, from one split,
-    give where each begins. Rules with the same pattern share its matches; built-in patterns that can't match are
+    give where each begins; empty matches are left out. Rules with the same pattern share its matches; built-in patterns that can't match are
     skipped by one test for many of them, others cost one test each. The walk over matches and pieces is one expression for all patterns.
     """
     uses: dict[str, list[tuple[int, int]]] = {}
@@ -31,15 +32,21 @@ def candidates(text: Column, rules: catalog.RuleSet) -> Column:
     none = F.array().cast(_CANDIDATE)
     if not uses:
         return none
-    guards, found = catalog.pattern_guards(), {}
+    guards, found, empty = catalog.pattern_guards(), {}, False
     for p, who in uses.items():
         java = catalog.java_pattern(p)
         for_rules = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(j).alias("ord")) for i, j in who])
-        found.setdefault(guards.get(p), []).append(F.when(F.rlike(text, F.lit(java)), F.struct(for_rules.alias("who"), F.regexp_extract_all(text, F.lit(java), F.lit(0)).alias("raws"), F.split(text, java, -1).alias("gaps"))))
+        raws, gaps = F.regexp_extract_all(text, F.lit(java), F.lit(0)), F.split(text, java, -1)
+        if maybe_empty := nullable(parse(p).tree):
+            # An empty match at the very begin cuts nothing off: put back the empty piece before it.
+            gaps = let(gaps, lambda g: F.when(F.size(g) == F.size(raws), F.concat(F.array(F.lit("")), g)).otherwise(g))
+            empty |= maybe_empty
+        found.setdefault(guards.get(p), []).append(F.when(F.rlike(text, F.lit(java)), F.struct(for_rules.alias("who"), raws.alias("raws"), gaps.alias("gaps"))))
 
     def walk(m: Column) -> Column:
         pairs = F.zip_with(m["raws"], F.slice(m["gaps"], 1, F.size(m["raws"])), lambda raw, gap: F.struct(raw.alias("raw"), F.length(gap).alias("gap"), (F.length(gap) + F.length(raw)).alias("both")))
         spans = let(pairs, lambda ps: F.zip_with(ps, running_sum(F.transform(ps, lambda x: x["both"])), lambda x, at: F.struct((at + x["gap"]).alias("start"), x["raw"].alias("raw"))))
+        spans = F.filter(spans, lambda s: F.length(s["raw"]) > 0) if empty else spans
         return let(spans, lambda ss: F.flatten(F.transform(m["who"], lambda w: F.transform(ss, lambda s: F.struct(s["start"].alias("start"), w["rule"].alias("rule"), w["ord"].alias("ord"), s["raw"].alias("raw"))))))
 
     groups = [F.array_compact(F.array(*made)) if guard is None else F.when(F.rlike(text, F.lit(guard)), F.array_compact(F.array(*made))) for guard, made in found.items()]
@@ -72,20 +79,38 @@ def claims(text: Column, rules: catalog.RuleSet, held: Column | None = None) ->
 
     A candidate takes its characters only if its check doesn't skip it and none of a higher priority, an earlier
     start or pattern has taken any of them. Only candidates that overlap, also by way of others, decide about each
-    other, so each such cluster is gone through by itself: a line of many findings costs no square of their number.
+    other, so each such cluster is gone through by itself, rule by rule: a rule's candidates and what is
+    taken already are merged in order of place. A line costs no square of its findings, nor of a cluster's candidates.
     """
     held = blocks(text) if held is None else held
     whole = F.filter(candidates(text, rules), lambda c: (F.length(c["raw"]) > 0) & _bounded(held, c["start"], c["start"] + F.length(c["raw"])))
     judged = F.transform(whole, lambda c: F.struct(c["start"].alias("start"), c["rule"].alias("rule"), c["ord"].alias("ord"), c["raw"].alias("raw"), by_kind(c["rule"], rules, lambda r: r.validator, lambda v: verdict(c["raw"], v), F.lit(SKIP)).alias("confidence")))
     end = lambda c: c["start"] + F.length(c["raw"])
 
-    def take(acc: Column, c: Column) -> Column:
-        apart = ~F.exists(acc, lambda t: (t["start"] < end(c["c"])) & (c["c"]["start"] < end(t)))
-        return F.when(apart, F.array_append(acc, c["c"])).otherwise(acc)
-
     def resolve(cluster: Column) -> Column:
-        ordered = F.array_sort(F.transform(cluster, lambda c: F.struct(c["rule"].alias("rule"), c["start"].alias("start"), c["ord"].alias("ord"), c.alias("c"))))
-        return F.when(F.size(cluster) == 1, cluster).otherwise(F.aggregate(ordered, F.array().cast(_JUDGED), take))
+        ids = F.array_sort(F.array_distinct(F.transform(cluster, lambda c: c["rule"])))
+        return F.when(F.size(cluster) == 1, cluster).otherwise(F.aggregate(ids, F.array().cast(_JUDGED), lambda taken, rule: claimed(taken, cluster, rule)))
+
+    def claimed(taken: Column, cluster: Column, rule: Column) -> Column:
+        """``taken`` (apart, by start) and what one rule's candidates take besides, from left to right.
+
+        Ends of what is taken and begins of candidates are gone over in order: the first taken one that does not end
+        before a candidate begins must begin after its end, and the rule's last one must have ended. In chunks, as arrays grow by copies.
+        """
+        mine = F.filter(F.transform(cluster, lambda c, i: F.struct(c["start"].alias("at"), F.lit(1).alias("kind"), i.alias("i"), c["rule"].alias("rule"))), lambda e: e["rule"] == rule)
+        theirs = F.transform(taken, lambda t, i: F.struct(end(t).alias("at"), F.lit(0).alias("kind"), i.alias("i"), F.lit(0).alias("rule")))
+        state = lambda ahead, stop, out: F.struct(ahead.alias("ahead"), stop.alias("stop"), out.alias("out"))
+
+        def step(acc: Column, e: Column) -> Column:
+            c, next_taken = F.get(cluster, e["i"]), F.get(taken, acc["ahead"])
+            free = (c["start"] >= acc["stop"]) & (next_taken.isNull() | (next_taken["start"] >= end(c)))
+            return F.when(e["kind"] == 0, state(e["i"] + 1, acc["stop"], acc["out"])).when(free, state(acc["ahead"], end(c), F.array_append(acc["out"], c))).otherwise(acc)
+
+        nothing = F.array().cast(_JUDGED)
+        some = lambda acc, events: F.aggregate(events, state(acc["ahead"], acc["stop"], nothing), step)
+        more = lambda acc, events: let(some(acc, events), lambda m: state(m["ahead"], m["stop"], F.array_append(acc["out"], m["out"])))
+        taken_now = lambda events: F.aggregate(chunks(events), state(F.lit(0), F.lit(0), F.array().cast(f"array<{_JUDGED}>")), more, lambda acc: F.flatten(acc["out"]))
+        return F.array_sort(F.concat(taken, let(F.array_sort(F.concat(theirs, mine)), taken_now)))
 
     def clusters(c: Column) -> Column:
         reach = running(F.transform(c, end), lambda a, b: F.greatest(a, b))

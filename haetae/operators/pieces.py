@@ -32,6 +32,11 @@ def pinned_fields(df: DataFrame, made: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(made)))
 
 
+def chunks(items: Column) -> Column:
+    """``items`` in arrays of ``CHUNK``; an empty array for none."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda i: F.slice(items, i * CHUNK + 1, F.lit(CHUNK)))
+
+
 def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
     """For each integer the ``op`` of all integers before it, from 0 on.
 
@@ -43,8 +48,7 @@ def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
     total = lambda items: F.aggregate(items, F.lit(0), op)
 
     def over(v: Column) -> Column:
-        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int")), lambda i: F.slice(v, i * CHUNK + 1, F.lit(CHUNK)))
-        long = let(chunks, lambda c: F.flatten(F.zip_with(c, scan(F.transform(c, total), F.lit(0)), scan)))
+        long = let(chunks(v), lambda c: F.flatten(F.zip_with(c, scan(F.transform(c, total), F.lit(0)), scan)))
         return F.when(F.size(v) <= CHUNK, scan(v, F.lit(0))).otherwise(long)
 
     return let(values, over)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Any
 
 from haetae import rules as catalog
+from haetae.patterns import parse
 
 CONFIRMED, SUSPICIOUS, MASKED, SKIP = "confirmed", "suspicious", "already_masked", "skip"
 
@@ -122,17 +125,30 @@ def mask(raw: str, mode: str, partial: str = "", token: str = "[PII]") -> str:
     return _stars(raw)
 
 
-@functools.lru_cache(maxsize=64)
-def _compiled(rules: catalog.RuleSet) -> tuple[tuple[catalog.Rule, tuple[re.Pattern[str], ...]], ...]:
-    return tuple((r, tuple(re.compile(p) for p in r.patterns)) for r in rules)
+@functools.lru_cache(maxsize=20_000)
+def compiled(pattern: str) -> Any:
+    import regex
+
+    return regex.compile(parse(pattern).python, regex.V1)
+
+
+def spans(pattern: Any, text: str) -> Iterator[tuple[int, int]]:
+    """Matches that are not empty, as linear-time engines and Java find them: behind an empty one the search goes on one character further."""
+    at = 0
+    while found := pattern.search(text, at):
+        a, b = found.span()
+        if b > a:
+            yield a, b
+        at = b if b > a else b + 1
+        if at > len(text):
+            break
 
 
 def find(text: str | None, rules: catalog.RuleSet | None = None) -> list[Found]:
     """Findings of one paragraph in reading order."""
     out: list[Found] = []
-    for rule, patterns in _compiled(rules or catalog.builtin()):
-        spans = sorted(((m.start(), i, m.end()) for i, p in enumerate(patterns) for m in p.finditer(text or "")), key=lambda s: s[:2])
-        for a, _, b in spans:
+    for rule in rules or catalog.builtin():
+        for a, _, b in sorted((a, i, b) for i, p in enumerate(rule.patterns) for a, b in spans(compiled(p), text or "")):
             beside = text[a - 1 : a] * (a > 0) + text[b : b + 1]
             if a == b or re.search("[0-9A-Za-z*]", beside) or any(f.char_start < b and a < f.char_end for f in out):
                 continue

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import functools
-import re
 import tomllib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from haetae import patterns
+
 #: Identifiers, labels, priorities and patterns of the built-in rules.
 BUILTIN_TOML = r"""
 [[rules]]
@@ -175,51 +176,39 @@ class RuleSet:
     def get(self, rule_id: str) -> Rule | None:
         return next((r for r in self.rules if r.id == rule_id), None)
 
+    def slow(self) -> list[tuple[str, str]]:
+        """(rule, pattern) of patterns whose time may grow with a power of a line's length."""
+        return [(r.id, p) for r in self.rules for p in r.patterns if patterns.ambiguity(patterns.parse(p).tree) in ("polynomial", "unknown")]
+
     def dataframe(self, spark: SparkSession) -> DataFrame:
         rows = [(r.id, r.label, r.priority, r.validator, r.replace_token, r.partial, list(r.patterns), i) for i, r in enumerate(self.rules)]
         return spark.createDataFrame(rows, "id string, label string, priority int, validator string, replace_token string, partial string, patterns array<string>, ord int")
 
 
-_UNSUPPORTED = re.compile(r"\(\?<?[=!]|\\[1-9]|\(\?P=|\(\?>|[*+?}]\+")
-_POSIX = re.compile(r"\[:(\^?)(\w+):\]")
-_LEADING_RUN = re.compile(r"(\[(?!\^)(?:[^\]\\]|\\.)+\])\+([^\\\[\](){}.*+?|^$])(?![*?{])([^|]*)")
-
-
-def linear(pattern: str) -> str:
-    """The same matches without trying a leading run of a class from each of its characters.
-
-    Before a character that isn't in the class, a run either leads to a match from its first character on or from
-    none. So a match starts where the last one ended or behind a character outside the class, and never gives
-    characters of the run back. Else a long line of letters costs the square of its length.
-    """
-    found = _LEADING_RUN.fullmatch(pattern)
-    if not found or re.match(found[1], found[2]):
-        return pattern
-    return rf"(?:\G|(?<!{found[1]})){found[1]}++{found[2]}{found[3]}"
-
-
 def java_pattern(pattern: str) -> str:
-    """The pattern for Java's engine: Unicode classes, named groups and text ends as in linear-time engines.
+    """The pattern for Java's engine: Unicode classes, line ends and text ends as in linear-time engines.
 
-    What those don't offer (look-around, back references, possessive or atomic groups) is refused, so that a rule
-    means the same wherever it runs.
+    A leading run of a class is not tried from each of its characters: before a character that isn't in the class, it
+    either leads to a match from its first character on or from none. So a match starts where the last one ended or
+    behind a character outside the class, and never gives characters of the run back. Else a long line of letters costs
+    the square of its length.
     """
-    if _UNSUPPORTED.search(pattern):
-        raise RuleError(f"look-around, back references and possessive groups are not supported: {pattern}")
-    pattern = linear(pattern)
-    made = _POSIX.sub(lambda m: ("\\P" if m[1] else "\\p") + "{" + {"word": "IsWord"}.get(m[2], m[2].capitalize() if m[2] != "xdigit" else "XDigit") + "}", pattern.replace("(?P<", "(?<"))
-    made = re.sub(r"(\\.)|(\$)(?![^\[\]]*\])", lambda m: m[1] or r"\z", made)
+    parsed = patterns.parse(pattern)
+    made = parsed.java
+    if run := patterns.leading_run(parsed):
+        leaf = run[0].render(patterns.JAVA)
+        made = rf"(?:\G|(?<!{leaf})){leaf}++{run[1]}"
     return f"(?U)(?d){made}"
 
 
 def _check(pattern: str, rule_id: str) -> str:
-    java_pattern(pattern)
+    """The pattern, if it can be run in time: one with exponentially many ways through a text would never end in a backtracking engine."""
     try:
-        compiled = re.compile(_POSIX.sub("a", pattern))
-    except re.error as error:
+        parsed = patterns.parse(pattern)
+    except patterns.PatternError as error:
         raise RuleError(f"rule {rule_id!r}: {error}") from error
-    if compiled.fullmatch(""):
-        raise RuleError(f"rule {rule_id!r}: the pattern matches the empty string: {pattern}")
+    if patterns.ambiguity(parsed.tree) == "exponential":
+        raise RuleError(f"rule {rule_id!r}: there are exponentially many ways to match the pattern, write it without loops that read the same text: {pattern}")
     return pattern
 
 
@@ -237,10 +226,10 @@ def load(toml_text: str, guard: str | None = None) -> RuleSet:
     for raw in parsed.get("rules", []):
         if "id" not in raw or "label" not in raw:
             raise RuleError("a rule needs id and label")
-        patterns = ([raw["pattern"]] if raw.get("pattern") is not None else []) + list(raw.get("patterns") or [])
-        if not patterns:
+        sources = ([raw["pattern"]] if raw.get("pattern") is not None else []) + list(raw.get("patterns") or [])
+        if not sources:
             raise RuleError(f"규칙 '{raw['id']}' 에 pattern 이 없습니다")
-        rules.append(Rule(raw["id"], raw["label"], tuple(_check(p, raw["id"]) for p in patterns), int(raw.get("priority", 0)), raw.get("validator", "none"), raw.get("replace_token") or f"[{raw['label']}]", raw.get("partial", "")))
+        rules.append(Rule(raw["id"], raw["label"], tuple(_check(p, raw["id"]) for p in sources), int(raw.get("priority", 0)), raw.get("validator", "none"), raw.get("replace_token") or f"[{raw['label']}]", raw.get("partial", "")))
     return _ordered(rules, guard)
 
 
