@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FULL, PARTIAL, REPLACE, DELETE = "full", "partial", "replace", "delete"
+#: Kinds of partial masks.
+KINDS = ("rrn", "corp", "biz", "health", "account", "card", "phone", "email", "driver", "passport", "ip")
 #: Other names of the modes.
 ALIASES = {"full": FULL, "partial": PARTIAL, "부분": PARTIAL, "replace": REPLACE, "치환": REPLACE, "delete": DELETE, "삭제": DELETE}
 

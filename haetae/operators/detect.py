@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ FINDING = "struct<rule_id:string,label:string,raw:string,masked_preview:string,c
 _CANDIDATE = "array<struct<start:int,rule:int,ord:int,raw:string>>"
 _JUDGED = "array<struct<start:int,rule:int,ord:int,raw:string,confidence:string>>"
 CONTEXT = 20
+Of = Callable[[Column], Column]
 
 
 def candidates(text: Column, rules: catalog.RuleSet) -> Column:
@@ -53,7 +56,7 @@ def candidates(text: Column, rules: catalog.RuleSet) -> Column:
     return F.array_sort(F.flatten(F.transform(F.flatten(F.array_compact(F.array(*groups))), walk)))
 
 
-def _bounded(held: Column, start: Column, end: Column) -> Column:
+def bounded(held: Column, start: Column, end: Column) -> Column:
     """Neither neighbour is an ASCII letter, a digit or a star; tested after matching, never as part of it."""
     word = "[0-9A-Za-z*]"
     return ~((start > 0) & part(held, F.greatest(start - 1, F.lit(0)), F.lit(1)).rlike(word)) & ~part(held, end, F.lit(1)).rlike(word)
@@ -70,6 +73,14 @@ def by_kind(rule: Column, rules: catalog.RuleSet, kind, of, otherwise: Column) -
     return otherwise if chain is None else chain.otherwise(otherwise)
 
 
+def by_value(value: Column, values: Sequence[str], of: Callable[[str], Column], otherwise: Column) -> Column:
+    """``of`` the one of ``values`` that ``value`` is."""
+    chain = F.when(F.lit(False), otherwise)
+    for v in values:
+        chain = chain.when(value == v, of(v))
+    return chain.otherwise(otherwise)
+
+
 def name_of(rule: Column, names: list[str]) -> Column:
     return F.get(F.array(*[F.lit(n) for n in names]).cast("array<string>"), rule)
 
@@ -83,13 +94,18 @@ def claims(text: Column, rules: catalog.RuleSet, held: Column | None = None) ->
     taken already are merged in order of place. A line costs no square of its findings, nor of a cluster's candidates.
     """
     held = blocks(text) if held is None else held
-    whole = F.filter(candidates(text, rules), lambda c: (F.length(c["raw"]) > 0) & _bounded(held, c["start"], c["start"] + F.length(c["raw"])))
+    whole = F.filter(candidates(text, rules), lambda c: (F.length(c["raw"]) > 0) & bounded(held, c["start"], c["start"] + F.length(c["raw"])))
     judged = F.transform(whole, lambda c: F.struct(c["start"].alias("start"), c["rule"].alias("rule"), c["ord"].alias("ord"), c["raw"].alias("raw"), by_kind(c["rule"], rules, lambda r: r.validator, lambda v: verdict(c["raw"], v), F.lit(SKIP)).alias("confidence")))
+    return resolved(judged, _JUDGED)
+
+
+def resolved(judged: Column, kind: str) -> Column:
+    """The claims among ``judged``, an array of type ``kind`` that begins with start, rule, ord, raw and confidence, by start."""
     end = lambda c: c["start"] + F.length(c["raw"])
 
     def resolve(cluster: Column) -> Column:
         ids = F.array_sort(F.array_distinct(F.transform(cluster, lambda c: c["rule"])))
-        return F.when(F.size(cluster) == 1, cluster).otherwise(F.aggregate(ids, F.array().cast(_JUDGED), lambda taken, rule: claimed(taken, cluster, rule)))
+        return F.when(F.size(cluster) == 1, cluster).otherwise(F.aggregate(ids, F.array().cast(kind), lambda taken, rule: claimed(taken, cluster, rule)))
 
     def claimed(taken: Column, cluster: Column, rule: Column) -> Column:
         """``taken`` (apart, by start) and what one rule's candidates take besides, from left to right.
@@ -106,10 +122,10 @@ def claims(text: Column, rules: catalog.RuleSet, held: Column | None = None) ->
             free = (c["start"] >= acc["stop"]) & (next_taken.isNull() | (next_taken["start"] >= end(c)))
             return F.when(e["kind"] == 0, state(e["i"] + 1, acc["stop"], acc["out"])).when(free, state(acc["ahead"], end(c), F.array_append(acc["out"], c))).otherwise(acc)
 
-        nothing = F.array().cast(_JUDGED)
+        nothing = F.array().cast(kind)
         some = lambda acc, events: F.aggregate(events, state(acc["ahead"], acc["stop"], nothing), step)
         more = lambda acc, events: let(some(acc, events), lambda m: state(m["ahead"], m["stop"], F.array_append(acc["out"], m["out"])))
-        taken_now = lambda events: F.aggregate(chunks(events), state(F.lit(0), F.lit(0), F.array().cast(f"array<{_JUDGED}>")), more, lambda acc: F.flatten(acc["out"]))
+        taken_now = lambda events: F.aggregate(chunks(events), state(F.lit(0), F.lit(0), F.array().cast(f"array<{kind}>")), more, lambda acc: F.flatten(acc["out"]))
         return F.array_sort(F.concat(taken, let(F.array_sort(F.concat(theirs, mine)), taken_now)))
 
     def clusters(c: Column) -> Column:
@@ -120,23 +136,20 @@ def claims(text: Column, rules: catalog.RuleSet, held: Column | None = None) ->
     return let(F.filter(judged, lambda c: c["confidence"] != SKIP), clusters)
 
 
-def findings(text: Column, rules: catalog.RuleSet, paragraph_index: Column | None = None) -> Column:
-    """Findings of one paragraph in reading order, as an array of ``FINDING``. Null text has none."""
-    index = F.lit(0) if paragraph_index is None else paragraph_index.cast("int")
-    none = F.array().cast(f"array<{FINDING}>")
+def found_in(held: Column, claimed: Column, index: Column, id_of: Of, label_of: Of, preview_of: Of, kind: str = FINDING, *more: Of) -> Column:
+    """Findings (an array of ``kind``) in reading order out of a paragraph's claims; ``held`` are its blocks."""
 
-    def full(held: Column, sizes: Column, c: Column) -> Column:
+    def full(sizes: Column, c: Column) -> Column:
         raw, start = c["raw"], c["start"]
         end = start + F.length(raw)
-        preview = F.when(c["confidence"] == MASKED, raw).otherwise(by_kind(c["rule"], rules, lambda r: r.partial, lambda k: mask_partial(raw, k), mask_full(raw)))
         before = F.greatest(start - CONTEXT, F.lit(0))
         block = F.shiftright(start, SHIFT)
         begin = F.get(sizes, block) + F.octet_length(F.left(F.get(held, block), start.bitwiseAND(WIDTH - 1)))
         return F.struct(
-            name_of(c["rule"], [r.id for r in rules]).alias("rule_id"),
-            name_of(c["rule"], [r.label for r in rules]).alias("label"),
+            id_of(c).alias("rule_id"),
+            label_of(c).alias("label"),
             raw.alias("raw"),
-            preview.alias("masked_preview"),
+            preview_of(c).alias("masked_preview"),
             c["confidence"].alias("confidence"),
             index.alias("paragraph_index"),
             begin.alias("byte_start"),
@@ -145,15 +158,23 @@ def findings(text: Column, rules: catalog.RuleSet, paragraph_index: Column | Non
             end.alias("char_end"),
             part(held, before, start - before).alias("context_before"),
             part(held, end, F.lit(CONTEXT)).alias("context_after"),
-        ).cast(FINDING)
+            *[of(c).alias(f"more_{i}") for i, of in enumerate(more)],
+        ).cast(kind)
+
+    ordered = F.array_sort(F.transform(claimed, lambda c: F.struct(c["start"].alias("start"), F.length(c["raw"]).alias("n"), c.alias("c"))))
+    sizes = running_sum(F.transform(held, F.octet_length))
+    none = F.array().cast(f"array<{kind}>")
+    return let(ordered, lambda o: F.when(F.size(o) == 0, none).otherwise(let(sizes, lambda n: F.transform(o, lambda x: full(n, x["c"])))))
 
-    def made(held: Column) -> Column:
-        ordered = F.array_sort(F.transform(claims(text, rules, held), lambda c: F.struct(c["start"].alias("start"), F.length(c["raw"]).alias("n"), c.alias("c"))))
-        sizes = running_sum(F.transform(held, F.octet_length))
-        return let(ordered, lambda o: F.when(F.size(o) == 0, none).otherwise(let(sizes, lambda n: F.transform(o, lambda x: full(held, n, x["c"])))))
 
+def findings(text: Column, rules: catalog.RuleSet, paragraph_index: Column | None = None) -> Column:
+    """Findings of one paragraph in reading order, as an array of ``FINDING``. Null text has none."""
+    index = F.lit(0) if paragraph_index is None else paragraph_index.cast("int")
+    preview = lambda c: F.when(c["confidence"] == MASKED, c["raw"]).otherwise(by_kind(c["rule"], rules, lambda r: r.partial, lambda k: mask_partial(c["raw"], k), mask_full(c["raw"])))
+    id_of, label_of = (lambda c: name_of(c["rule"], [r.id for r in rules])), (lambda c: name_of(c["rule"], [r.label for r in rules]))
+    made = lambda held: found_in(held, claims(text, rules, held), index, id_of, label_of, preview)
     likely = text.isNotNull() & (F.rlike(text, F.lit(rules.guard)) if rules.guard else F.lit(True))
-    return F.when(likely, let(blocks(text), made)).otherwise(none)
+    return F.when(likely, let(blocks(text), made)).otherwise(F.array().cast(f"array<{FINDING}>"))
 
 
 def line_findings(rules: catalog.RuleSet) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from haetae import rules as catalog
 from haetae.plans.formats import BUILDERS
-from haetae.plans.queries import MODES, OVERLAY
+from haetae.plans.queries import MODES, OVERLAY, OWN
 
 UPPER_LEFT = "[0-9A-Za-z*]"
 
@@ -13,8 +13,14 @@ def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+#: What the other engine has no syntax for.
+REWRITTEN = {"[a-z&&[^aeiou]]": "[b-df-hj-np-tv-z]", r"\d++": r"\d+"}
+
+
 def pattern(text: str) -> str:
     """The same classes in the other engine's notation."""
+    for a, b in REWRITTEN.items():
+        text = text.replace(a, b)
     return q(text.replace(r"\d", r"\p{Nd}").replace(r"\s", r"\t\n\x{0B}\f\r\x{85}\p{Z}"))
 
 
@@ -221,6 +227,7 @@ def chain(column: str, pairs: list[tuple[str, str]]) -> str:
 
 
 JSON = "replace(replace(replace(replace(replace(html, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't')"
+OWN_RULES = catalog.load(OWN)
 OVER_RULES = catalog.overlay(RULES, OVERLAY)
 
 #: The written file's lines, where they are not the masked lines themselves, and lines of its own.
@@ -271,6 +278,9 @@ ORACLES: dict[str, str] = {
     "findings_by_source": over(DOCS, "SELECT source, " + ", ".join(f"count(*) FILTER (id = '{r.id}') AS {r.id}" for r in RULES) + f" FROM (SELECT k, {ID} AS id FROM found) JOIN documents ON k = doc_id GROUP BY 1"),
     "findings_with_labels": over(DOCS, "SELECT quality, toxic, count(*) AS docs, CAST(sum(coalesce(n, 0)) AS BIGINT) AS findings FROM labels LEFT JOIN (SELECT k, count(*) AS n FROM found GROUP BY k) ON k = doc_id GROUP BY 1, 2"),
     "overlay_rule": over("SELECT c_custkey AS k, c_name AS text FROM customer", "SELECT m.k AS c_custkey, m.after, CAST(count(f.r) AS INTEGER) AS n, min(f.confidence) AS confidence FROM masked m LEFT JOIN found f ON m.k = f.k AND m.pi = f.pi GROUP BY 1, 2", masked("replace", rules=OVER_RULES), rules=OVER_RULES),
+    "own_rules_documents": over(DOCS, f"SELECT k AS doc_id, CAST(pi AS INTEGER) AS paragraph_index, {by_rule(OWN_RULES, lambda r: q(r.id))} AS rule_id, raw, confidence, s AS char_start, e AS char_end FROM found", rules=OWN_RULES),
+    "many_rules_documents": "SELECT w AS rule_id, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9A-Za-z*]+')) AS w FROM documents) WHERE regexp_full_match(w, '[a-z]{5,}') GROUP BY w ORDER BY n DESC, w LIMIT 2000",
+    "split_csv_records": "SELECT conv_id, CAST(turn AS BIGINT) AS turn, CAST(len(c) - len(replace(c, chr(10), '')) AS INTEGER) AS n_feeds, md5(c) AS cell_md5 FROM (SELECT conv_id, turn, '\"' || replace(coalesce(text, '') || chr(10) || role, '\"', '\"\"') || '\"' AS c FROM conversations)",
     "rule_catalog": "SELECT * FROM (VALUES " + ", ".join(f"({q(r.id)}, {r.priority}, {q(r.validator)}, {q(r.partial)}, {len(r.patterns)}, {i})" for i, r in enumerate(RULES)) + ") AS t(id, priority, validator, partial, n_patterns, ord)",
     "check_digits": f"SELECT o_orderkey, {rrn_ok('t')} AS rrn, {corp_ok('t')} AS corp, {biz_ok('substr(t, 1, 10)')} AS biz, {luhn_ok('card')} AS luhn, {date_ok('t')} AS date_ok FROM (SELECT *, '4' || t AS card FROM (SELECT o_orderkey, lpad(CAST(o_orderkey * 7919 + o_custkey * 104729 AS VARCHAR), 13, '9') AS t FROM orders))",
     "escaped_texts": f"SELECT page_id, md5({chain('html', ESC['xml'])}) AS xml, md5({chain('html', ESC['unxml'])}) AS unxml, md5({chain('html', ESC['html'])}) AS html, md5({JSON}) AS json, md5(CASE WHEN contains(html, '\"') OR contains(html, ',') OR contains(html, chr(10)) OR contains(html, chr(13)) THEN '\"' || replace(html, '\"', '\"\"') || '\"' ELSE html END) AS csv FROM pages",

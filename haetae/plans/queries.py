@@ -12,9 +12,12 @@ from haetae.functions import checks, escapes
 from haetae.operators import detect as d
 from haetae.operators import mask as m
 from haetae.operators import summary as s
+from haetae.operators.many import detect_many, rules_from
 from haetae.plans.formats import BUILDERS, round_trip
 from haetae.plans.process import Config, process, text_files
+from haetae.shared import new_folder
 from haetae.sinks.reports import csv_rows, from_json_lines, html_fragments, json_lines
+from haetae.sources.splits import read_records
 from haetae.sources.text import full_text, replace_extension, text_csv_records, text_lines
 from haetae.streaming.scan import detect_stream, windowed_counts
 
@@ -29,6 +32,60 @@ pattern = 'Customer#\d+'
 """
 
 
+#: Rules of a user's own, in the dialect's less common parts.
+OWN = r"""
+[[rules]]
+id = "masked_tail"
+label = "끝자리"
+priority = 9
+pattern = '\*+\d{4}'
+[[rules]]
+id = "marked_number"
+label = "표시 번호"
+priority = 8
+pattern = '[*+]\d{4}'
+[[rules]]
+id = "district"
+label = "동"
+priority = 7
+pattern = '\p{Hangul}{2,4}동'
+[[rules]]
+id = "word_number"
+label = "말과 수"
+priority = 6
+pattern = '[\p{L}]+\d{3}'
+[[rules]]
+id = "licence"
+label = "라이선스"
+priority = 5
+pattern = '(?i)(?P<word>licen[sc]e)[sd]?'
+[[rules]]
+id = "shout"
+label = "대문자"
+priority = 5
+pattern = '\p{Lu}{3,}[!?]*'
+[[rules]]
+id = "code"
+label = "코드"
+priority = 4
+pattern = '[[:upper:]]{2,}[[:digit:]]{2,}'
+[[rules]]
+id = "link"
+label = "링크"
+priority = 3
+pattern = 'https?://[\p{L}\d.]+'
+[[rules]]
+id = "percent"
+label = "비율"
+priority = 2
+pattern = '\d++%'
+[[rules]]
+id = "trailing_sign"
+label = "기호"
+pattern = '[a-z&&[^aeiou]]+(?:[$&%])+'
+"""
+
+
 #: Bytes up to which a table is dealt out to all cores: it may be one row group, hence one task.
 SMALL = 64 << 20
 
@@ -190,6 +247,32 @@ def overlay_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("c_custkey", "after", F.size("findings").alias("n"), F.element_at("findings", 1)["confidence"].alias("confidence"))
 
 
+def own_rules_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = d.detect(documents(spark, sf_dir), ["doc_id"], rules=catalog.load(OWN))
+    return found.select("doc_id", "paragraph_index", "rule_id", "raw", "confidence", "char_start", "char_end")
+
+
+def many_rules_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of 2,000 rules at once: a rule for each of the most frequent words."""
+    docs = documents(spark, sf_dir)
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit("[0-9A-Za-z*]+"), F.lit(0))).alias("id")).filter(F.rlike("id", F.lit("^[a-z]{5,}$")))
+    table = words.groupBy("id").count().orderBy(F.desc("count"), "id").limit(2000)
+    none = F.lit(None).cast("string")
+    table = table.select("id", F.col("id").alias("label"), F.lit(0).alias("priority"), none.alias("validator"), none.alias("replace_token"), none.alias("partial"), F.array("id").alias("patterns"))
+    return detect_many(docs, ["doc_id"], "text", rules_from(table)).groupBy("rule_id").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+def split_csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as CSV files, with line feeds within quotes, and read again in splits."""
+    cell = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    conv = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    folder = new_folder(spark, "conversations-csv")
+    conv.select(F.concat_ws(",", "conv_id", "turn", cell(F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.col("role")))).alias("value")).write.text(folder)
+    records = read_records(spark, folder, csv=True).filter("text <> ''")
+    parts = F.split("text", ",", 3)
+    return records.select(F.get(parts, F.lit(0)).cast("long").alias("conv_id"), F.get(parts, F.lit(1)).cast("long").alias("turn"), F.regexp_count("text", F.lit("\n")).alias("n_feeds"), F.md5(F.get(parts, F.lit(2)).cast("binary")).alias("cell_md5"))
+
+
 def rule_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.builtin().dataframe(spark).select("id", "priority", "validator", "partial", F.size("patterns").alias("n_patterns"), "ord")
 
@@ -272,6 +355,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "findings_by_source": findings_by_source,
     "findings_with_labels": findings_with_labels,
     "overlay_rule": overlay_rule,
+    "own_rules_documents": own_rules_documents,
+    "many_rules_documents": many_rules_documents,
+    "split_csv_records": split_csv_records,
     "rule_catalog": rule_catalog,
     "check_digits": check_digits,
     "escaped_texts": escaped_texts,

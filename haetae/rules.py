@@ -212,6 +212,11 @@ def _check(pattern: str, rule_id: str) -> str:
     return pattern
 
 
+def checked(rule_id: str, label: str, sources: tuple[str, ...], priority: int = 0, validator: str = "none", token: str | None = None, partial: str = "") -> Rule:
+    """A rule whose patterns can be run; an empty token becomes [label]."""
+    return Rule(rule_id, label, tuple(_check(p, rule_id) for p in sources), priority, validator, token or f"[{label}]", partial)
+
+
 def _ordered(rules: Sequence[Rule], guard: str | None) -> RuleSet:
     return RuleSet(tuple(sorted(rules, key=lambda r: -r.priority)), guard)
 
@@ -229,7 +234,7 @@ def load(toml_text: str, guard: str | None = None) -> RuleSet:
         sources = ([raw["pattern"]] if raw.get("pattern") is not None else []) + list(raw.get("patterns") or [])
         if not sources:
             raise RuleError(f"규칙 '{raw['id']}' 에 pattern 이 없습니다")
-        rules.append(Rule(raw["id"], raw["label"], tuple(_check(p, raw["id"]) for p in sources), int(raw.get("priority", 0)), raw.get("validator", "none"), raw.get("replace_token") or f"[{raw['label']}]", raw.get("partial", "")))
+        rules.append(checked(raw["id"], raw["label"], tuple(sources), int(raw.get("priority", 0)), raw.get("validator", "none"), raw.get("replace_token"), raw.get("partial", "")))
     return _ordered(rules, guard)
 
 
