@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from haetae import rules as catalog
 from haetae.functions.checks import CONFIRMED, MASKED, SUSPICIOUS
-from haetae.operators.detect import detect
-from haetae.operators.mask import mask_text, preview_line
+from haetae.functions.masks import REPLACE
+from haetae.operators.detect import detect, findings, line_findings, paragraphs
+from haetae.operators.mask import mask_text, preview_line, splice
+from haetae.operators.once import once
+from haetae.operators.pieces import pinned
 
 
 def _counts(prefix: str = "") -> list:
@@ -37,7 +40,21 @@ def totals(files: DataFrame, found: DataFrame, keys: list[str], prefix: str = ""
 
 
 def residual(df: DataFrame, keys: list[str], text_col: str = "text", mode: str = "full", rules: catalog.RuleSet | None = None) -> DataFrame:
-    """Findings in the masked text: the same detection once more."""
+    """Findings in the masked text. Those of a line that masking left as it was are carried over; only changed lines are looked through again."""
     rules = rules or catalog.builtin()
-    masked = mask_text(df.select(*keys, text_col), text_col, "__masked__", mode, rules)
-    return detect(masked, keys, "__masked__", rules)
+    if mode == REPLACE and any("\n" in r.replace_token for r in rules):  # lines don't stay lines
+        return detect(mask_text(df.select(*keys, text_col), text_col, "__masked__", mode, rules), keys, "__masked__", rules)
+    left = residual_lines(df, keys, text_col, mode, rules).select(*keys, F.explode_outer("left").alias("f"))
+    return left.filter("f is not null").select(*keys, "f.*")
+
+
+def residual_lines(df: DataFrame, keys: list[str], text_col: str, mode: str, rules: catalog.RuleSet) -> DataFrame:
+    """``keys``, paragraph_index, whether masking changed it and the findings left of every line that may have any."""
+    lines = paragraphs(df, keys, text_col)
+    if rules.guard:
+        lines = lines.filter(F.rlike(F.col("text"), F.lit(rules.guard)))
+    lines = pinned(lines, "found", line_findings(rules))
+    lines = pinned(lines, "after", once(lambda: splice(F.col("text"), F.col("found"), mode, rules), "splice", mode, rules))
+    again = once(lambda: findings(F.col("after"), rules, F.col("paragraph_index")), "again", rules)
+    changed = F.col("text") != F.col("after")
+    return lines.select(*keys, "paragraph_index", changed.alias("changed"), F.when(changed, again).otherwise(F.col("found")).alias("left"))

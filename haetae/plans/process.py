@@ -19,12 +19,13 @@ from haetae.sources.files import with_extracted, with_rewritten
 
 @dataclass(frozen=True)
 class Config:
-    """Rules, mask mode by any of its names, whether to mask, and whether an unreadable file ends the run."""
+    """Rules, mask mode by any of its names, whether to mask, whether an unreadable file ends the run, and whether all files are UTF-8 text (no Python then)."""
 
     rules: catalog.RuleSet = field(default_factory=catalog.builtin)
     mode: str = "partial"
     mask: bool = True
     fail: bool = False
+    text_only: bool = False
 
 
 def _count(found: Column, confidence: str) -> Column:
@@ -35,6 +36,12 @@ def _per_paragraph(column: str, rules: catalog.RuleSet) -> Column:
     return once(lambda: F.transform(column, lambda p, i: findings(p, rules, i)), "per_paragraph", column, rules)
 
 
+def _left(rules: catalog.RuleSet) -> Column:
+    """Findings of the paragraphs as read again: those of a paragraph that is as it was are carried over, others are looked through."""
+    same = lambda p, i: p == F.get(F.col("x_paragraphs"), i)
+    return once(lambda: F.transform("again_paragraphs", lambda p, i: F.when(same(p, i), F.get(F.col("each"), i)).otherwise(findings(p, rules, i))), "left", rules)
+
+
 def summaries_of(found: Column) -> Column:
     """Findings of a file by rule, in the order in which rules first come up."""
     ids = F.array_distinct(F.transform(found, lambda f: f["rule_id"]))
@@ -55,7 +62,7 @@ def process(files: DataFrame, config: Config = Config(), keys: tuple[str, ...] =
     """
     rules, mode = config.rules, parse_mode(config.mode)
     df = files.select(*keys, F.col(name_col).alias("filename"), F.col(content_col).alias("content"))
-    df = with_extracted(df, "x", "filename", "content", config.fail)
+    df = with_extracted(df, "x", "filename", "content", config.fail, config.text_only)
     df = pinned(df, "each", _per_paragraph("x_paragraphs", rules)).withColumn("findings", F.flatten("each"))
     report = [*keys, "filename", "format", "warnings", "error", "paragraph_count", "findings", "summaries", "diffs", "confirmed", "suspicious", "already_masked", "residual_confirmed", "residual_suspicious", "masked", "output_name", "fallback_note"]
     df = df.withColumns({
@@ -71,9 +78,9 @@ def process(files: DataFrame, config: Config = Config(), keys: tuple[str, ...] =
     df = pinned(pinned(df, "after", after), "changes", changes)
     pairs = F.zip_with("x_paragraphs", "after", lambda before, new: F.struct(before.alias("before"), new.alias("after")))
     diffs = F.filter(F.transform(pairs, lambda d, i: F.struct(i.alias("paragraph_index"), d["before"].alias("before"), d["after"].alias("after"))), lambda d: d["before"] != d["after"])
-    df = df.withColumns({"diffs": diffs, "encoding": F.col("x_encoding"), "offsets": F.col("x_offsets"), "first_warnings": F.col("x_warnings")}).drop("x_paragraphs", "x_places", "x_format", "x_error", "each")
-    df = with_rewritten(df, "out", ["filename", "content", "format", "encoding", "after", "changes", "offsets"]).withColumnsRenamed({"out_content": "masked", "out_name": "output_name", "out_note": "fallback_note"}).drop("content", "after", "changes", "offsets")
-    df = pinned(with_extracted(df, "again", "output_name", "masked"), "left", F.flatten(_per_paragraph("again_paragraphs", rules)))
+    df = df.withColumns({"diffs": diffs, "encoding": F.col("x_encoding"), "offsets": F.col("x_offsets"), "first_warnings": F.col("x_warnings")}).drop("x_places", "x_format", "x_error")
+    df = with_rewritten(df, "out", ["filename", "content", "format", "encoding", "after", "changes", "offsets"], config.text_only).withColumnsRenamed({"out_content": "masked", "out_name": "output_name", "out_note": "fallback_note"}).drop("content", "after", "changes", "offsets")
+    df = pinned(with_extracted(df, "again", "output_name", "masked", text_only=config.text_only), "left", F.flatten(_left(rules)))
     df = df.withColumns({"residual_confirmed": _count(F.col("left"), CONFIRMED), "residual_suspicious": _count(F.col("left"), SUSPICIOUS)})
     left = F.when(F.col("residual_confirmed") > 0, F.concat(F.lit("마스킹 후에도 확정 개인정보 "), F.col("residual_confirmed").cast("string"), F.lit("건이 남아 있습니다.")))
     warnings = F.array_compact(F.concat("first_warnings", F.array("fallback_note"), F.array(left)))

@@ -217,11 +217,11 @@ def verdict_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return csv_rows(process(text_files(documents(spark, sf_dir), "doc_id"), Config(mode="full"))).drop("at")
+    return csv_rows(process(text_files(documents(spark, sf_dir), "doc_id"), Config(mode="full", text_only=True))).drop("at")
 
 
 def process_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = process(text_files(documents(spark, sf_dir), "doc_id"), Config(mode="partial"), ("doc_id",))
+    done = process(text_files(documents(spark, sf_dir), "doc_id"), Config(mode="partial", text_only=True), ("doc_id",))
     return done.select("doc_id", "filename", "format", "paragraph_count", "confirmed", "suspicious", "already_masked", "residual_confirmed", "residual_suspicious", F.size("diffs").alias("n_diffs"), F.md5("masked").alias("masked_md5"), "output_name")
 
 
@@ -318,14 +318,14 @@ def container_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON report of each document, read again."""
-    reports = from_json_lines(json_lines(process(text_files(documents(spark, sf_dir), "doc_id"), Config(mode="full"))))
+    reports = from_json_lines(json_lines(process(text_files(documents(spark, sf_dir), "doc_id"), Config(mode="full", text_only=True))))
     return reports.select("filename", "format", "paragraph_count", "confirmed", "residual_confirmed", F.size("findings").alias("n_findings"), F.size("summaries").alias("n_rules"), F.size("diffs").alias("n_diffs"), F.get("findings", F.lit(0))["raw"].alias("first_raw"))
 
 
 def html_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and changed lines that the HTML report of each customer shows, and the first changed line."""
     files = text_files(identifiers(spark, sf_dir), "c_custkey")
-    html = html_fragments(process(files, Config(mode="full")))
+    html = html_fragments(process(files, Config(mode="full", text_only=True)))
     return html.select("filename", F.regexp_count("html", F.lit("<li>")).alias("n_rules"), F.regexp_count("html", F.lit("<del>")).alias("n_changed"), F.regexp_extract("html", "<ins>([^<]*)</ins>", 1).alias("first_line"))
 
 

@@ -7,6 +7,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haetae.functions.escapes import json_spans
 from haetae.operators.arrow import struct_of
 from haetae.operators.pieces import let, pinned, pinned_fields, replaced
 from haetae.sources import containers, hwp, pdf, text
@@ -135,14 +136,18 @@ def _in_string(piece: str, inside: bool) -> bool:
     return inside
 
 
-def text_kind(name: Column, content: Column) -> Column:
-    """txt or csv where ``sniff`` says so and the bytes are valid UTF-8, else null: those files need no Python."""
+def _kind_by_name(name: Column) -> Column:
     base = F.substring_index(F.replace(name, F.lit("\\"), F.lit("/")), "/", -1)
     ext = F.when(F.contains(base, F.lit(".")), F.lower(F.substring_index(base, ".", -1))).otherwise("")
-    kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair]), ext), F.lit("txt"))
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair]), ext), F.lit("txt"))
+
+
+def text_kind(name: Column, content: Column) -> Column:
+    """txt, csv or json where ``sniff`` says so and the bytes are valid UTF-8, else null: those files need no Python."""
+    kind = _kind_by_name(name)
     starts = lambda mark: F.substring(content, 1, len(mark)) == F.lit(mark)
     other = starts(hwp.MAGIC) | starts(hwp.MAGIC3) | starts(b"%PDF") | (starts(b"PK") & (F.octet_length(content) >= 4))
-    return F.when(kind.isin("txt", "csv") & ~other & F.is_valid_utf8(content.cast("string")), kind)
+    return F.when(kind.isin(*TEXTS) & ~other & F.is_valid_utf8(content.cast("string")), kind)
 
 
 def _marked(content: Column) -> Column:
@@ -164,10 +169,11 @@ def _extracted_text(kind: Column, content: Column) -> Column:
     return let(spans, made)
 
 
-def with_extracted(df: DataFrame, out: str, name_col: str, content_col: str, fail: bool = False) -> DataFrame:
+def with_extracted(df: DataFrame, out: str, name_col: str, content_col: str, fail: bool = False, text_only: bool = False) -> DataFrame:
     """``df`` with the fields of what ``extract`` finds as columns ``{out}_{field}``; a file that can't be read has an error and no paragraphs, or fails the job.
 
-    Text and CSV files in UTF-8 are taken apart by expressions; the bytes of others alone go to Python.
+    Text, CSV and JSON files in UTF-8 are taken apart by expressions; the bytes of others alone go to Python. With ``text_only`` all
+    files count as text in UTF-8, CSV or JSON by name, whatever they begin with, and the plan has no Python.
     """
 
     def run(name: str | None, content: bytes | None) -> dict[str, Any]:
@@ -179,6 +185,9 @@ def with_extracted(df: DataFrame, out: str, name_col: str, content_col: str, fai
             return {"format": UNKNOWN, "paragraphs": [], "places": [], "offsets": [], "warnings": [str(error)], "encoding": None, "error": str(error) or type(error).__name__}
 
     name, content, kind = F.coalesce(name_col, F.lit("")), F.coalesce(content_col, F.lit(b"")), F.col("__kind__")
+    if text_only:
+        df = pinned(df, "__kind__", F.when(_kind_by_name(name).isin(*TEXTS), _kind_by_name(name)).otherwise("txt"))
+        return pinned_fields(df, _prefixed(_extracted_text(kind, content).cast(f"struct<{EXTRACTED}>"), EXTRACTED, out)).drop("__kind__")
     df = pinned(df, "__kind__", text_kind(name, content))
     other = struct_of(EXTRACTED, run, F.when(kind.isNull(), name), F.when(kind.isNull(), content))
     df = df.withColumn("__other__", other)
@@ -191,21 +200,24 @@ def _prefixed(made: Column, fields: str, prefix: str) -> Column:
     return made.cast(f"struct<{kinds}>")
 
 
-def with_rewritten(df: DataFrame, out: str, inputs: list[str]) -> DataFrame:
+def with_rewritten(df: DataFrame, out: str, inputs: list[str], text_only: bool = False) -> DataFrame:
     """``df`` with columns ``{out}_content``, ``_name`` and ``_note`` of ``rewrite`` of the columns ``inputs``: name, content, format, encoding, masked, changes, offsets.
 
-    Text and CSV files in UTF-8 are put together by expressions, as they are taken apart.
+    Text, CSV and JSON files in UTF-8 are put together by expressions, as they are taken apart.
     """
 
     def run(name: str | None, content: bytes | None, *rest: Any) -> dict[str, Any]:
         return rewrite(name or "", content or b"", *rest)
 
     name, content, kind, encoding, _, changes, offsets = (F.col(c) for c in inputs)
-    plain = F.coalesce(kind.isin("txt", "csv") & encoding.isin(text.UTF8, text.UTF8_BOM), F.lit(False))
+    plain = F.coalesce(kind.isin(*TEXTS) & encoding.isin(text.UTF8, text.UTF8_BOM), F.lit(False))
     spans = F.transform(changes, lambda c: let(F.get(offsets, c["paragraph_index"]), lambda at: F.struct((at + c["char_start"]).alias("begin"), (at + c["char_end"]).alias("stop"), c["replacement"].alias("new"))))
+    spans = F.when(kind == "json", json_spans(_unmarked(content), spans)).otherwise(spans)
     bytes_of = replaced(_unmarked(content), spans).cast("binary")
     marked = F.when(_marked(content), F.concat(F.lit(text.MARKS[0][1]), bytes_of)).otherwise(bytes_of)
     made = F.struct(marked.alias("content"), name.alias("name"), F.lit(None).cast("string").alias("note"))
+    if text_only:
+        return pinned_fields(df, _prefixed(made, REWRITTEN, out))
     df = df.withColumn("__other__", struct_of(REWRITTEN, run, *[F.when(~plain, F.col(c)) for c in inputs]))
     return pinned_fields(df, _prefixed(F.when(plain, made).otherwise(F.col("__other__")), REWRITTEN, out)).drop("__other__")
 
