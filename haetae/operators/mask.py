@@ -56,10 +56,11 @@ def changed(lines: DataFrame) -> DataFrame:
 def mask_text(df: DataFrame, text_col: str = "text", out_col: str = "masked", mode: str = "full", rules: catalog.RuleSet | None = None) -> DataFrame:
     """All columns of ``df`` and the masked text; line feeds stay where they are, carriage returns too. Narrow: no shuffle."""
     rules = rules or catalog.builtin()
-    return df.withColumn(out_col, once(lambda: _masked_text(F.col(text_col), mode, rules), "mask_text", text_col, mode, rules))
+    return df.withColumn(out_col, once(lambda: masked_text(F.col(text_col), mode, rules), "mask_text", text_col, mode, rules))
 
 
-def _masked_text(text: Column, mode: str, rules: catalog.RuleSet) -> Column:
+def masked_text(text: Column, mode: str, rules: catalog.RuleSet) -> Column:
+    """A text with its lines' findings masked; null for null."""
     def line(x: Column) -> Column:
         return let(F.rtrim(x, F.lit("\r")), lambda core: F.concat(splice(core, findings(core, rules), mode, rules), F.substr(x, F.length(core) + 1)))
 

@@ -246,6 +246,9 @@ def round_trip(kind: str) -> str:
     return over(IDENTIFIERS, select, masked("full"), LEFT, FILE_COUNTS, text)
 
 
+#: Lines and the masked text of each document.
+WHOLE = "whole AS (SELECT m.k, count(*) AS n, count(*) FILTER (before <> after) AS changed, string_agg(m.after || substr(w.line, len(m.before) + 1), chr(10) ORDER BY m.pi) AS out FROM masked m JOIN (SELECT k, unnest(range(len(l))) AS pi, unnest(l) AS line FROM (SELECT doc_id AS k, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)) w ON m.k = w.k AND m.pi = w.pi GROUP BY m.k)"
+
 ORACLES: dict[str, str] = {
     "findings_by_rule_confidence": over(DOCS, BY_RULE),
     "findings_detail_documents": over(DOCS, f"SELECT k AS doc_id, {DETAIL} FROM found"),
@@ -272,8 +275,9 @@ ORACLES: dict[str, str] = {
         masked("partial"),
         LEFT,
         FILE_COUNTS,
-        "whole AS (SELECT m.k, count(*) AS n, count(*) FILTER (before <> after) AS changed, string_agg(m.after || substr(w.line, len(m.before) + 1), chr(10) ORDER BY m.pi) AS out FROM masked m JOIN (SELECT k, unnest(range(len(l))) AS pi, unnest(l) AS line FROM (SELECT doc_id AS k, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)) w ON m.k = w.k AND m.pi = w.pi GROUP BY m.k)",
+        WHOLE,
     ),
+    "written_files": over(DOCS, "SELECT doc_id || '.txt' AS filename, md5(out) AS masked_md5, CAST(strlen(out) AS BIGINT) AS length FROM documents JOIN whole ON doc_id = whole.k", masked("partial"), WHOLE),
     "findings_by_lang": over(DOCS, f"SELECT lang, {ID} AS rule_id, count(*) AS n, count(DISTINCT k) AS docs FROM found JOIN documents ON k = doc_id GROUP BY 1, 2"),
     "findings_by_source": over(DOCS, "SELECT source, " + ", ".join(f"count(*) FILTER (id = '{r.id}') AS {r.id}" for r in RULES) + f" FROM (SELECT k, {ID} AS id FROM found) JOIN documents ON k = doc_id GROUP BY 1"),
     "findings_with_labels": over(DOCS, "SELECT quality, toxic, count(*) AS docs, CAST(sum(coalesce(n, 0)) AS BIGINT) AS findings FROM labels LEFT JOIN (SELECT k, count(*) AS n FROM found GROUP BY k) ON k = doc_id GROUP BY 1, 2"),

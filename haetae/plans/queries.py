@@ -16,7 +16,9 @@ from haetae.operators.many import detect_many, rules_from
 from haetae.plans.formats import BUILDERS, round_trip
 from haetae.plans.process import Config, process, text_files
 from haetae.shared import new_folder
+from haetae.sinks.files import write_files
 from haetae.sinks.reports import csv_rows, from_json_lines, html_fragments, json_lines
+from haetae.sources.files import read_files
 from haetae.sources.splits import read_records
 from haetae.sources.text import full_text, replace_extension, text_csv_records, text_lines
 from haetae.streaming.scan import detect_stream, windowed_counts
@@ -125,7 +127,7 @@ def findings_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text with one identifier of each kind for every customer, made from its key."""
+    """A text with one identifier of each kind for every customer, made from its key: the given tables hold few of most kinds."""
     k = F.col("c_custkey")
     pad = lambda value, n: F.lpad((value % 10**n).cast("string"), n, "0")
     lines = [
@@ -273,6 +275,13 @@ def split_csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.get(parts, F.lit(0)).cast("long").alias("conv_id"), F.get(parts, F.lit(1)).cast("long").alias("turn"), F.regexp_count("text", F.lit("\n")).alias("n_feeds"), F.md5(F.get(parts, F.lit(2)).cast("binary")).alias("cell_md5"))
 
 
+def written_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files, masked, written under their names and read again."""
+    folder = new_folder(spark, "masked-documents")
+    write_files(process(text_files(documents(spark, sf_dir), "doc_id"), Config(mode="partial", text_only=True)), folder)
+    return read_files(spark, folder, "*.txt").select("filename", F.md5("content").alias("masked_md5"), "length")
+
+
 def rule_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.builtin().dataframe(spark).select("id", "priority", "validator", "partial", F.size("patterns").alias("n_patterns"), "ord")
 
@@ -358,6 +367,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "own_rules_documents": own_rules_documents,
     "many_rules_documents": many_rules_documents,
     "split_csv_records": split_csv_records,
+    "written_files": written_files,
     "rule_catalog": rule_catalog,
     "check_digits": check_digits,
     "escaped_texts": escaped_texts,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from haetae.functions.escapes import csv_escape, html_escape
 from haetae.operators.detect import FINDING
+from haetae.sinks.stitch import write_text
 
 COLUMNS = ("filename", "type", "label", "count", "confirmed", "suspicious", "already_masked", "residual_confirmed", "residual_suspicious", "preview")
 
@@ -30,6 +31,11 @@ def csv_report(reports: DataFrame) -> str:
     return "".join(f"{line}\n" for line in [",".join(COLUMNS), *(r["line"] for r in csv_lines(reports).orderBy("filename", "at").toLocalIterator())])
 
 
+def write_csv_report(reports: DataFrame, path: str) -> int:
+    """The same text as ``csv_report`` as one file, written by the executors; its size in bytes."""
+    return write_text(csv_lines(reports).orderBy("filename", "at"), "line", path, f"{','.join(COLUMNS)}\n", "\n", "\n")
+
+
 def json_lines(reports: DataFrame) -> DataFrame:
     """filename and json: the report of each file without its bytes. It holds what was found in clear."""
     kept = [c for c in reports.columns if c not in ("masked",)]
@@ -61,6 +67,11 @@ def json_report(reports: DataFrame) -> str:
     return json.dumps({"generated_by": "haetae", "files": files}, ensure_ascii=False, indent=2)
 
 
+def write_json_report(reports: DataFrame, path: str) -> int:
+    """One JSON document of all reports as one file, written by the executors; its size in bytes."""
+    return write_text(json_lines(reports).orderBy("filename"), "json", path, '{"generated_by": "haetae", "files": [\n', ",\n", "\n]}\n")
+
+
 #: Words of the page. Fixed values.
 WORDS = {"title": "개인정보 탐지 리포트", "kind": "항목 유형", "count": "건수", "confirmed": "확정", "suspicious": "의심", "already_masked": "마스킹됨", "preview": "미리보기", "left": "잔여", "none": "탐지 없음", "changed": "마스킹 전/후"}
 
@@ -89,8 +100,16 @@ def html_fragments(reports: DataFrame) -> DataFrame:
     return reports.select("filename", article.alias("html"))
 
 
+STYLE = "article{max-width:60em;margin:2em auto;font:1em sans-serif}dl,.rules{display:flex;flex-wrap:wrap;gap:.5em;list-style:none;padding:0}dd{margin:0 1em 0 0;font-weight:bold}li{padding:.5em;background:#eef}del{background:#fdd}ins{background:#dfd}"
+HEAD = f'<!DOCTYPE html>\n<html lang="ko"><meta charset="utf-8"><title>{WORDS["title"]}</title><style>{STYLE}</style>\n<main>\n'
+TAIL = "\n</main></html>"
+
+
 def html_report(reports: DataFrame) -> str:
     """One page of all articles, for the driver."""
-    articles = "\n".join(r["html"] for r in html_fragments(reports).orderBy("filename").toLocalIterator())
-    style = "article{max-width:60em;margin:2em auto;font:1em sans-serif}dl,.rules{display:flex;flex-wrap:wrap;gap:.5em;list-style:none;padding:0}dd{margin:0 1em 0 0;font-weight:bold}li{padding:.5em;background:#eef}del{background:#fdd}ins{background:#dfd}"
-    return f'<!DOCTYPE html>\n<html lang="ko"><meta charset="utf-8"><title>{WORDS["title"]}</title><style>{style}</style>\n<main>\n{articles}\n</main></html>'
+    return HEAD + "\n".join(r["html"] for r in html_fragments(reports).orderBy("filename").toLocalIterator()) + TAIL
+
+
+def write_html_report(reports: DataFrame, path: str) -> int:
+    """The same page as one file, written by the executors; its size in bytes."""
+    return write_text(html_fragments(reports).orderBy("filename"), "html", path, HEAD, "\n", TAIL)
