@@ -26,6 +26,8 @@ SHARES = (1.0, 0.3, 0.1, 0.03, 0.01)
 #: Characters that neither composition nor Unicode's later versions change, and whose lower case doesn't depend on their neighbours: under U+0300, general punctuation, currency signs.
 _STABLE = r"\x00-\u02FF\u2010-\u2027\u2030-\u205E\u20A0-\u20BF"
 _UNSTABLE, _SPACE = re.compile(f"[^{_STABLE}]"), re.compile(r"[\t\n\x0B\f\r ]+")
+#: Bytes of texts that are encoded together.
+AT_ONCE = 4 << 20
 _PIECE = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -75,21 +77,24 @@ class Encoder:
             pattern = first["pattern"]["Regex"]
             # Pieces are normalised and cut already: the same merges, with nothing before them but white space.
             self.merges = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *rest]}}))
+            vocabulary, mark = self.tokenizer.get_vocab(), parts["model"].get("end_of_word_suffix") or "\0"
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for token, i in vocabulary.items() if token.endswith(mark)]] = True
             self.cut = re.compile(pattern.replace(r"\p{L}", _below("L")).replace(r"\p{N}", _below("N")))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn_pieces(self, wanted: set[str]) -> None:
-        """Encode pieces side by side: each is one match of the pattern, so the library tells whose each id is."""
+        """Encode pieces side by side: each is one match of the pattern, and its last id alone has the mark of a word's end."""
         new = self.pieces.lack(wanted)
         if not new:
             return
-        made = self.merges.encode(" ".join(new), add_special_tokens=False)
-        owner = np.array(made.word_ids)
-        if len(owner) and owner[-1] == len(new) - 1:
-            ends, data = 4 * np.searchsorted(owner, np.arange(len(new) + 1)), np.array(made.ids, "<u4").tobytes()
-            self.pieces.now.update((p, data[a:b]) for p, a, b in zip(new, ends[:-1].tolist(), ends[1:].tolist()))
+        ids = np.array(self.merges.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+        if len(ends) == len(new) and (not len(ids) or ends[-1] == 4 * len(ids)):
+            data, at = ids.tobytes(), ends.tolist()
+            self.pieces.now.update((p, data[a:b]) for p, a, b in zip(new, [0, *at], at))
         else:  # the library cuts otherwise than expected
             self.pieces.now.update((p, self.whole(p)) for p in new)
 
@@ -312,7 +317,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             row, made, start, length, crc, nth, data = [], [], [], [], [], [], []
             texts = arrow_texts(batch.column(1))
-            for a, b in slices(texts):
+            for a, b in slices(texts, AT_ONCE):
                 for i, own_ids in enumerate(encoder.ids(texts.slice(a, b - a).cast(pa.large_string()).to_pylist()), a):
                     all_ids = own_ids + last
                     for at in range(0, len(all_ids), 4 * size):
