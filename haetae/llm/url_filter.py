@@ -42,24 +42,48 @@ PATHS = ("/en/{}", "/de/{}.html", "/fr/{}/", "/article/{}", "/", "/2021/04/{}",
 WANTED_PATHS, UNWANTED_PATHS = ("/wiki/topic-{}", "/docs/latest/{}", "/lesson/{}", "/papers/{}"), ("/signup/bonus", "/track/click.php", "/free/download", "/buy-now/cheap")
 
 
+#: What names of either kind are put together with. Fixed values.
+BESIDE = ("{}", "{}-{}", "{1}-{0}", "the-{}", "{}-online", "hot-{}", "my{}", "{}24", "{}{1}", "{1}{0}")
+
+
+def _rows(words: list[str], beside: list[str], own: tuple[str, ...], i: int, shapes: tuple[str, ...], step: int) -> list[str]:
+    """Host and path of pages named by word ``i``, one for each shape of name; ``step`` sets what stands beside it."""
+    first, paths = words[i % len(words)], (*PATHS, own[i % len(own)])
+    out = []
+    for k, shape in enumerate(shapes):
+        other = words[(7 * i + 3) % len(words)] if k % 2 else beside[(step * i + k) % len(beside)]
+        name = shape.replace("{}", "{0}", 1).replace("{}", "{1}").format(first, other)
+        zone = HOSTING[(i + k) % len(HOSTING)] if k % 2 else ZONES[(i // 3 + k) % len(ZONES)]
+        out.append(f"{SUBDOMAINS[(i + k) % len(SUBDOMAINS)]}{name}.{zone}{paths[(i + 2 * k) % len(paths)].format(97 * i + k)}")
+    return out
+
+
+def _plain() -> list[str]:
+    """Names of syllables, which tell nothing."""
+    n = len(SYLLABLES)
+    return ["".join(SYLLABLES[(i * (5 + 2 * j) + j * j) % n] for j in range(2 + i % 3)) for i in range(9 * n)]
+
+
 def table() -> tuple[list[str], list[str]]:
     """Host and path of some hundred wanted and unwanted pages, made from the words by one rule for both.
 
-    Zones, subdomains and most paths are the same for both, so that none of them tells; plain names are wanted ones.
+    Zones, subdomains, most paths and what stands beside a word are the same for both, so that none of them tells; plain names are wanted ones.
     """
+    plain = _plain()
+    wanted = [r for i in range(len(WANTED_WORDS)) for r in _rows(WANTED_WORDS, plain, WANTED_PATHS, i, BESIDE, 5)]
+    wanted += [f"{SUBDOMAINS[i % len(SUBDOMAINS)]}{p}{'-' + plain[i - 7] if i % 4 == 3 else ''}.{HOSTING[i % len(HOSTING)] if i % 3 == 2 else ZONES[i % len(ZONES)]}{PATHS[i % len(PATHS)].format(31 * i)}" for i, p in enumerate(plain)]
+    return wanted, [r for i in range(len(UNWANTED_WORDS)) for r in _rows(UNWANTED_WORDS, plain, UNWANTED_PATHS, i, BESIDE, 5)]
 
-    def rows(words: list[str], own: tuple[str, ...], i: int) -> list[str]:
-        first, other = words[i % len(words)], words[(7 * i + 3) % len(words)]
-        names = (first, f"{first}-{other}", f"{other}{first}", f"the-{first}", f"{first}-online", f"hot-{first}", f"{other}-{first}")
-        paths = (*PATHS, own[i % len(own)])
-        zone = lambda k: HOSTING[(i + k) % len(HOSTING)] if k % 3 == 2 or k > 4 else ZONES[(i // 3 + k) % len(ZONES)]
-        return [f"{SUBDOMAINS[(i + k) % len(SUBDOMAINS)]}{name}.{zone(k)}{paths[(i + 2 * k) % len(paths)].format(97 * i + k)}" for k, name in enumerate(names)]
 
-    n = len(SYLLABLES)
-    plain = ["".join(SYLLABLES[(i * (5 + 2 * j) + j * j) % n] for j in range(2 + i % 3)) for i in range(3 * n * 3)]
-    wanted = [r for i in range(len(WANTED_WORDS)) for r in rows(WANTED_WORDS, WANTED_PATHS, i)]
-    wanted += [f"{SUBDOMAINS[i % len(SUBDOMAINS)]}{p}{'-' + plain[i - 7] if i % 4 == 3 else ''}.{HOSTING[i % len(HOSTING)] if i % 3 == 2 else ZONES[i % len(ZONES)]}{PATHS[i % len(PATHS)].format(31 * i)}" for i, p in enumerate(plain)]
-    return wanted, [r for i in range(len(UNWANTED_WORDS)) for r in rows(UNWANTED_WORDS, UNWANTED_PATHS, i)]
+#: Names of another shape, which the model never learns from. Fixed values.
+OTHER = ("best-{}-site", "{1}.{0}", "{}s", "super{}", "{}-{1}-club", "go{}now", "{}-x", "e{}")
+
+
+def other_table() -> tuple[list[str], list[str]]:
+    """Pages of the same words under names of another shape, to measure the model on."""
+    plain = _plain()
+    each = lambda words: [r for i in range(len(words)) for r in _rows(words, plain, PATHS[:2], i, OTHER, 11)]
+    return each(WANTED_WORDS), each(UNWANTED_WORDS)
 
 
 def held_out(url: str) -> bool:
@@ -68,17 +92,25 @@ def held_out(url: str) -> bool:
 
 
 BITS, ORDERS, SEED = 15, (3, 4, 5), 8
+#: How much the n-grams of a path weigh beside those of the host.
+PATH_SHARE = 0.5
+#: Share of the wanted pages in the loss, as blocking one costs more than letting one pass, and the step of the descent.
+WANTED, STEP = 0.6, 20
 
 
 def _grams(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of every n-gram, repeats included."""
+    """(row, bucket) of every n-gram, repeats included; those that begin at the first slash or behind it have buckets of their own."""
     hasher, rows, buckets = Hasher(data), [], []
+    at = np.flatnonzero(data == ord("/"))
+    where = np.searchsorted(at, starts[:-1])
+    slash = np.where(where < len(at), np.r_[at, len(data)][np.minimum(where, len(at))], len(data))  # of a later row, if this one has none
     for n in ORDERS:
         first = np.arange(max(0, len(data) - n + 1))
         row = np.searchsorted(starts, first, "right") - 1
         first = first[inside := first + n <= starts[row + 1]]
         rows.append(row[inside])
-        buckets.append((hasher(first, first + n, SEED + n) >> np.uint64(64 - BITS)).astype(np.int64))
+        in_path = first >= slash[row[inside]]
+        buckets.append((hasher(first, first + n, SEED + n) >> np.uint64(64 - BITS)).astype(np.int64) + (in_path << BITS))
     return np.concatenate(rows), np.concatenate(buckets)
 
 
@@ -87,7 +119,7 @@ def _texts(urls: Sequence[str]) -> pa.Array:
 
 
 @functools.lru_cache
-def fit(wanted: tuple[str, ...] | None = None, unwanted: tuple[str, ...] | None = None, rounds: int = 1500, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit(wanted: tuple[str, ...] | None = None, unwanted: tuple[str, ...] | None = None, rounds: int = 8000, l2: float = 3e-6) -> tuple[np.ndarray, float]:
     """Weights and bias of an L2 logistic regression by full-batch gradient descent; a positive margin means block.
 
     Without labelled urls it learns from ``table``.
@@ -98,30 +130,34 @@ def fit(wanted: tuple[str, ...] | None = None, unwanted: tuple[str, ...] | None
     rows, buckets = _grams(data, starts)
     y = np.r_[np.zeros(len(wanted)), np.ones(len(unwanted))]
     used, index = np.unique(buckets, return_inverse=True)
-    x = np.zeros((len(y), len(used)))
+    x = np.zeros((len(y), len(used)), np.float32)
     x[rows, index] = 1
-    x /= np.maximum(np.sqrt(x.sum(1, keepdims=True)), 1)
-    share = np.where(y == 1, 0.5 / len(unwanted), 0.5 / len(wanted))  # either class counts half
-    alike, alpha, b = x @ x.T, np.zeros(len(y)), 0.0
+    for part, weight in ((used < 1 << BITS, 1.0), (used >= 1 << BITS, PATH_SHARE)):
+        x[:, part] *= weight / np.maximum(np.sqrt(x[:, part].sum(1, keepdims=True)), 1)
+    share = np.where(y == 1, (1 - WANTED) / len(unwanted), WANTED / len(wanted))
+    alike, alpha, b = x @ x.T, np.zeros(len(y), np.float32), 0.0
     for _ in range(rounds):  # w = x.T @ alpha throughout: a step costs rows times rows, not rows times n-grams
-        error = (1 / (1 + np.exp(-(alike @ alpha + b))) - y) * share
-        alpha = (1 - 4 * l2) * alpha - 4 * error
-        b -= 4 * error.sum()
+        error = ((1 / (1 + np.exp(-(alike @ alpha + b))) - y) * share).astype(np.float32)
+        alpha = (1 - STEP * l2) * alpha - STEP * error
+        b -= STEP * error.sum()
     w = x.T @ alpha
-    full = np.zeros(1 << BITS)
+    full = np.zeros(2 << BITS)
     full[used] = w
     return full, b
 
 
 def margins(urls: pa.Array, model: tuple[np.ndarray, float]) -> np.ndarray:
-    """Margin of each ``^host + path$``; distinct n-grams count once."""
+    """Margin of each ``^host + path$``; distinct n-grams count once, those of the host and of the path each by the root of their number."""
     weights, bias = model
     data, starts = flat(urls)
     rows, buckets = _grams(data, starts)
-    pair = np.unique((rows.astype(np.int64) << BITS) | buckets)
-    rows, buckets = pair >> BITS, pair & ((1 << BITS) - 1)
-    total, count = np.bincount(rows, weights[buckets], len(urls)), np.bincount(rows, minlength=len(urls))
-    return total / np.maximum(np.sqrt(count), 1) + bias
+    pair = np.unique((rows.astype(np.int64) << (BITS + 1)) | buckets)
+    rows, buckets = pair >> (BITS + 1), pair & ((2 << BITS) - 1)
+    total = np.full(len(urls), float(bias))
+    for part, weight in ((buckets < 1 << BITS, 1.0), (buckets >= 1 << BITS, PATH_SHARE)):
+        count = np.bincount(rows[part], minlength=len(urls))
+        total += weight * np.bincount(rows[part], weights[buckets[part]], len(urls)) / np.maximum(np.sqrt(count), 1)
+    return total
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:

@@ -195,8 +195,19 @@ def test_url_margins_by_hand():
     got = url_filter.margins(pa.array([u.encode() for u in urls], pa.large_binary()), (weights, bias))
     for url, margin in zip(urls, got):
         data = url.encode()
-        found = {bucket(data[i : i + n]) for n in url_filter.ORDERS for i in range(len(data) - n + 1)}
-        assert math.isclose(margin, sum(weights[b] for b in found) / max(len(found) ** 0.5, 1) + bias, rel_tol=1e-9, abs_tol=1e-9), url[:20]
+        slash = data.find(b"/") if b"/" in data else len(data)
+        found = {(i >= slash, bucket(data[i : i + n])) for n in url_filter.ORDERS for i in range(len(data) - n + 1)}
+        parts = [[b for path, b in found if path == of] for of in (False, True)]
+        want = sum(weights[b] for b in parts[0]) / max(len(parts[0]) ** 0.5, 1) + url_filter.PATH_SHARE * sum(weights[b + (1 << url_filter.BITS)] for b in parts[1]) / max(len(parts[1]) ** 0.5, 1)
+        assert math.isclose(margin, want + bias, rel_tol=1e-9, abs_tol=1e-9), url[:20]
+
+
+def test_url_model_on_names_of_another_shape():
+    """The whole model on pages whose names have shapes that it never learnt from."""
+    wanted, unwanted = url_filter.other_table()
+    blocked = [int((url_filter.margins(url_filter._texts(rows), url_filter.fit()) > 0).sum()) for rows in (wanted, unwanted)]
+    assert len(unwanted) > 400 and not set(unwanted) & set(url_filter.table()[1])
+    assert blocked[1] / sum(blocked) >= 0.97 and blocked[1] / len(unwanted) >= 0.93 and blocked[0] / len(wanted) <= 0.01
 
 
 def test_url_edges(spark):

@@ -302,6 +302,8 @@ def test_whole_licenses(spark):
     folder = Path("/usr/share/common-licenses")
     files = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "Artistic": "Artistic-1.0"}
     want = [((folder / file).read_text("utf-8"), name) for file, name in files.items() if (folder / file).exists()]
+    if not want:
+        pytest.skip("this machine has no /usr/share/common-licenses to hold whole texts against")
     want += [(text.split("END OF TERMS AND CONDITIONS")[0] + "END OF TERMS AND CONDITIONS\n", name) for text, name in want if "END OF TERMS AND CONDITIONS" in text]
     want.append(("""# x.c: does y
 # Copyright (C) 2020 A. B.
