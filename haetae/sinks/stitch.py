@@ -30,12 +30,14 @@ def file_system(path: str) -> tuple[Any, str]:
     """Arrow's file system and the path in it: of an address, or of this machine."""
     from pyarrow import fs
 
+    if path.startswith("file:/") and not path.startswith("file://"):  # as Hadoop writes it
+        path = path.removeprefix("file:")
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def reachable(spark: SparkSession, path: str) -> str:
     """``path``, if executors reach it: a bare path is each machine's own disk, so it is refused unless all runs on one."""
-    if "://" not in path and not spark.sparkContext.master.startswith("local"):
+    if ":/" not in path and not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"{path!r} is a folder of each executor's own: give an address such as file:///shared/{path.strip('/')} or s3://...")
     return path
 

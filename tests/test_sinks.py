@@ -83,7 +83,8 @@ def test_bare_paths_are_for_one_machine(spark):
 
     with pytest.raises(ValueError, match="each executor"):
         stitch.reachable(Cluster, "/tmp/out")
-    assert stitch.reachable(Cluster, "file:///shared/out") and stitch.reachable(spark, "/tmp/out")
+    assert stitch.file_system("file:/shared/out")[1] == stitch.file_system("file:///shared/out")[1] == "/shared/out"
+    assert stitch.reachable(Cluster, "file:///shared/out") and stitch.reachable(Cluster, "file:/shared/out") and stitch.reachable(spark, "/tmp/out")
 
 
 @pytest.mark.parametrize("limits", [None, (5000, 10)])
