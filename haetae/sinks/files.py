@@ -34,12 +34,8 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return rows.select(F.when(at == 1, F.col("output_name")).otherwise(name).alias("output_name"), "masked")
 
 
-def _base(name: str | None) -> str:
-    return (name or "").replace("\\", "/").rpartition("/")[2] or "_"
-
-
 def write_files(results: DataFrame, path: str, numbered: bool = False) -> int:
-    """Each masked file under its output_name in the folder ``path``, from the executors; the number of files.
+    """Each masked file under the last part of its output_name in the folder ``path``, from the executors; the number of files.
 
     ``path`` is a folder that all executors reach, by any address that Arrow's file systems know (file://, hdfs://, s3://,
     gs://); a bare path only where all runs on one machine. Files are staged and moved into place when all are there, so a job
@@ -47,7 +43,8 @@ def write_files(results: DataFrame, path: str, numbered: bool = False) -> int:
     further ones a number at the price of a shuffle by name. Files that are there already are replaced.
     """
     spark = results.sparkSession
-    rows = results.filter("masked is not null").select("output_name", "masked")
+    base = F.element_at(F.split(F.replace(F.coalesce("output_name", F.lit("")), F.lit("\\"), F.lit("/")), "/"), -1)
+    rows = results.filter("masked is not null").select(F.when(base == "", "_").otherwise(base).alias("output_name"), "masked")
     rows = _numbered(rows) if numbered else rows
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +53,7 @@ def write_files(results: DataFrame, path: str, numbered: bool = False) -> int:
         for batch in batches:
             names, places = [], []
             for name, data in zip(batch["output_name"], batch["masked"]):
-                names.append(_base(name.as_py()))
+                names.append(name.as_py())
                 places.append(posixpath.join(mine, str(n)))
                 n += 1
                 with system.open_output_stream(places[-1]) as out:

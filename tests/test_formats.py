@@ -234,7 +234,7 @@ def test_files_under_their_names(spark, tmp_path):
     df = spark.createDataFrame(rows, "output_name string, masked binary").withColumn("filename", F.lit("x"))
     assert sinks.write_files(df.limit(1), f"file://{tmp_path}/one") == 1 and (tmp_path / "one" / "a.txt").read_bytes() == b"1"
     assert sinks.write_files(df, str(tmp_path / "all"), numbered=True) == 5
-    assert sorted(f.name for f in (tmp_path / "all").iterdir()) == ["a.txt", "b (2).docx", "b (3).docx", "b.docx"]
+    assert sorted(f.name for f in (tmp_path / "all").iterdir()) == ["a (2).txt", "a.txt", "b (2).docx", "b (3).docx", "b.docx"]
     assert sinks.write_files(df.limit(0), str(tmp_path / "none")) == 0
 
 
