@@ -66,7 +66,7 @@ def process(files: DataFrame, config: Config = Config(), keys: tuple[str, ...] =
     df = pinned(df, "each", _per_paragraph("x_paragraphs", rules)).withColumn("findings", F.flatten("each"))
     report = [*keys, "filename", "format", "warnings", "error", "paragraph_count", "findings", "summaries", "diffs", "confirmed", "suspicious", "already_masked", "residual_confirmed", "residual_suspicious", "masked", "output_name", "fallback_note"]
     df = df.withColumns({
-        "format": F.col("x_format"), "error": F.col("x_error"), "paragraph_count": F.size("x_paragraphs"), "summaries": summaries_of(F.col("findings")),
+        "format": F.col("x_format"), "error": F.col("x_error"), "paragraph_count": F.size("x_paragraphs"), "summaries": once(lambda: summaries_of(F.col("findings")), "summaries"),
         "confirmed": _count(F.col("findings"), CONFIRMED), "suspicious": _count(F.col("findings"), SUSPICIOUS), "already_masked": _count(F.col("findings"), MASKED),
     })
     if not config.mask:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from haetae.functions.escapes import json_spans
 from haetae.operators.arrow import struct_of
+from haetae.operators.once import once
 from haetae.operators.pieces import let, pinned, pinned_fields, replaced
 from haetae.sources import containers, hwp, pdf, text
 
@@ -186,13 +187,14 @@ def with_extracted(df: DataFrame, out: str, name_col: str, content_col: str, fai
 
     name, content, kind = F.coalesce(name_col, F.lit("")), F.coalesce(content_col, F.lit(b"")), F.col("__kind__")
     if text_only:
-        df = pinned(df, "__kind__", F.when(_kind_by_name(name).isin(*TEXTS), _kind_by_name(name)).otherwise("txt"))
-        return pinned_fields(df, _prefixed(_extracted_text(kind, content).cast(f"struct<{EXTRACTED}>"), EXTRACTED, out)).drop("__kind__")
-    df = pinned(df, "__kind__", text_kind(name, content))
+        by_name = once(lambda: F.when(_kind_by_name(name).isin(*TEXTS), _kind_by_name(name)).otherwise("txt"), "kind_by_name", name_col)
+        fields = once(lambda: _prefixed(_extracted_text(kind, content).cast(f"struct<{EXTRACTED}>"), EXTRACTED, out), "extracted_text", content_col, out)
+        return pinned_fields(pinned(df, "__kind__", by_name), fields).drop("__kind__")
+    df = pinned(df, "__kind__", once(lambda: text_kind(name, content), "text_kind", name_col, content_col, text_kind))
     other = struct_of(EXTRACTED, run, F.when(kind.isNull(), name), F.when(kind.isNull(), content))
     df = df.withColumn("__other__", other)
-    made = F.when(kind.isNotNull(), _extracted_text(kind, content).cast(f"struct<{EXTRACTED}>")).otherwise(F.col("__other__"))
-    return pinned_fields(df, _prefixed(made, EXTRACTED, out)).drop("__kind__", "__other__")
+    made = lambda: F.when(kind.isNotNull(), _extracted_text(kind, content).cast(f"struct<{EXTRACTED}>")).otherwise(F.col("__other__"))
+    return pinned_fields(df, once(lambda: _prefixed(made(), EXTRACTED, out), "extracted", content_col, out)).drop("__kind__", "__other__")
 
 
 def _prefixed(made: Column, fields: str, prefix: str) -> Column:
@@ -211,15 +213,19 @@ def with_rewritten(df: DataFrame, out: str, inputs: list[str], text_only: bool =
 
     name, content, kind, encoding, _, changes, offsets = (F.col(c) for c in inputs)
     plain = F.coalesce(kind.isin(*TEXTS) & encoding.isin(text.UTF8, text.UTF8_BOM), F.lit(False))
-    spans = F.transform(changes, lambda c: let(F.get(offsets, c["paragraph_index"]), lambda at: F.struct((at + c["char_start"]).alias("begin"), (at + c["char_end"]).alias("stop"), c["replacement"].alias("new"))))
-    spans = F.when(kind == "json", json_spans(_unmarked(content), spans)).otherwise(spans)
-    bytes_of = replaced(_unmarked(content), spans).cast("binary")
-    marked = F.when(_marked(content), F.concat(F.lit(text.MARKS[0][1]), bytes_of)).otherwise(bytes_of)
-    made = F.struct(marked.alias("content"), name.alias("name"), F.lit(None).cast("string").alias("note"))
+
+    def made() -> Column:
+        spans = F.transform(changes, lambda c: let(F.get(offsets, c["paragraph_index"]), lambda at: F.struct((at + c["char_start"]).alias("begin"), (at + c["char_end"]).alias("stop"), c["replacement"].alias("new"))))
+        spans = F.when(kind == "json", json_spans(_unmarked(content), spans)).otherwise(spans)
+        bytes_of = replaced(_unmarked(content), spans).cast("binary")
+        marked = F.when(_marked(content), F.concat(F.lit(text.MARKS[0][1]), bytes_of)).otherwise(bytes_of)
+        return F.struct(marked.alias("content"), name.alias("name"), F.lit(None).cast("string").alias("note"))
+
     if text_only:
-        return pinned_fields(df, _prefixed(made, REWRITTEN, out))
+        return pinned_fields(df, once(lambda: _prefixed(made(), REWRITTEN, out), "rewritten_text", *inputs, out))
     df = df.withColumn("__other__", struct_of(REWRITTEN, run, *[F.when(~plain, F.col(c)) for c in inputs]))
-    return pinned_fields(df, _prefixed(F.when(plain, made).otherwise(F.col("__other__")), REWRITTEN, out)).drop("__other__")
+    fields = once(lambda: _prefixed(F.when(plain, made()).otherwise(F.col("__other__")), REWRITTEN, out), "rewritten", *inputs, out)
+    return pinned_fields(df, fields).drop("__other__")
 
 
 def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
