@@ -42,6 +42,15 @@ def write_files(results: DataFrame, path: str, numbered: bool = False) -> int:
     that fails leaves nothing, and a task that runs again leaves nothing twice. Equal names are an error, unless ``numbered``, which gives
     further ones a number at the price of a shuffle by name. Files that are there already are replaced.
     """
+    return _write(results, path, numbered)[0]
+
+
+def write_named(results: DataFrame, path: str, numbered: bool = False) -> DataFrame:
+    """As ``write_files``; the names of the files as column ``name``, kept in the shared folder, so that nobody need list ``path``."""
+    return _write(results, path, numbered)[1]
+
+
+def _write(results: DataFrame, path: str, numbered: bool) -> tuple[int, DataFrame]:
     spark = results.sparkSession
     base = F.element_at(F.split(F.replace(F.coalesce("output_name", F.lit("")), F.lit("\\"), F.lit("/")), "/"), -1)
     rows = results.filter("masked is not null").select(F.when(base == "", "_").otherwise(base).alias("output_name"), "masked")
@@ -77,7 +86,8 @@ def write_files(results: DataFrame, path: str, numbered: bool = False) -> int:
         twice = manifest.groupBy("name").count().filter("count > 1").orderBy("name").limit(5).collect()
         if twice:
             raise SameName(f"several files are named {', '.join(r['name'] for r in twice)}: write them numbered, or into folders of their own")
-        return manifest.mapInArrow(move, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        n = manifest.mapInArrow(move, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return n, manifest.select("name")
 
 
 def zip_masked(results: DataFrame) -> bytes:

@@ -9,8 +9,10 @@ import pytest
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
+from haetae.plans import queries
 from haetae.plans.process import Config, process, text_files
 from haetae.sinks import files, reports, stitch
+from haetae.sources.files import read_named
 
 
 def masked(spark, rows):
@@ -148,3 +150,13 @@ def test_a_store_without_places(spark, tmp_path, monkeypatch):
     rows = spark.range(1000).select(F.format_string("%04d", "id").alias("line")).orderBy("line")
     stitch.write_text(rows, "line", str(tmp_path / "out"), "head\n", "\n", "\ntail")
     assert (tmp_path / "out").read_text() == "head\n" + "\n".join(f"{i:04d}" for i in range(1000)) + "\ntail"
+
+
+def test_written_files_are_read_by_name(spark, tmp_path):
+    """Nobody lists the folder, and files don't make tasks: as many as there were to write."""
+    folder = str(tmp_path / "out")
+    names = files.write_named(masked(spark, ROWS), folder)
+    back = read_named(names, folder)
+    assert back.rdd.getNumPartitions() <= 4
+    assert {r["filename"]: (r["path"], bytes(r["content"]), r["length"]) for r in back.collect()} == {n: (f"{folder}/{n}", b, len(b)) for n, b in ROWS if b is not None}
+    assert queries.written_files(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
