@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -11,20 +11,46 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+#: Rows and bytes of what one array that goes back to the JVM holds, at most (or one row).
+ROWS, BYTES = 256, 4 << 20
+
+
+def _size(value: Any) -> int:
+    """Bytes of a value, nearly."""
+    if isinstance(value, (bytes, str)):
+        return len(value)
+    if isinstance(value, dict):
+        return sum(map(_size, value.values()))
+    return sum(map(_size, value)) if isinstance(value, list) else 8
+
 
 def struct_of(schema: str, make: Callable[..., dict[str, Any]], *inputs: Column) -> Column:
     """A struct column: ``make`` of each row's ``inputs``, null where all of these are null.
 
     Only the inputs travel to Python and only the struct comes back; the frame's other columns stay where they are.
-    Batches are bounded in bytes by the session's ``spark.sql.execution.arrow.maxBytesPerBatch``, so files of some
-    MB fit. Nothing is shuffled.
+    Batches that come in are bounded in bytes by the session's ``spark.sql.execution.arrow.maxBytesPerBatch``, so files of some
+    MB fit. A batch is gone through row by row, and what is made goes back in arrays of ``ROWS`` rows or ``BYTES`` bytes: a worker holds
+    no batch's objects at once, however large what is made of a short row. Nothing is shuffled.
     """
     kind = T.StructType(list(T._parse_datatype_string(schema)))
     arrow = to_arrow_type(kind)
 
+    def pieces(columns: tuple[pa.Array, ...]) -> Iterator[pa.Array]:
+        rows, size = [], 0
+        for i in range(len(columns[0])):
+            values = [c[i].as_py() for c in columns]
+            rows.append(None if all(v is None for v in values) else make(*values))
+            size += _size(rows[-1])
+            if len(rows) >= ROWS or size >= BYTES:
+                yield pa.array(rows, arrow)
+                rows, size = [], 0
+        if rows:
+            yield pa.array(rows, arrow)
+
     @F.arrow_udf(kind)
-    def run(*columns: pa.Array) -> pa.Array:
-        return pa.array([None if all(not c[i].is_valid for c in columns) else make(*(c[i].as_py() for c in columns)) for i in range(len(columns[0]))], arrow)
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            yield from pieces(columns if isinstance(columns, tuple) else (columns,))
 
     return run(*inputs)
 
