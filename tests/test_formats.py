@@ -310,7 +310,7 @@ def test_pdf_without_silent_cuts(monkeypatch):
 
 def test_a_worker_holds_few_results_at_once(spark):
     """What is made of short rows may be large: it goes back in pieces, not as one array for a batch of thousands of rows."""
-    from haetae.operators.arrow import ROWS, struct_of
+    from haetae.operators.arrow import struct_of
 
     class Held(bytes):
         alive = 0
@@ -326,4 +326,4 @@ def test_a_worker_holds_few_results_at_once(spark):
     made = spark.range(0, 3_000, 1, 1).select("id", struct_of("content binary, alive int", make, F.when(F.col("id") != 7, F.col("id"))).alias("x"))
     rows = made.select("id", "x.alive", F.length("x.content").alias("n")).collect()
     assert [r["id"] for r in rows] == list(range(3_000)) and [r["n"] for r in rows] == [None if i == 7 else 2_000 for i in range(3_000)]
-    assert max(r["alive"] for r in rows if r["n"]) <= 2 * ROWS
+    assert max(r["alive"] for r in rows if r["n"]) <= 512
