@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from haetae.operators.pieces import let
+
 CONFIRMED, SUSPICIOUS, MASKED, SKIP = "confirmed", "suspicious", "already_masked", "skip"
 
 
@@ -91,11 +93,16 @@ def _separated(raw: Column) -> Column:
 
 #: Checks that rules may name; any other name only asks for stars.
 VALIDATORS = ("rrn", "frn", "corp", "luhn", "phone", "email", "passport", "biz", "health", "bank", "ip")
+#: Those that read the digits and stars.
+_BY_TOKENS = ("rrn", "frn", "corp", "luhn", "phone", "biz", "health", "bank")
 
 
 def verdict(raw: Column, validator: str) -> Column:
     """confirmed, suspicious, already_masked or skip. An unknown validator confirms what holds no star."""
-    tokens = digit_stars(raw)
+    return let(digit_stars(raw), lambda tokens: _verdict(raw, tokens, validator)) if validator in _BY_TOKENS else _verdict(raw, digit_stars(raw), validator)
+
+
+def _verdict(raw: Column, tokens: Column, validator: str) -> Column:
     n, star = F.length(tokens), has_star(raw)
     if validator in ("rrn", "frn"):
         low, high = (1, 4) if validator == "rrn" else (5, 8)

@@ -14,8 +14,11 @@ _END = 1 << 30
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` worked out once: inside lambdas nothing else shares an expression."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """``body(value)`` with ``value`` worked out once: inside lambdas nothing else shares an expression.
+
+    A fold over nothing, whose last step is ``body``: a ``transform`` would copy what ``body`` makes, at every level once more.
+    """
+    return F.aggregate(F.array(), value, lambda bound, unused: bound, body)
 
 
 def pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -72,7 +75,8 @@ def blocks(text: Column) -> Column:
 def part(held: Column, start: Column, n: Column) -> Column:
     """``n`` characters from ``start`` (from 0) of a text's ``blocks``; fewer at its end."""
     first = F.shiftright(start, SHIFT)
-    return F.substr(F.array_join(F.slice(held, first + 1, F.shiftright(start + n, SHIFT) - first + 1), ""), start.bitwiseAND(WIDTH - 1) + 1, n)
+    some = F.substr(F.array_join(F.slice(held, first + 1, F.shiftright(start + n, SHIFT) - first + 1), ""), start.bitwiseAND(WIDTH - 1) + 1, n)
+    return F.when(F.size(held) == 1, F.substr(F.get(held, F.lit(0)), start + 1, n)).otherwise(some)
 
 
 def replaced(text: Column, spans: Column) -> Column:

@@ -698,6 +698,18 @@ def _better(a: frozenset[str] | None, b: frozenset[str] | None) -> frozenset[str
 # What rules need.
 
 
+def free(node: Node) -> bool:
+    """Whether it looks at nothing but the characters that it matches: what it matches in one place, it matches wherever these stand."""
+    match node:
+        case Leaf():
+            return True
+        case Cat(parts) | Alt(parts):
+            return all(map(free, parts))
+        case Rep(body):
+            return free(body)
+    return False
+
+
 @dataclass(frozen=True)
 class Pattern:
     """A parsed pattern."""

@@ -142,6 +142,8 @@ GUARD = r"(?U)[\d*@:]"
 #: Further tests, each passed by every match of a pattern: six digits or stars with at most one separator between
 #: neighbours for numbers, and what an address can't be without. A property of the pattern, whatever rule has it.
 DENSE = r"(?U)[\d*](?:[\s\-–]?[\d*]){5}"
+#: Three parts of an account number: all of its patterns have them.
+PARTED = r"(?U)[0-9*]{3}[\s\-][0-9*]{2,6}[\s\-][0-9*]{2}"
 _MARKS = {"email": (r"@",), "ip_address": (r"(?U)\d\.\d", r":")}
 
 
@@ -243,9 +245,9 @@ def builtin() -> RuleSet:
 
 
 @functools.lru_cache
-def pattern_guards() -> dict[str, str]:
-    """For each built-in pattern a cheap test that every match passes."""
-    return {p: _MARKS[r.id][i] if r.id in _MARKS else DENSE for r in builtin() for i, p in enumerate(r.patterns)}
+def pattern_guards() -> dict[str, tuple[str, ...]]:
+    """For each built-in pattern cheap tests that every match passes, the one that more patterns share first."""
+    return {p: (_MARKS[r.id][i],) if r.id in _MARKS else (DENSE, PARTED) if r.id == "bank_account" else (DENSE,) for r in builtin() for i, p in enumerate(r.patterns)}
 
 
 def overlay(base: RuleSet, toml_text: str) -> RuleSet:

@@ -247,3 +247,21 @@ def test_offsets_beyond_the_first_block(spark):
             assert r.byte_start == len(text[: r.char_start].encode()) and r.byte_end == len(text[: r.char_end].encode())
             assert r.context_before == text[max(0, r.char_start - 20) : r.char_start] and r.context_after == text[r.char_end : r.char_end + 20]
         assert mask_text(spark.createDataFrame([(text,)], "text string")).first().masked == plain.mask_line(text)
+
+
+def test_the_digits_of_a_match_are_taken_once_for_its_check(spark):
+    """Inside lambdas no expression is shared: a check that asked for them digit by digit replaced a dozen times."""
+    from haetae.functions.checks import VALIDATORS, verdict
+    from haetae.functions.register import sql_text
+
+    assert [sql_text(verdict(F.col("raw"), v)).count("regexp_replace") for v in VALIDATORS if v != "phone"] == [v not in ("email", "passport", "ip") for v in VALIDATORS if v != "phone"]
+
+
+def test_a_single_match_begins_where_its_text_first_stands(spark):
+    from haetae import patterns, rules
+    from haetae.operators.detect import candidates
+
+    own = rules.load('[[rules]]\nid="a"\nlabel="a"\npattern=\'\\b\\d{2}\\b\'\n[[rules]]\nid="b"\nlabel="b"\npattern=\'[a-z]++\\d\'\n')
+    assert [patterns.free(patterns.parse(r.patterns[0]).tree) for r in own] == [False, True]
+    rows = spark.createDataFrame([("😀x12 12",), ("😀12 ab1",), ("ab1ab1 한ab1",)], "text string").select(candidates(F.col("text"), own).alias("c")).collect()
+    assert [[(c["start"], c["rule"], c["raw"]) for c in r["c"]] for r in rows] == [[(1, 1, "x1"), (5, 0, "12")], [(1, 0, "12"), (4, 1, "ab1")], [(0, 1, "ab1"), (3, 1, "ab1"), (8, 1, "ab1")]]
