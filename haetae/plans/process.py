@@ -54,11 +54,12 @@ def summaries_of(found: Column) -> Column:
     return F.transform(ids, one)
 
 
-def process(files: DataFrame, config: Config = Config(), keys: tuple[str, ...] = (), name_col: str = "filename", content_col: str = "content") -> DataFrame:
+def process(files: DataFrame, config: Config = Config(), keys: tuple[str, ...] = (), name_col: str = "filename", content_col: str = "content", again: bool = False) -> DataFrame:
     """A row for each file: ``keys``, filename, format, warnings, error, paragraph_count, findings, summaries, diffs, counts, residual counts, masked, output_name, fallback_note.
 
     A file stays in one row throughout, so nothing is shuffled and the work splits by file. Without masking the
-    later columns are null or empty.
+    later columns are null or empty. With ``again`` a last column ``again_paragraphs`` has the paragraphs of the written file, which is read
+    once for the residual counts anyway.
     """
     rules, mode = config.rules, parse_mode(config.mode)
     df = files.select(*keys, F.col(name_col).alias("filename"), F.col(content_col).alias("content"))
@@ -71,7 +72,7 @@ def process(files: DataFrame, config: Config = Config(), keys: tuple[str, ...] =
     })
     if not config.mask:
         empty = F.array().cast("array<struct<paragraph_index:int,before:string,after:string>>")
-        return df.withColumns({"warnings": F.col("x_warnings"), "diffs": empty, "residual_confirmed": F.lit(0), "residual_suspicious": F.lit(0), "masked": F.lit(None).cast("binary"), "output_name": F.lit(None).cast("string"), "fallback_note": F.lit(None).cast("string")}).select(*report)
+        return df.withColumns({"warnings": F.col("x_warnings"), "diffs": empty, "residual_confirmed": F.lit(0), "residual_suspicious": F.lit(0), "masked": F.lit(None).cast("binary"), "output_name": F.lit(None).cast("string"), "fallback_note": F.lit(None).cast("string"), "again_paragraphs": F.lit(None).cast("array<string>")}).select(*report, *(["again_paragraphs"] if again else []))
     after = once(lambda: F.zip_with("x_paragraphs", "each", lambda p, found: splice(p, found, mode, rules)), "after", mode, rules)
     todo = F.filter("findings", lambda f: f["confidence"] != MASKED)
     changes = once(lambda: F.transform(todo, lambda f: F.struct(f["paragraph_index"].alias("paragraph_index"), f["char_start"].alias("char_start"), f["char_end"].alias("char_end"), replacement(f, mode, rules).alias("replacement"))), "changes", mode, rules)
@@ -84,7 +85,7 @@ def process(files: DataFrame, config: Config = Config(), keys: tuple[str, ...] =
     df = df.withColumns({"residual_confirmed": _count(F.col("left"), CONFIRMED), "residual_suspicious": _count(F.col("left"), SUSPICIOUS)})
     left = F.when(F.col("residual_confirmed") > 0, F.concat(F.lit("마스킹 후에도 확정 개인정보 "), F.col("residual_confirmed").cast("string"), F.lit("건이 남아 있습니다.")))
     warnings = F.array_compact(F.concat("first_warnings", F.array("fallback_note"), F.array(left)))
-    return df.withColumn("warnings", warnings).select(*report)
+    return df.withColumn("warnings", warnings).select(*report, *(["again_paragraphs"] if again else []))
 
 
 def text_files(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:

@@ -38,8 +38,11 @@ def extension(name: str) -> str:
     return base.rpartition(".")[2].lower() if "." in base else ""
 
 
-def sniff(name: str, data: bytes) -> str:
-    """The format by content first, then by extension; plain text where neither tells, unknown for other archives."""
+def sniff(name: str, data: bytes, listed: set[str] | None = None) -> str:
+    """The format by content first, then by extension; plain text where neither tells, unknown for other archives.
+
+    ``listed`` are an archive's names, if they were read already.
+    """
     ext = extension(name)
     by_name = EXTENSIONS.get(ext)
     if hwp.is_hwp5(data):
@@ -50,7 +53,7 @@ def sniff(name: str, data: bytes) -> str:
         return "pdf"
     if len(data) < 4 or data[:2] != b"PK":
         return by_name or "txt"
-    names = containers.names_in(data)
+    names = containers.names_in(data) if listed is None else listed
     if "Contents/section0.xml" in names or "Contents/content.hpf" in names:
         return "hwpx"
     for kind, marks in (("docx", ("word/document.xml",)), ("xlsx", ("xl/workbook.xml", "xl/sharedStrings.xml")), ("pptx", ("ppt/presentation.xml", "ppt/slides/slide1.xml"))):
@@ -67,7 +70,8 @@ def sniff(name: str, data: bytes) -> str:
 
 def extract(name: str, data: bytes) -> dict[str, Any]:
     """Format, paragraphs, place of each (offset in text files, part, page or section else), warnings and encoding."""
-    kind = sniff(name, data)
+    listed = containers.directory(data) if data[:2] == b"PK" and len(data) >= 4 else None
+    kind = sniff(name, data, {info.filename for info in listed or ()})
     out: dict[str, Any] = {"format": kind, "paragraphs": [], "places": [], "offsets": [], "warnings": [], "encoding": None, "error": None}
     placed: list[tuple[str, str]] = []
     if kind in TEXTS:
@@ -84,7 +88,7 @@ def extract(name: str, data: bytes) -> dict[str, Any]:
     elif kind == "hwp3":
         out["warnings"] = [hwp.WARN_V3]
     elif kind in ZIPS:
-        placed = containers.extract(kind, data)
+        placed = containers.extract(kind, data, listed)
     else:
         out["warnings"] = [f"{WARN_UNKNOWN}: {name}", WARN_ARCHIVE]
     out["places"], out["paragraphs"] = [p for p, _ in placed], [t for _, t in placed]

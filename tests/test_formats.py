@@ -327,3 +327,40 @@ def test_a_worker_holds_few_results_at_once(spark):
     rows = made.select("id", "x.alive", F.length("x.content").alias("n")).collect()
     assert [r["id"] for r in rows] == list(range(3_000)) and [r["n"] for r in rows] == [None if i == 7 else 2_000 for i in range(3_000)]
     assert max(r["alive"] for r in rows if r["n"]) <= 512
+
+
+def test_an_archive_is_opened_once_to_be_read(monkeypatch):
+    opened = []
+    real = zipfile.ZipFile
+
+    class Counted(real):
+        def __init__(self, *args, **more):
+            opened.append(args)
+            super().__init__(*args, **more)
+
+    data = zipped({"ppt/presentation.xml": "<p/>", "ppt/slides/slide1.xml": "<a:p><a:r><a:t>x</a:t></a:r></a:p>"})
+    monkeypatch.setattr(zipfile, "ZipFile", Counted)
+    assert extract("a.pptx", data)["paragraphs"] == ["x"] and len(opened) == 1
+
+
+def test_parts_are_those_that_the_library_reads():
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w") as archive:
+        for i, method in enumerate((zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA)):
+            archive.writestr(zipfile.ZipInfo(f"부분{i}/"), b"")
+            archive.writestr(f"부분{i}/x", b"text" * i * 50, method)
+        archive.writestr("last", b"")
+    data = made.getvalue()
+    for whole in (data, b"before" + data):
+        archive = zipfile.ZipFile(io.BytesIO(whole))
+        assert containers.read_parts(whole) == [(i.filename, archive.read(i)) for i in archive.infolist() if not i.is_dir()]
+    for at in range(0, len(data), 3):  # one byte changed: the same parts or an error like the library's
+        broken = data[:at] + bytes([data[at] ^ 0x15]) + data[at + 1 :]
+        try:
+            archive = zipfile.ZipFile(io.BytesIO(broken))
+            expected = [(i.filename, archive.read(i)) for i in archive.infolist() if not i.is_dir()]
+        except Exception as error:  # noqa: BLE001
+            with pytest.raises(type(error)):
+                containers.read_parts(broken)
+        else:
+            assert containers.read_parts(broken) == expected
