@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from haetae import rules as catalog
 from haetae.functions.checks import CONFIRMED, MASKED, SUSPICIOUS
 from haetae.functions.masks import REPLACE
-from haetae.operators.detect import detect, findings, line_findings, paragraphs
+from haetae.operators.detect import NAMES, detect, findings, line_findings, paragraphs
 from haetae.operators.mask import mask_text, preview_line, splice
 from haetae.operators.once import once
 from haetae.operators.pieces import pinned
 
+#: What masking a line asks of its findings.
+_TO_MASK = ("rule_id", "raw", "confidence", "char_start", "char_end")
+
 
 def _counts(prefix: str = "") -> list:
     count = lambda value: F.count_if(F.col("confidence") == value)
@@ -39,22 +42,24 @@ def totals(files: DataFrame, found: DataFrame, keys: list[str], prefix: str = ""
     return files.select(*keys).distinct().join(counted, keys, "left").select(*keys, *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
 
 
-def residual(df: DataFrame, keys: list[str], text_col: str = "text", mode: str = "full", rules: catalog.RuleSet | None = None) -> DataFrame:
-    """Findings in the masked text. Those of a line that masking left as it was are carried over; only changed lines are looked through again."""
+def residual(df: DataFrame, keys: list[str], text_col: str = "text", mode: str = "full", rules: catalog.RuleSet | None = None, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """Findings in the masked text, with all or only some ``fields``. Those of a line that masking left as it was are carried over; only changed lines are looked through again."""
     rules = rules or catalog.builtin()
     if mode == REPLACE and any("\n" in r.replace_token for r in rules):  # lines don't stay lines
-        return detect(mask_text(df.select(*keys, text_col), text_col, "__masked__", mode, rules), keys, "__masked__", rules)
-    left = residual_lines(df, keys, text_col, mode, rules).select(*keys, F.explode_outer("left").alias("f"))
-    return left.filter("f is not null").select(*keys, "f.*")
+        return detect(mask_text(df.select(*keys, text_col), text_col, "__masked__", mode, rules), keys, "__masked__", rules).select(*keys, *(fields or NAMES))
+    left = residual_lines(df, keys, text_col, mode, rules, fields).select(*keys, F.explode_outer("left").alias("f"))
+    return left.filter("f is not null").select(*keys, *[f"f.{n}" for n in fields or NAMES])
 
 
-def residual_lines(df: DataFrame, keys: list[str], text_col: str, mode: str, rules: catalog.RuleSet) -> DataFrame:
-    """``keys``, paragraph_index, whether masking changed it and the findings left of every line that may have any."""
+def residual_lines(df: DataFrame, keys: list[str], text_col: str, mode: str, rules: catalog.RuleSet, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """``keys``, paragraph_index, whether masking changed it and the findings left, with all or only some ``fields``, of every line that may have any."""
+    fields = None if fields is None else tuple(n for n in NAMES if n in fields)
+    needed = None if fields is None else tuple(n for n in NAMES if n in fields or n in _TO_MASK)
     lines = paragraphs(df, keys, text_col)
     if rules.guard:
         lines = lines.filter(F.rlike(F.col("text"), F.lit(rules.guard)))
-    lines = pinned(lines, "found", line_findings(rules))
+    lines = pinned(lines, "found", line_findings(rules, needed))
     lines = pinned(lines, "after", once(lambda: splice(F.col("text"), F.col("found"), mode, rules), "splice", mode, rules))
-    again = once(lambda: findings(F.col("after"), rules, F.col("paragraph_index")), "again", rules)
+    again = once(lambda: findings(F.col("after"), rules, F.col("paragraph_index"), fields), "again", rules, fields)
     changed = F.col("text") != F.col("after")
-    return lines.select(*keys, "paragraph_index", changed.alias("changed"), F.when(changed, again).otherwise(F.col("found")).alias("left"))
+    return lines.select(*keys, "paragraph_index", changed.alias("changed"), F.when(changed, again).otherwise(F.col("found") if needed == fields else F.transform("found", lambda f: F.struct(*[f[n].alias(n) for n in fields]))).alias("left"))

@@ -265,3 +265,24 @@ def test_a_single_match_begins_where_its_text_first_stands(spark):
     assert [patterns.free(patterns.parse(r.patterns[0]).tree) for r in own] == [False, True]
     rows = spark.createDataFrame([("😀x12 12",), ("😀12 ab1",), ("ab1ab1 한ab1",)], "text string").select(candidates(F.col("text"), own).alias("c")).collect()
     assert [[(c["start"], c["rule"], c["raw"]) for c in r["c"]] for r in rows] == [[(1, 1, "x1"), (5, 0, "12")], [(1, 0, "12"), (4, 1, "ab1")], [(0, 1, "ab1"), (3, 1, "ab1"), (8, 1, "ab1")]]
+
+
+def test_counts_of_rules_build_no_previews(spark):
+    """Queries that only count findings by rule work out neither their masked text nor their context."""
+    from haetae.plans.queries import QUERIES
+
+    for name in ("residual_identifiers_partial", "residual_documents", "many_rules_documents"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "context_before" not in plan and "masked_preview" not in plan, name
+
+
+def test_some_fields_are_those_of_all(spark):
+    from haetae.operators.many import detect_many
+
+    docs = spark.createDataFrame([(1, "a 900101-1234568\nx u@example.com 010-1234-5678"), (2, None), (3, "4111-1111-1111-1111 10.0.0.1 " * 40)], "doc_id long, text string")
+    own = catalog.load('[[rules]]\nid="a"\nlabel="a"\npattern=\'\\d{4}\'\n')
+    some = ("rule_id", "confidence", "byte_start")
+    as_rows = lambda df: sorted(map(tuple, df.select("doc_id", *some).collect()))
+    for mode in ("full", "partial", "replace", "delete"):
+        assert as_rows(residual(docs, ["doc_id"], mode=mode, fields=some)) == as_rows(residual(docs, ["doc_id"], mode=mode))
+    assert as_rows(detect_many(docs, ["doc_id"], "text", own, some)) == as_rows(detect_many(docs, ["doc_id"], "text", own)) != []
