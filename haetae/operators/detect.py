@@ -128,7 +128,11 @@ def resolved(judged: Column, kind: str) -> Column:
 
     def resolve(cluster: Column) -> Column:
         ids = F.sort_array(F.array_distinct(F.transform(cluster, lambda c: c["rule"])))
-        return F.when(F.size(cluster) == 1, cluster).otherwise(F.aggregate(ids, F.array().cast(kind), lambda taken, rule: claimed(taken, cluster, rule)))
+        one_by_one = F.aggregate(ids, F.array().cast(kind), lambda taken, rule: claimed(taken, cluster, rule))
+        # The first of the first rule takes its characters whatever comes after; where all others share some of them, it is the only one.
+        first = F.get(cluster, F.array_min(F.transform(cluster, lambda c, i: F.struct(c["rule"].alias("rule"), i.alias("i"))))["i"])
+        alone = lambda f: F.forall(cluster, lambda c: (c["start"] < end(f)) & (end(c) > f["start"]))
+        return F.when(F.size(cluster) == 1, cluster).otherwise(let(first, lambda f: F.when(alone(f), F.array(f)).otherwise(one_by_one)))
 
     def claimed(taken: Column, cluster: Column, rule: Column) -> Column:
         """``taken`` (apart, by start) and what one rule's candidates take besides, from left to right.
