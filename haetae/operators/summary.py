@@ -9,13 +9,10 @@ from haetae import rules as catalog
 from haetae.functions.checks import CONFIRMED, MASKED, SUSPICIOUS
 from haetae.functions.masks import REPLACE
 from haetae.operators.detect import NAMES, detect, findings, line_findings, paragraphs
-from haetae.operators.mask import mask_text, preview_line, splice
+from haetae.operators.mask import TO_MASK, mask_text, preview_line, splice
 from haetae.operators.once import once
 from haetae.operators.pieces import pinned
 
-#: What masking a line asks of its findings.
-_TO_MASK = ("rule_id", "raw", "confidence", "char_start", "char_end")
-
 
 def _counts(prefix: str = "") -> list:
     count = lambda value: F.count_if(F.col("confidence") == value)
@@ -54,7 +51,7 @@ def residual(df: DataFrame, keys: list[str], text_col: str = "text", mode: str =
 def residual_lines(df: DataFrame, keys: list[str], text_col: str, mode: str, rules: catalog.RuleSet, fields: tuple[str, ...] | None = None) -> DataFrame:
     """``keys``, paragraph_index, whether masking changed it and the findings left, with all or only some ``fields``, of every line that may have any."""
     fields = None if fields is None else tuple(n for n in NAMES if n in fields)
-    needed = None if fields is None else tuple(n for n in NAMES if n in fields or n in _TO_MASK)
+    needed = None if fields is None else tuple(n for n in NAMES if n in fields or n in TO_MASK)
     lines = paragraphs(df, keys, text_col)
     if rules.guard:
         lines = lines.filter(F.rlike(F.col("text"), F.lit(rules.guard)))

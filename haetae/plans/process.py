@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from haetae import rules as catalog
 from haetae.functions.checks import CONFIRMED, MASKED, SUSPICIOUS
 from haetae.functions.masks import parse_mode
-from haetae.operators.detect import findings
-from haetae.operators.mask import preview_line, replacement, splice
+from haetae.operators.detect import NAMES, findings
+from haetae.operators.mask import TO_MASK, preview_line, replacement, splice
 from haetae.operators.once import once
 from haetae.operators.pieces import pinned
 from haetae.sources.files import with_extracted, with_rewritten
 
+#: What summaries ask of findings, besides ``TO_MASK``.
+SUMMED = ("label", "context_before", "context_after")
+
 
 @dataclass(frozen=True)
 class Config:
@@ -32,14 +35,15 @@ def _count(found: Column, confidence: str) -> Column:
     return F.size(F.filter(found, lambda f: f["confidence"] == confidence))
 
 
-def _per_paragraph(column: str, rules: catalog.RuleSet) -> Column:
-    return once(lambda: F.transform(column, lambda p, i: findings(p, rules, i)), "per_paragraph", column, rules)
+def _per_paragraph(column: str, rules: catalog.RuleSet, fields: tuple[str, ...] | None) -> Column:
+    return once(lambda: F.transform(column, lambda p, i: findings(p, rules, i, fields)), "per_paragraph", column, rules, fields)
 
 
 def _left(rules: catalog.RuleSet) -> Column:
-    """Findings of the paragraphs as read again: those of a paragraph that is as it was are carried over, others are looked through."""
+    """Confidences in the paragraphs as read again, which is all that is counted: those of a paragraph that is as it was are carried over, others are looked through."""
     same = lambda p, i: p == F.get(F.col("x_paragraphs"), i)
-    return once(lambda: F.transform("again_paragraphs", lambda p, i: F.when(same(p, i), F.get(F.col("each"), i)).otherwise(findings(p, rules, i))), "left", rules)
+    known = lambda i: F.transform(F.get(F.col("each"), i), lambda f: F.struct(f["confidence"].alias("confidence")))
+    return once(lambda: F.transform("again_paragraphs", lambda p, i: F.when(same(p, i), known(i)).otherwise(findings(p, rules, i, ("confidence",)))), "left", rules)
 
 
 def summaries_of(found: Column) -> Column:
@@ -54,20 +58,26 @@ def summaries_of(found: Column) -> Column:
     return F.transform(ids, one)
 
 
-def process(files: DataFrame, config: Config = Config(), keys: tuple[str, ...] = (), name_col: str = "filename", content_col: str = "content", again: bool = False) -> DataFrame:
+def process(files: DataFrame, config: Config = Config(), keys: tuple[str, ...] = (), name_col: str = "filename", content_col: str = "content", again: bool = False, fields: tuple[str, ...] | None = None) -> DataFrame:
     """A row for each file: ``keys``, filename, format, warnings, error, paragraph_count, findings, summaries, diffs, counts, residual counts, masked, output_name, fallback_note.
 
     A file stays in one row throughout, so nothing is shuffled and the work splits by file. Without masking the
     later columns are null or empty. With ``again`` a last column ``again_paragraphs`` has the paragraphs of the written file, which is read
-    once for the residual counts anyway.
+    once for the residual counts anyway. With ``fields`` findings have these and what masking asks for alone, which spares what others
+    cost; there are summaries only if those of ``SUMMED`` are among them.
     """
+    fields = None if fields is None else tuple(n for n in NAMES if n in fields or n in TO_MASK or n == "paragraph_index")
     rules, mode = config.rules, parse_mode(config.mode)
     df = files.select(*keys, F.col(name_col).alias("filename"), F.col(content_col).alias("content"))
     df = with_extracted(df, "x", "filename", "content", config.fail, config.text_only)
-    df = pinned(df, "each", _per_paragraph("x_paragraphs", rules)).withColumn("findings", F.flatten("each"))
+    df = pinned(df, "each", _per_paragraph("x_paragraphs", rules, fields)).withColumn("findings", F.flatten("each"))
     report = [*keys, "filename", "format", "warnings", "error", "paragraph_count", "findings", "summaries", "diffs", "confirmed", "suspicious", "already_masked", "residual_confirmed", "residual_suspicious", "masked", "output_name", "fallback_note"]
+    if fields is None or set(SUMMED) <= set(fields):
+        df = df.withColumn("summaries", once(lambda: summaries_of(F.col("findings")), "summaries"))
+    else:
+        report.remove("summaries")
     df = df.withColumns({
-        "format": F.col("x_format"), "error": F.col("x_error"), "paragraph_count": F.size("x_paragraphs"), "summaries": once(lambda: summaries_of(F.col("findings")), "summaries"),
+        "format": F.col("x_format"), "error": F.col("x_error"), "paragraph_count": F.size("x_paragraphs"),
         "confirmed": _count(F.col("findings"), CONFIRMED), "suspicious": _count(F.col("findings"), SUSPICIOUS), "already_masked": _count(F.col("findings"), MASKED),
     })
     if not config.mask:

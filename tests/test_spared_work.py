@@ -3,10 +3,20 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from haetae import rules as catalog
 from haetae.operators.detect import findings
+from haetae.plans.process import SUMMED, Config, process
+from haetae.plans.queries import QUERIES
+from haetae.sinks.reports import html_fragments
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_the_card_pattern_is_read_in_one_way(spark):
@@ -28,3 +38,25 @@ def test_guards_hold_for_licences(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", findings(F.col("t"), catalog.builtin(), fields=("rule_id",)).alias("f"), F.rlike("t", F.lit(catalog.java_pattern(pattern))).alias("any"))
     for t, found, some in rows.collect():
         assert some == any(f.rule_id == "driver_license" for f in found) == bool(re.search(pattern, t)), t
+
+
+@pytest.mark.parametrize("kind", ["cp949", "json", "csv", "utf16_le"])
+def test_round_trips_build_no_previews(spark, kind):
+    shown = plan(QUERIES[f"format_{kind}"](spark, SF))
+    assert not re.search(r"context_before|masked_preview|byte_start", shown)
+
+
+def test_fields_change_nothing_else(spark):
+    texts = ["주민 900101-1234568, ****-****-****-1111\nu***@example.com 4111-1111-1111-1111", "없음", "전화 010-1234-5678\n\n계좌 110-123-456789 220-81-62517", ""]
+    names = [(f"{i}.{ext}", t.encode(code)) for i, t in enumerate(texts) for ext, code in (("txt", "utf-8"), ("md", "cp949"), ("csv", "utf-8"), ("json", "utf-16"))]
+    files = spark.createDataFrame(names, "filename string, content binary")
+    for mode in ("full", "partial", "replace", "delete"):
+        whole, brief, summed = (process(files, Config(mode=mode), again=True, fields=fields) for fields in (None, (), SUMMED))
+        assert "summaries" not in brief.columns and summed.columns == whole.columns
+        same = [c for c in brief.columns if c != "findings"]
+        assert sorted(map(str, whole.select(*same).collect())) == sorted(map(str, brief.select(*same).collect()))
+        same = [c for c in summed.columns if c != "findings"]
+        assert sorted(map(str, whole.select(*same).collect())) == sorted(map(str, summed.select(*same).collect()))
+        assert sorted(map(str, html_fragments(whole).collect())) == sorted(map(str, html_fragments(summed).collect()))
+        kept = lambda f: F.struct(*[f[n].alias(n) for n in ("rule_id", "raw", "confidence", "paragraph_index", "char_start", "char_end")])
+        assert sorted(map(str, whole.select("filename", F.transform("findings", kept).alias("findings")).collect())) == sorted(map(str, brief.select("filename", "findings").collect()))
