@@ -21,9 +21,21 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def addressed(spark: SparkSession, path: str) -> str:
+    """``path`` (made, if it isn't there) as an address that holds without Spark as well.
+
+    A bare path is one in the session's default file system, as Spark takes it, and a mount that only Hadoop's file systems follow (viewfs://) is followed.
+    """
+    context = spark.sparkContext
+    there = context._jvm.org.apache.hadoop.fs.Path(path)
+    system = there.getFileSystem(context._jsc.hadoopConfiguration())
+    system.mkdirs(there)
+    return system.resolvePath(there).toString()
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A name in the shared folder that nothing else has."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """The address of a folder in the shared folder, by a name that nothing else has."""
+    return f"{addressed(spark, shared_folder(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:

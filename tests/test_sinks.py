@@ -9,6 +9,7 @@ import pytest
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
+from haetae import shared
 from haetae.plans import queries
 from haetae.plans.process import Config, process, text_files
 from haetae.sinks import files, reports, stitch
@@ -160,3 +161,16 @@ def test_written_files_are_read_by_name(spark, tmp_path):
     assert back.rdd.getNumPartitions() <= 4
     assert {r["filename"]: (r["path"], bytes(r["content"]), r["length"]) for r in back.collect()} == {n: (f"{folder}/{n}", b, len(b)) for n, b in ROWS if b is not None}
     assert queries.written_files(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("mounted", [False, True])
+def test_files_are_written_wherever_checkpoints_are(spark, tmp_path, monkeypatch, mounted):
+    """A bare ``spark.checkpoint.dir`` is in the default file system, on a cluster too, and Arrow doesn't know viewfs: before, both were an error."""
+    there = tmp_path / "shared of all"
+    there.mkdir()
+    spark.sparkContext._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.{tmp_path.name.replace('_', '-')}.link./shared", f"file://{tmp_path}/shared%20of%20all")
+    monkeypatch.setattr(shared, "shared_folder", lambda spark: f"viewfs://{tmp_path.name.replace('_', '-')}/shared" if mounted else str(there))
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://elsewhere:7077")
+    made = queries.written_files(spark, "/root/testdata/sf0.001")
+    assert made.count() == 200 == len(list(there.glob("masked-documents-*/*.txt")))
+    assert queries.split_csv_records(spark, "/root/testdata/sf0.001").count() == 87
