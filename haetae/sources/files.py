@@ -71,7 +71,8 @@ def sniff(name: str, data: bytes, listed: set[str] | None = None) -> str:
 def extract(name: str, data: bytes) -> dict[str, Any]:
     """Format, paragraphs, place of each (offset in text files, part, page or section else), warnings and encoding."""
     listed = containers.directory(data) if data[:2] == b"PK" and len(data) >= 4 else None
-    kind = sniff(name, data, {info.filename for info in listed or ()})
+    compound = hwp.opened(data)
+    kind = "hwp" if compound else sniff(name, data, {info.filename for info in listed or ()})
     out: dict[str, Any] = {"format": kind, "paragraphs": [], "places": [], "offsets": [], "warnings": [], "encoding": None, "error": None}
     placed: list[tuple[str, str]] = []
     if kind in TEXTS:
@@ -84,7 +85,7 @@ def extract(name: str, data: bytes) -> dict[str, Any]:
     if kind == "pdf":
         placed, out["warnings"] = pdf.extract(data)
     elif kind == "hwp":
-        placed, out["warnings"] = hwp.extract(data)
+        placed, out["warnings"] = hwp.extract(data, compound)
     elif kind == "hwp3":
         out["warnings"] = [hwp.WARN_V3]
     elif kind in ZIPS:
@@ -99,13 +100,13 @@ def rewrite(name: str, data: bytes, kind: str, encoding: str | None, masked: lis
     """Bytes and name of the masked file, and a note where the format could not be kept.
 
     ``changes`` (paragraph_index, char_start, char_end, replacement) are written into text files at their place;
-    in JSON a value outside quotes gets quotes. Documents get the masked paragraphs.
+    in JSON a value outside quotes gets quotes. Documents get the masked paragraphs. Text files ask for no masked paragraphs, others for no changes and offsets.
     """
-    plain = {"content": "\n".join(masked).encode(), "name": f"{name.rpartition('.')[0] or name}.txt"}
     if kind in TEXTS:
         decoded = text.decode(data)[0]
         spans = [(offsets[c["paragraph_index"]] + c["char_start"], offsets[c["paragraph_index"]] + c["char_end"], c["replacement"]) for c in changes]
         return {"content": text.encode(_splice(decoded, sorted(spans), kind == "json"), encoding or text.UTF8), "name": name, "note": None}
+    plain = {"content": "\n".join(masked).encode(), "name": f"{name.rpartition('.')[0] or name}.txt"}
     if kind in ZIPS or kind == "hwp":
         try:
             return {"content": hwp.rewrite(data, masked) if kind == "hwp" else containers.rewrite(kind, data, masked), "name": name, "note": None}
@@ -232,7 +233,9 @@ def with_rewritten(df: DataFrame, out: str, inputs: list[str], text_only: bool =
 
     if text_only:
         return pinned_fields(df, once(lambda: _prefixed(made(), REWRITTEN, out), "rewritten_text", *inputs, out))
-    df = df.withColumn("__other__", struct_of(REWRITTEN, run, *[F.when(~plain, F.col(c)) for c in inputs]))
+    by_place = F.coalesce(kind.isin(*TEXTS), F.lit(False))
+    asked = [~plain] * 4 + [~plain & ~by_place] + [~plain & by_place] * 2  # what a file's rewriting doesn't read needn't go to Python
+    df = df.withColumn("__other__", struct_of(REWRITTEN, run, *[F.when(a, F.col(c)) for a, c in zip(asked, inputs, strict=True)]))
     fields = once(lambda: _prefixed(F.when(plain, made()).otherwise(F.col("__other__")), REWRITTEN, out), "rewritten", *inputs, out)
     return pinned_fields(df, fields).drop("__other__")
 

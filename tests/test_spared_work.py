@@ -65,3 +65,28 @@ def test_fields_change_nothing_else(spark):
         assert sorted(map(str, html_fragments(whole).collect())) == sorted(map(str, html_fragments(summed).collect()))
         kept = lambda f: F.struct(*[f[n].alias(n) for n in ("rule_id", "raw", "confidence", "paragraph_index", "char_start", "char_end")])
         assert sorted(map(str, whole.select("filename", F.transform("findings", kept).alias("findings")).collect())) == sorted(map(str, brief.select("filename", "findings").collect()))
+
+
+def test_a_compound_file_is_opened_once_and_records_read_whole(monkeypatch):
+    from haetae.plans.formats import hwp5
+    from haetae.sources import files, hwp
+
+    opened, real = [], hwp.CompoundFile
+    monkeypatch.setattr(hwp, "CompoundFile", lambda data: opened.append(1) or real(data))
+    data = hwp5([f"줄 {i} 010-1234-56{i:02}" for i in range(12)])
+    texts = files.extract("a.hwp", data)["paragraphs"]
+    assert len(texts) == 12 and len(opened) == 1
+    masked = [t.replace("1234", "****") for t in texts]
+    done = files.rewrite("a.hwp", data, "hwp", None, masked, None, None)
+    assert files.extract("a.hwp", done["content"])["paragraphs"] == masked and done["note"] is None
+    spans = [{"paragraph_index": 0, "char_start": 0, "char_end": 1, "replacement": "*"}]
+    assert files.rewrite("a.txt", "가나".encode("cp949"), "txt", "euc_kr", None, spans, [0])["content"] == "*나".encode("cp949")
+    draw, records = random.Random(9), []
+    for kind in ([*range(33), 0x41, 0xAC00, 0xFEFF, 0xD83D, 0xDE00], [0x41, 0xAC00, 0x2A]):
+        for _ in range(2000):
+            units = draw.choices(kind, k=draw.randint(0, 14)) + draw.choice([[], [13], [13, 0]])
+            records.append(b"".join(u.to_bytes(2, "little") for u in units) + draw.choice([b"", b"", b"x"]))
+    news = ["".join(draw.choice([c, c, "*", "", "😀", "한"]) for c in hwp.paragraph_text(r)) for r in records]
+    fast = [(hwp.paragraph_text(r), hwp.replace_text(r, t)) for r, t in zip(records, news)]
+    monkeypatch.setattr(hwp, "_characters", lambda record: None)
+    assert fast == [(hwp.paragraph_text(r), hwp.replace_text(r, t)) for r, t in zip(records, news)]
