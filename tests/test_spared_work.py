@@ -90,3 +90,51 @@ def test_a_compound_file_is_opened_once_and_records_read_whole(monkeypatch):
     fast = [(hwp.paragraph_text(r), hwp.replace_text(r, t)) for r, t in zip(records, news)]
     monkeypatch.setattr(hwp, "_characters", lambda record: None)
     assert fast == [(hwp.paragraph_text(r), hwp.replace_text(r, t)) for r, t in zip(records, news)]
+
+
+def test_plain_archives_need_no_library(monkeypatch):
+    """Plain archives are rewritten without the zip library, byte by byte as it does; what is odd about one is left to it."""
+    import io
+    import zipfile
+
+    from haetae.plans.formats import docx
+    from haetae.sources import containers, files
+
+    draw = random.Random(11)
+    names = ["mimetype", "word/document.xml", "가/나.xml", "a\\b.xml", "dir/", "é.xml", "docProps/core.xml"]
+    seen = lambda listed: listed and [(i.filename, i.orig_filename, i.flag_bits, i.compress_type, i.CRC, i.compress_size, i.file_size, i.header_offset) for i in listed]
+
+    def outcome(make, *values):
+        try:
+            return make(*values)
+        except Exception as error:  # noqa: BLE001
+            return type(error), str(error)
+
+    kept, plain = [], containers._plain_directory
+    for _ in range(1500):
+        parts = [(name, bytes(draw.choices(b"<a>b &", k=draw.choice([0, 1, 300])))) for name in draw.sample(names, draw.randint(0, 5))]
+        made = containers.write_parts(parts)
+        monkeypatch.setattr(containers, "_SMALL", 0)
+        assert made == containers.write_parts(parts)
+        monkeypatch.setattr(containers, "_SMALL", 1 << 30)
+        data = bytearray(made)
+        for _ in range(draw.choice([0, 1, 2])):
+            data[draw.choice([draw.randrange(len(data)), max(0, len(data) - draw.randint(1, 120))])] = draw.choice([0, 1, 255])
+        data = draw.choice([b"", b"", b"x"]) + bytes(data) + draw.choice([b"", b"", b"x"])
+        kept.append((data, outcome(containers.read_parts, data), plain(data)))
+    monkeypatch.setattr(containers, "_plain_directory", lambda data: None)
+    assert all(parts == outcome(containers.read_parts, data) and (listed is None or seen(listed) == seen(containers.directory(data))) for data, parts, listed in kept)
+    assert 300 < sum(listed is not None for _, _, listed in kept) < 1200
+    noted = io.BytesIO()
+    with zipfile.ZipFile(noted, "w") as archive:
+        archive.writestr("a", "b")
+        archive.comment = b"PK"
+    assert plain(noted.getvalue()) is None and containers.read_parts(noted.getvalue()) == [("a", b"b")]
+    monkeypatch.setattr(containers, "_plain_directory", plain)
+    data = docx([f"줄 {i}" for i in range(12)])
+    texts = files.extract("a.docx", data)["paragraphs"]
+    masked = [t.replace("줄", "*") for t in texts]
+    with monkeypatch.context() as without:
+        without.setattr(zipfile, "ZipFile", None)
+        done = files.rewrite("a.docx", data, "docx", None, masked, None, None)
+    assert texts[0] == "줄 0" and done["note"] is None and files.extract("a.docx", done["content"])["paragraphs"] == masked
