@@ -21,7 +21,16 @@ def _size(value: Any) -> int:
         return len(value)
     if isinstance(value, dict):
         return sum(map(_size, value.values()))
-    return sum(map(_size, value)) if isinstance(value, list) else 8
+    if isinstance(value, list):
+        return sum(map(len if {*map(type, value)} <= {bytes, str} else _size, value))
+    return 8
+
+
+def _array(rows: list[dict[str, Any] | None], kind: pa.StructType) -> pa.StructArray:
+    """``rows`` as an array, field by field, which costs a third of what rows at once do."""
+    gone = [r is None for r in rows]
+    fields = [pa.array([None if r is None else r.get(f.name) for r in rows], f.type) for f in kind]
+    return pa.StructArray.from_arrays(fields, fields=list(kind), mask=pa.array(gone) if any(gone) else None)
 
 
 def struct_of(schema: str, make: Callable[..., dict[str, Any]], *inputs: Column) -> Column:
@@ -42,10 +51,10 @@ def struct_of(schema: str, make: Callable[..., dict[str, Any]], *inputs: Column)
             rows.append(None if all(v is None for v in values) else make(*values))
             size += _size(rows[-1])
             if len(rows) >= ROWS or size >= BYTES:
-                yield pa.array(rows, arrow)
+                yield _array(rows, arrow)
                 rows, size = [], 0
         if rows:
-            yield pa.array(rows, arrow)
+            yield _array(rows, arrow)
 
     @F.arrow_udf(kind)
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:

@@ -138,3 +138,20 @@ def test_plain_archives_need_no_library(monkeypatch):
         without.setattr(zipfile, "ZipFile", None)
         done = files.rewrite("a.docx", data, "docx", None, masked, None, None)
     assert texts[0] == "줄 0" and done["note"] is None and files.extract("a.docx", done["content"])["paragraphs"] == masked
+
+
+def test_arrays_by_field_are_those_of_rows(spark):
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    from haetae.operators import arrow
+    from haetae.sources.files import EXTRACTED
+
+    kind = to_arrow_type(T.StructType(list(T._parse_datatype_string(EXTRACTED))))
+    one = {"format": "x", "paragraphs": ["a", None, "가"], "places": [], "offsets": [1, 2], "warnings": None, "more": 1}
+    for rows in ([], [None], [one, None, {}, {**one, "error": "e"}], [one, one]):
+        made = arrow._array(rows, kind)
+        made.validate(full=True)
+        assert made.type == kind and made.null_count == rows.count(None) and made.to_pylist() == pa.array(rows, kind).to_pylist()
+    assert arrow._size({"a": ["x", "yy"], "b": [b"1", None], "c": [1, 2], "d": "q", "e": [{"z": "zz"}]}) == 3 + 9 + 16 + 1 + 2
